@@ -34,7 +34,8 @@ def _date(date: Column | None, dtype: str) -> Column | None:
     if dtype.startswith("timestamp"):
         seconds = F.date_format(date, "yyyy-MM-dd HH:mm:ss")
         micros = F.date_format(date, "SSSSSS")
-        date = F.when(micros == "000000", seconds).otherwise(F.concat_ws(".", seconds, micros))
+        fine = F.concat(seconds, F.lit("."), micros)
+        date = F.when(micros != "000000", fine).otherwise(seconds)
     return F.concat(F.lit("Date: "), date.cast("string"))
 
 

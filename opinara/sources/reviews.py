@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinara.vocab import NA_TOKENS
@@ -33,16 +35,25 @@ def read_review_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_training_file(spark: SparkSession, folder: str) -> str:
-    """The training CSV of a folder: the fixed name, else the first by name."""
+    """The training CSV of a folder: the fixed name, else the first by name.
+
+    A CSV may be one file or a folder of part files, as Spark writes it.
+    """
     # Only the listing is read, not the files' content.
     listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.csv")
+        .option("recursiveFileLookup", True)
+        .load(folder)
     )
-    fixed = F.max(F.when(F.endswith("path", F.lit("/" + TRAINING_FILE)), F.col("path")))
-    found = listing.agg(F.coalesce(fixed, F.min("path"))).first()[0]
+    inside = F.element_at(F.split("path", re.escape("/" + folder.strip("/").split("/")[-1] + "/"), 2), -1)
+    name = F.split(inside, "/")[0]
+    names = listing.select(name.alias("name")).filter(F.endswith("name", F.lit(".csv")))
+    fixed = F.max(F.when(F.col("name") == TRAINING_FILE, F.col("name")))
+    found = names.agg(F.coalesce(fixed, F.min("name"))).first()[0]
     if found is None:
         raise FileNotFoundError(f"no training CSV in {folder}")
-    return found
+    return f"{folder.rstrip('/')}/{found}"
 
 
 def read_training(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
