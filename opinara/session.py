@@ -25,7 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def pin(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+def run_dir(spark: SparkSession) -> str:
+    """Folder of all intermediate tables of this application, to be removed when it is done."""
+    return f"{shared_dir(spark)}/opinara-{spark.sparkContext.applicationId}"
+
+
+def pin(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as parquet and read it back.
 
     Cuts the lineage in storage that survives lost executors, so every later read sees the
@@ -33,6 +38,6 @@ def pin(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     model calls) and cheaper than recomputing a frame that several jobs read.
     """
     spark = df.sparkSession
-    path = f"{folder or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinara.operators.model import mixed_flag
 from opinara.operators.prepare import with_clean_text
-from opinara.session import shared_dir
+from opinara.session import run_dir
 from opinara.vocab import CONTRAST_WORDS, NEGATIVE_CUES, POSITIVE_CUES, THEMES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,8 +135,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder name beside the intermediate tables."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
