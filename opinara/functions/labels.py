@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from opinara.functions.text import strip
 from opinara.vocab import MIDDLE, NEGATIVE, POSITIVE
 
-# The texts taken as numbers. Spark's cast alone would also take "3d".
-_NUMBER = r"(?i)\A[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\z"
+# The texts taken as numbers. Spark's cast alone would also take "3d"; like this pattern it
+# passes over white space at the ends.
+_NUMBER = r"(?i)\A\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*\z"
 
 
 def stars_number(stars: Column) -> Column:
     """Star rating as a double; null where the text is no number."""
-    text = strip(stars.cast("string"))
+    text = stars.cast("string")
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 

@@ -33,16 +33,19 @@ def json_span(raw: Column) -> Column:
 def native_objects(span: Column, strict: bool = False) -> Column:
     """JSON objects of a reply span as `array<map<string,string>>`, null if not readable.
 
-    The span is put in brackets first: an object, or several with commas between them,
-    then form one array, and a list becomes a list in a list. Nested values stay JSON text.
-    `strict` takes neither several objects without a list nor single quotes.
+    The span is put in brackets: an object, or several with commas between them, then form
+    one array, and a list becomes a list in a list. Nested values stay JSON text. The first
+    character tells which form to read, as a failed read is slow. `strict` takes neither
+    several objects without a list nor single quotes.
     """
     bracketed = F.concat(F.lit("["), span, F.lit("]"))
     flat = F.from_json(bracketed, f"array<{_OBJECT}>")
     nested = F.from_json(bracketed, f"array<array<{_OBJECT}>>")
     if strict:
         flat = F.when(F.size(flat) == 1, flat)
-    objects = F.coalesce(flat, F.when(F.size(nested) == 1, nested[0]))
+    objects = F.when(F.startswith(span, F.lit("{")), flat).otherwise(
+        F.when(F.size(nested) == 1, nested[0])
+    )
     if strict:
         objects = F.when(~F.contains(span, F.lit("'")), objects)
     return objects
@@ -105,14 +108,14 @@ def entry_names(entries: Column, key: Column) -> Column:
     first field.
     """
     value = F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
-    several = F.from_json(value, "array<string>")
+    several = F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>"))
     names = F.when(value.isNull(), F.array().cast("array<string>")).otherwise(
         F.coalesce(several, F.array(value))
     )
 
     def plain(name: Column) -> Column:
-        fields = F.map_values(F.from_json(name, _OBJECT))
-        return F.coalesce(F.get(fields, F.lit(0)), name)
+        first = F.get(F.map_values(F.from_json(name, _OBJECT)), F.lit(0))
+        return F.when(F.startswith(name, F.lit("{")), F.coalesce(first, name)).otherwise(name)
 
     return F.transform(names, plain)
 

@@ -85,28 +85,27 @@ def confidence_boxes(df: DataFrame) -> DataFrame:
     Quartiles interpolate between the order statistics at n * p - 1/2, as the chart does;
     whiskers end at the last value within 1.5 interquartile ranges of the box.
     """
-    rows = df.filter(F.col("confidence").isNotNull() & F.col("predicted_sentiment").isNotNull())
-    rows = rows.select(F.col("predicted_sentiment").alias("sentiment"), "confidence")
-    sizes = {r["sentiment"]: r["count"] for r in rows.groupBy("sentiment").count().collect()}
-    quartiles = {}
-    wanted = set()
-    for name, n in sizes.items():
-        for q in (1, 2, 3):
-            at = min(max(n * q / 4 - 0.5, 0.0), n - 1.0)
-            low = int(at)
-            high = min(low + 1, n - 1)
-            quartiles[name, q] = (low, high, at - low)
-            wanted |= {(name, low), (name, high)}
+    rows = df.select(F.col("predicted_sentiment").alias("sentiment"), "confidence").dropna()
+    # Ranks around each quartile, and the share of the upper one.
+    around: dict[tuple[str, int], tuple[int, int, float]] = {}
+
+    def quartile_ranks(sizes: dict[str, int]) -> list[tuple[str, int]]:
+        for name, n in sizes.items():
+            for q in (1, 2, 3):
+                at = min(max(n * q / 4 - 0.5, 0.0), n - 1.0)
+                around[name, q] = (int(at), min(int(at) + 1, n - 1), at - int(at))
+        return [(name, rank) for (name, _), ranks in around.items() for rank in ranks[:2]]
+
     key = F.floor(F.col("confidence") * float(1 << 62)).cast("bigint")
-    found = order_statistics(rows, "sentiment", F.col("confidence"), key, sorted(wanted))
-    value = {(name, rank): v for name, rank, v in found}
+    value = order_statistics(rows, "sentiment", F.col("confidence"), key, quartile_ranks)
 
     def quartile(name: str, q: int) -> float:
-        low, high, part = quartiles[name, q]
+        low, high, part = around[name, q]
         return (1 - part) * value[name, low] + part * value[name, high]
 
+    names = sorted({name for name, _ in around})
     boxes = df.sparkSession.createDataFrame(
-        [(name, *(quartile(name, q) for q in (1, 2, 3))) for name in sizes],
+        [(name, *(quartile(name, q) for q in (1, 2, 3))) for name in names],
         "sentiment string, q1 double, median double, q3 double",
     )
     reach = WHISKER * (F.col("q3") - F.col("q1"))

@@ -18,6 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara.functions.text import TOKEN_PATTERN
+from opinara.session import pin, spread
 from opinara.vocab import default_stop_words
 
 # Vocabulary limits.
@@ -39,25 +40,26 @@ def term_stages(stop_words: Sequence[str] | None = None, text: str = "clean_text
     )
 
 
-def term_counts(df: DataFrame) -> DataFrame:
-    """Total count and document count per term.
+def occurrences(df: DataFrame, terms: str) -> DataFrame:
+    """Rows (term, total, docs) to sum up: one per occurrence, and one per document and term.
 
-    Both are sums over one explode with map-side combine: repeats inside a document are
-    removed in its own array, so documents are never shuffled.
+    Repeats inside a document are removed in its own array, so documents are never shuffled.
+    The outer explode keeps Spark from computing the array once more to test it for emptiness.
     """
 
-    def tagged(terms: Column, total: int, docs: int) -> Column:
+    def tagged(array: Column, total: int, docs: int) -> Column:
         return F.transform(
-            terms, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"),
+            array, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"),
                                       F.lit(docs).alias("docs"))
         )
 
-    both = F.concat(tagged(F.col("terms"), 1, 0), tagged(F.array_distinct("terms"), 0, 1))
-    return (
-        df.select(F.inline(both))
-        .groupBy("term")
-        .agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
-    )
+    both = F.concat(tagged(F.col(terms), 1, 0), tagged(F.array_distinct(terms), 0, 1))
+    return df.select(F.inline_outer(both)).filter(F.col("term").isNotNull())
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """Total count and document count per term, with map-side combine."""
+    return rows.groupBy("term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
 
 
 def vocabulary(
@@ -67,13 +69,32 @@ def vocabulary(
     min_docs: int = MIN_DOCS,
     max_share: float = MAX_DOC_SHARE,
 ) -> DataFrame:
-    """The most frequent terms within the document limits; ties go by term."""
-    return (
-        term_counts(df)
-        .filter((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * n_docs))
-        .orderBy(F.desc("total"), "term")
-        .limit(max_terms)
+    """The most frequent words and pairs within the document limits; ties go by term.
+
+    A pair is never more frequent than either of its words. So words are counted first, and
+    then only pairs of words that reach the count of the last word that would fit; the long
+    tail of pairs, most of all terms, is never shuffled.
+    """
+    frequent = F.col("docs") >= min_docs
+    not_common = F.col("docs") <= max_share * n_docs
+    words = pin(term_counts(occurrences(df, "words")).filter(frequent), "word-counts")
+    fitting = words.filter(not_common)
+    last = (
+        fitting.orderBy(F.desc("total")).limit(max_terms)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("total")).first()
+    )
+    floor = last["total"] if last["n"] == max_terms else 0
+    # Written, so that Spark knows the size before it decides to broadcast.
+    partner = pin(words.filter(F.col("total") >= floor).select("term"), "partner-words")
+    halves = F.split("term", " ")
+    pairs = (
+        occurrences(df, "pairs")
+        .withColumns({"first": halves[0], "second": halves[1]})
+        .join(partner.withColumnRenamed("term", "first"), "first", "left_semi")
+        .join(partner.withColumnRenamed("term", "second"), "second", "left_semi")
     )
+    counted = term_counts(pairs).filter(frequent & not_common)
+    return fitting.unionByName(counted).orderBy(F.desc("total"), "term").limit(max_terms)
 
 
 def idf(docs: Column, n_docs: int) -> Column:
@@ -89,7 +110,7 @@ def fit_tfidf(
     Only the vocabulary, at most `max_terms` rows, reaches the driver.
     """
     stages = term_stages(stop_words)
-    terms = stages.transform(df.select("clean_text")).select("terms")
+    terms = stages.transform(spread(df.select("clean_text"))).select("words", "pairs")
     n_docs = df.count()
     rows = sorted(
         vocabulary(terms, n_docs, **limits).withColumn("idf", idf(F.col("docs"), n_docs)).collect(),
@@ -115,7 +136,7 @@ def tfidf_weights(df: DataFrame, model: PipelineModel, id_column: str) -> DataFr
     terms = spark.createDataFrame(list(enumerate(counter.vocabulary)), "index int, term string")
     vector = F.unwrap_udt("features")
     return (
-        model.transform(df)
+        model.transform(spread(df.select(id_column, "clean_text")))
         .select(id_column, F.inline(F.arrays_zip(vector["indices"].alias("index"),
                                                  vector["values"].alias("weight"))))
         .join(F.broadcast(terms), "index")

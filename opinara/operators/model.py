@@ -16,7 +16,7 @@ from opinara.functions.mixed import is_mixed
 from opinara.operators.features import fit_tfidf
 from opinara.operators.prepare import training_rows
 from opinara.operators.ranking import order_statistics, seeded_key, with_row_index
-from opinara.session import pin
+from opinara.session import pin, spread
 
 # Split and solver settings.
 TEST_SHARE = 0.2
@@ -59,12 +59,14 @@ def stratified_split(
     size is split without sorting it in one task. Rows with one id stay on one side.
     """
     keyed = df.withColumn("_key", seeded_key(F.col(id_column), seed))
-    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    wanted = [(c, n - 1) for c, n in test_sizes(sizes, share).items() if n > 0]
-    limits = order_statistics(keyed, label, F.col("_key"), F.col("_key"), wanted)
+
+    def last_of_test(class_sizes: dict[str, int]) -> list[tuple[str, int]]:
+        return [(c, n - 1) for c, n in test_sizes(class_sizes, share).items() if n > 0]
+
+    limits = order_statistics(keyed, label, F.col("_key"), F.col("_key"), last_of_test)
     # One limit per class.
     in_test = F.lit(False)
-    for name, _, limit in limits:
+    for (name, _), limit in limits.items():
         in_test = in_test | ((F.col(label) == name) & (F.col("_key") <= limit))
     return keyed.withColumn("is_test", in_test).drop("_key")
 
@@ -99,7 +101,7 @@ def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> T
     if "review_id" not in rows.columns:
         rows = with_row_index(rows, "review_id")
     # Split and fit read the rows many times.
-    rows = pin(rows.select("review_id", "clean_text", "sentiment"), "training")
+    rows = pin(spread(rows.select("review_id", "clean_text", "sentiment")), "training")
     rows = stratified_split(rows)
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))

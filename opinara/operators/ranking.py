@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -116,49 +116,61 @@ def random_feed(
 
 
 def order_statistics(
-    df: DataFrame, group: str, value: Column, key: Column, ranks: Sequence[tuple[str, int]]
-) -> list[tuple[str, int, float]]:
-    """Exact values at 0-based ranks of each group's ascending order.
-
-    `key` is a bigint in [0, 2^62] that does not decrease as `value` grows. Each pass counts
-    the rows of the wanted key ranges in 65,536 sub-ranges, with map-side combine, and keeps
-    the sub-range that holds each rank; three passes leave at most 2^15 keys. No pass sorts
-    or shuffles the data, and only the wanted ranks, few per group, come to the driver.
-    Returns (group, rank, value) for each wanted pair.
+    df: DataFrame,
+    group: str,
+    value: Column,
+    key: Column,
+    wanted: Callable[[dict[str, int]], Iterable[tuple[str, int]]],
+) -> dict[tuple[str, int], float]:
+    """Exact values at chosen ranks of each group's ascending order.
+
+    `wanted` gets the group sizes and gives (group, 0-based rank) pairs; the result maps these
+    to values. `key` is a bigint in [0, 2^62] that does not decrease as `value` grows.
+
+    Each pass counts the rows of the wanted key ranges in 65,536 sub-ranges, with map-side
+    combine, and keeps the sub-range that holds each rank; three passes leave at most 2^15
+    keys. No pass sorts or shuffles the data, and only the ranks, few per group, come to the
+    driver.
     """
     spark = df.sparkSession
-    if len(ranks) > _MAX_TARGETS:
-        raise ValueError(f"{len(ranks)} ranks wanted, {_MAX_TARGETS} allowed")
     base = df.select(F.col(group).alias("g"), value.alias("v"), key.alias("k"))
+    base = base.filter(F.col("g").isNotNull() & F.col("k").isNotNull())
+
+    def counted(rows: DataFrame, part: Column) -> DataFrame:
+        return rows.groupBy("g", "cell", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+    shift = _KEY_BITS + 1 - _STEP_BITS
+    # The first counts also give the group sizes, so they are kept.
+    whole = base.withColumn("cell", F.lit(0).cast("bigint"))
+    counts = pin(counted(whole, F.shiftrightunsigned("k", shift)), "rank-counts")
+    sizes = counts.groupBy("g").agg(F.sum("n").alias("n")).limit(_MAX_TARGETS + 1).collect()
+    targets = [(g, r, r, 0) for g, r in set(wanted({s["g"]: s["n"] for s in sizes}))]
+    if max(len(sizes), len(targets)) > _MAX_TARGETS:
+        raise ValueError(f"more than {_MAX_TARGETS} groups or ranks")
     # A target is (group, wanted rank, rank inside its cell, cell).
-    targets = [(g, r, r, 0) for g, r in ranks]
-    schema = "g string, rank long, rest long, cell long"
-    shift = _KEY_BITS + 1
+    schema = "g string, rank bigint, rest bigint, cell bigint"
+    last = False
     while targets:
-        wanted = F.broadcast(spark.createDataFrame(targets, schema))
-        cells = F.broadcast(spark.createDataFrame([(t[0], t[3]) for t in set(targets)],
-                                                  "g string, cell long").distinct())
-        rows = base.withColumn("cell", F.shiftrightunsigned("k", shift)).join(
-            cells, ["g", "cell"], "left_semi"
-        )
-        last = shift != _KEY_BITS + 1 and (largest <= _MAX_CELL_ROWS or shift < _STEP_BITS)
-        if last:
-            part = F.col("v")
-        else:
-            shift = max(shift - _STEP_BITS, 0)
-            part = F.shiftrightunsigned("k", shift)
-        counts = rows.groupBy("g", "cell", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
         upto = Window.partitionBy("g", "cell").orderBy("part")
-        ranked = counts.withColumn("end", F.sum("n").over(upto))
         found = (
-            ranked.join(wanted, ["g", "cell"])
-            .filter((F.col("rest") >= F.col("end") - F.col("n")) & (F.col("rest") < F.col("end")))
-            .select("g", "rank", (F.col("rest") - F.col("end") + F.col("n")).alias("rest"),
-                    "part", "n")
+            counts.withColumn("end", F.sum("n").over(upto))
+            .join(F.broadcast(spark.createDataFrame(targets, schema)), ["g", "cell"])
+            .withColumn("rest", F.col("rest") - F.col("end") + F.col("n"))
+            .filter((F.col("rest") >= 0) & (F.col("rest") < F.col("n")))
+            .select("g", "rank", "rest", "part", "n")
             .collect()
         )
         if last:
-            return [(t["g"], t["rank"], t["part"]) for t in found]
-        largest = max((t["n"] for t in found), default=0)
+            return {(t["g"], t["rank"]): t["part"] for t in found}
         targets = [(t["g"], t["rank"], t["rest"], t["part"]) for t in found]
-    return []
+        cells = spark.createDataFrame({(t[0], t[3]) for t in targets}, "g string, cell bigint")
+        inside = base.withColumn("cell", F.shiftrightunsigned("k", shift)).join(
+            F.broadcast(cells), ["g", "cell"], "left_semi"
+        )
+        last = shift < _STEP_BITS or max(t["n"] for t in found) <= _MAX_CELL_ROWS
+        if last:
+            counts = counted(inside, F.col("v"))
+        else:
+            shift -= _STEP_BITS
+            counts = counted(inside, F.shiftrightunsigned("k", shift))
+    return {}

@@ -147,9 +147,11 @@ def explode_themes(df: DataFrame, distinct: bool = False) -> DataFrame:
     names = named_themes(F.col("themes"))
     if distinct:
         names = F.array_distinct(names)
-    return df.filter(F.col("predicted_sentiment").isNotNull()).withColumn(
-        "Theme", F.explode(names)
+    # The outer explode keeps Spark from computing the array again to test it for emptiness.
+    exploded = df.filter(F.col("predicted_sentiment").isNotNull()).withColumn(
+        "Theme", F.explode_outer(names)
     )
+    return exploded.filter(F.col("Theme").isNotNull())
 
 
 def extract_themes(

@@ -41,3 +41,18 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Below this many bytes per core an input is too small to fill the cluster by itself.
+_SMALL_SHARE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly row work.
+
+    A small table often is one file with one row group, which Spark reads in one task. The
+    planner's size estimate decides; larger inputs are left as they are read, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if estimate < cores * _SMALL_SHARE else df

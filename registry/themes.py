@@ -12,6 +12,7 @@ from opinara.functions.themes import canonical_themes, joined_themes, named_them
 from opinara.operators import insights as ins, themes as th
 from opinara.operators.filters import without_failed
 from opinara.operators.ranking import with_batches
+from opinara.session import pin
 from opinara.vocab import THEMES
 from registry.core import query, reviews, scored, table, with_views
 from registry.ranking import SAMPLE_SQL
@@ -180,7 +181,7 @@ def thm_11(spark, sf):
 @query("set_3_good_and_failed", _with("themed", """
 SELECT themes = 'FAILED' AS failed, count(*) AS reviews FROM themed GROUP BY 1"""))
 def set_3(spark, sf):
-    parsed = th.parsed_replies(replies(spark, sf))
+    parsed = pin(th.parsed_replies(replies(spark, sf)), "parsed")
     both = th.review_themes(parsed.filter("ok")).unionByName(th.review_themes(parsed.filter("not ok")))
     return both.groupBy((F.col("themes") == "FAILED").alias("failed")).agg(F.count("*").alias("reviews"))
 
@@ -189,7 +190,8 @@ def set_3(spark, sf):
 SELECT review_id, text, CASE WHEN batch_id % 12 IN (8, 9, 11) THEN 'FAILED' ELSE themes END
  AS themes FROM themed"""))
 def jon_2(spark, sf):
-    found = th.review_themes(th.parsed_replies(replies(spark, sf)).filter("ok"))
+    parsed = pin(th.parsed_replies(replies(spark, sf)), "parsed")
+    found = th.review_themes(parsed.filter("ok"))
     keyed = reviews(spark, sf).withColumns(
         {"batch_id": F.floor(F.col("k") / 2), "position": (F.col("k") % 2 + 1).cast("int")}
     )
