@@ -34,13 +34,23 @@ def native_objects(span: Column, strict: bool = False) -> Column:
     """JSON objects of a reply span as `array<map<string,string>>`, null if not readable.
 
     The span is put in brackets: an object, or several with commas between them, then form
-    one array, and a list becomes a list in a list. Nested values stay JSON text. The first
-    character tells which form to read, as a failed read is slow. `strict` takes neither
-    several objects without a list nor single quotes.
+    one array, and a list becomes a list in a list. Nested values stay JSON text. A mark is
+    appended, as Spark would not notice text after a complete value: it is reached only if
+    the whole span was read. The first character tells which form to read, as a failed read
+    is slow. `strict` takes neither several objects without a list nor single quotes.
     """
-    bracketed = F.concat(F.lit("["), span, F.lit("]"))
-    flat = F.from_json(bracketed, f"array<{_OBJECT}>")
-    nested = F.from_json(bracketed, f"array<array<{_OBJECT}>>")
+
+    def read(item: str, mark: str) -> Column:
+        whole = F.concat(F.lit("["), span, F.lit(f",{mark}]"))
+        items = F.from_json(whole, f"array<{item}>")
+        end = F.from_json(F.lit(mark), item)
+        last = F.try_element_at(items, F.lit(-1))
+        same = F.to_json(last) == F.to_json(end)
+        return F.when(same, F.slice(items, F.lit(1), F.size(items) - 1))
+
+    mark = '{"":"end"}'
+    flat = read(_OBJECT, mark)
+    nested = read(f"array<{_OBJECT}>", f"[{mark}]")
     if strict:
         flat = F.when(F.size(flat) == 1, flat)
     objects = F.when(F.startswith(span, F.lit("{")), flat).otherwise(
