@@ -268,11 +268,12 @@ def matching_reviews(df: DataFrame) -> DataFrame:
     A review counts once per theme: repeats are removed in its own theme array, so the
     count needs no distinct shuffle.
     """
-    pairs = explode_themes(df, distinct=True)
-    own = F.coalesce("predicted_sentiment", F.lit(ALL_SENTIMENTS))
+    own = theme_sentiment(explode_themes(df, distinct=True))
+    # The sets are formed from the counts, not from the rows.
+    sets = [["Theme"], ["Theme", "predicted_sentiment"]]
+    sentiment = F.coalesce("predicted_sentiment", F.lit(ALL_SENTIMENTS))
     return (
-        pairs.groupingSets([["Theme"], ["Theme", "predicted_sentiment"]], "Theme",
-                           "predicted_sentiment")
-        .agg(F.count(F.lit(1)).alias("reviews"))
-        .select("Theme", own.alias("sentiment"), "reviews")
+        own.groupingSets(sets, "Theme", "predicted_sentiment")
+        .agg(F.sum("count").alias("reviews"))
+        .select("Theme", sentiment.alias("sentiment"), "reviews")
     )

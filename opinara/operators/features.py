@@ -102,16 +102,25 @@ def idf(docs: Column, n_docs: int) -> Column:
     return F.log((1.0 + n_docs) / (1.0 + docs)) + 1.0
 
 
+def text_terms(df: DataFrame, stages: PipelineModel | None = None) -> DataFrame:
+    """`words`, `pairs` and `terms` of `clean_text`; small inputs use all cores."""
+    return (stages or term_stages()).transform(spread(df))
+
+
 def fit_tfidf(
-    df: DataFrame, stop_words: Sequence[str] | None = None, **limits
+    df: DataFrame,
+    stop_words: Sequence[str] | None = None,
+    n_docs: int | None = None,
+    **limits,
 ) -> PipelineModel:
     """Fit the vocabulary on `clean_text` and return text -> `features` as JVM stages.
 
-    Only the vocabulary, at most `max_terms` rows, reaches the driver.
+    Only the vocabulary, at most `max_terms` rows, reaches the driver. `n_docs` saves a
+    count where the caller knows it.
     """
     stages = term_stages(stop_words)
-    terms = stages.transform(spread(df.select("clean_text"))).select("words", "pairs")
-    n_docs = df.count()
+    terms = text_terms(df.select("clean_text"), stages).select("words", "pairs")
+    n_docs = df.count() if n_docs is None else n_docs
     rows = sorted(
         vocabulary(terms, n_docs, **limits).withColumn("idf", idf(F.col("docs"), n_docs)).collect(),
         key=lambda r: r["term"],

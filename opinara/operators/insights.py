@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from opinara.functions.replies import cited_positions, insight_text
 from opinara.operators.filters import sampled_text
 from opinara.operators.ranking import sample_per_group
-from opinara.operators.themes import PARALLEL_CALLS, ask_model, explode_themes
+from opinara.operators.themes import PARALLEL_CALLS, explode_themes, written_replies
 from opinara.session import pin
 from opinara.vocab import ALL_SENTIMENTS
 
@@ -40,8 +40,13 @@ def theme_choices(df: DataFrame) -> DataFrame:
 
 
 def insight_samples(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
-    """Up to n reviews per theme and sentiment, with 0-based `position`."""
-    return sample_per_group(theme_choices(sampled_text(df)), GROUP, n, seed)
+    """Up to n reviews per theme and sentiment, with 0-based `position`.
+
+    Texts are fetched for the picked ids only, without exploding the reviews again.
+    """
+    rows = sampled_text(df)
+    picked = sample_per_group(theme_choices(rows), GROUP, n, seed)
+    return rows.drop("sentiment").join(picked, "review_id")
 
 
 def insight_prompts(samples: DataFrame, template: str = INSIGHT_INSTRUCTIONS) -> DataFrame:
@@ -102,6 +107,6 @@ def insights(
     the same sample, and a call is never repeated for one.
     """
     samples = pin(insight_samples(df, n, seed), "insight-samples")
-    replies = pin(ask_model(insight_prompts(samples), ask, parallel_calls), "insight-replies")
+    replies = written_replies(insight_prompts(samples), ask, parallel_calls)
     found = parsed_insights(replies)
     return found, cited_reviews(found, samples)

@@ -78,13 +78,15 @@ def fit_classifier(
 
     The penalty is that of the C-objective: 1 / (C * rows). Classes are in alphabetical order.
     """
-    features = fit_tfidf(df, stop_words, **limits)
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
+    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    n_rows = sum(sizes.values())
+    features = fit_tfidf(df, stop_words, n_rows, **limits)
+    classes = sorted(sizes)
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     rows = features.transform(df).select("features", index.cast("double").alias("label"))
     regression = LogisticRegression(
         maxIter=MAX_ITERATIONS,
-        regParam=1.0 / (INVERSE_PENALTY * df.count()),
+        regParam=1.0 / (INVERSE_PENALTY * n_rows),
         elasticNetParam=0.0,
         standardization=False,
         family="auto",

@@ -96,16 +96,15 @@ def top_k_per_group(
 def sample_per_group(
     df: DataFrame, keys: Sequence[str], n: int, seed: int = 0, id_column: str = "review_id"
 ) -> DataFrame:
-    """Exactly min(n, group size) rows per group, chosen by seed, with 0-based `position`.
+    """Ids of exactly min(n, group size) rows per group, chosen by seed.
 
-    The choice runs on keys and ids only. The picked ids, at most n per group, are written
-    and then fetch the other columns; Spark sees their true size and broadcasts them only
-    when they are small.
+    Gives (keys, id, 0-based `position`). Only these columns are read, and the ids, at most
+    n per group, are written: a join that fetches the rows then knows their true size, so
+    Spark broadcasts them only when they are small.
     """
     narrow = df.select(*keys, id_column).withColumn("_key", seeded_key(F.col(id_column), seed))
     picked = top_k_per_group(narrow, keys, ["_key", id_column], n, "_rank")
-    picked = picked.select(*keys, id_column, (F.col("_rank") - 1).alias("position"))
-    return df.join(pin(picked, "sample"), [*keys, id_column])
+    return pin(picked.select(*keys, id_column, (F.col("_rank") - 1).alias("position")), "sample")
 
 
 def random_feed(

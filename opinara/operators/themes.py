@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from opinara.functions.replies import (
     all_have_themes,
@@ -18,7 +19,7 @@ from opinara.functions.replies import (
 from opinara.functions.themes import is_failed, joined_themes, named_themes
 from opinara.operators.filters import without_failed
 from opinara.operators.ranking import BATCH_SIZE, with_batches
-from opinara.session import pin
+from opinara.session import new_path, pin
 from opinara.vocab import FAILED, THEMES
 
 # Characters of a review shown to the model, attempts, seconds between them,
@@ -28,6 +29,9 @@ ATTEMPTS = 5
 PAUSE = 2.0
 PARALLEL_CALLS = 2
 
+# Calls that are lost at most with a task.
+CALLS_PER_TASK = 500
+
 THEME_INSTRUCTIONS = """Sort customer reviews into themes.
 Use these themes only: {themes}
 Give each of the {size} reviews at least one theme, the closest one if unsure.
@@ -93,6 +97,31 @@ def ask_model(
     return prompts.repartition(parallel_calls).mapInPandas(call, schema)
 
 
+def written_replies(
+    prompts: DataFrame,
+    ask: Callable[[str], str],
+    parallel_calls: int = PARALLEL_CALLS,
+    calls_per_task: int = CALLS_PER_TASK,
+) -> DataFrame:
+    """Ask for every prompt and write the replies, in rounds of bounded tasks.
+
+    A task makes about `calls_per_task` calls, and a round's replies are written before the
+    next one starts: a lost executor costs the calls of its running tasks, no more.
+    """
+    spark = prompts.sparkSession
+    rounds = math.ceil(prompts.count() / (parallel_calls * calls_per_task))
+    if rounds <= 1:
+        return pin(ask_model(prompts, ask, parallel_calls), "replies")
+    number = F.pmod(F.xxhash64("prompt"), F.lit(rounds)).alias("_round")
+    split = pin(prompts.select("*", number).repartition("_round"), "asked", "_round")
+    path = new_path(spark, "replies")
+    for i in range(rounds):
+        part = split.filter(F.col("_round") == i).drop("_round")
+        ask_model(part, ask, parallel_calls).write.mode("append").parquet(path)
+    fields = [*prompts.schema.fields, T.StructField("raw", T.StringType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def parsed_replies(
     replies: DataFrame, themes: Sequence[str] = THEMES, strict: bool = False
 ) -> DataFrame:
@@ -171,14 +200,14 @@ def extract_themes(
     Each attempt asks again only for the batches that failed so far. Its replies are written
     before they are read, so a lost executor never repeats a finished attempt.
     """
-    batches = pin(with_batches(reviews, batch_size, order_by), "batches")
+    batches = with_batches(reviews, batch_size, order_by)
     prompts = pin(batch_prompts(batches, themes), "prompts")
     done = None
     pending = prompts
     for attempt in range(attempts):
         if attempt:
             time.sleep(pause)
-        replies = pin(ask_model(pending, ask, parallel_calls), "replies")
+        replies = written_replies(pending, ask, parallel_calls)
         parsed = pin(parsed_replies(replies, themes, strict).drop("raw", "prompt"), "parsed")
         good = parsed.filter("ok")
         done = good if done is None else done.unionByName(good)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinara.operators.model import predict
 from opinara.operators.prepare import with_clean_text, with_review_id
+from opinara.session import spread
 from opinara.sources.models import load_or_train
 from opinara.sources.reports import write_scored
 from opinara.sources.reviews import read_reviews, read_training
@@ -14,7 +15,7 @@ from opinara.sources.reviews import read_reviews, read_training
 
 def score(reviews: DataFrame, model: PipelineModel) -> DataFrame:
     """Ids, clean text and predictions for raw reviews."""
-    return predict(with_clean_text(with_review_id(reviews)), model)
+    return predict(spread(with_clean_text(with_review_id(reviews))), model)
 
 
 def score_job(

@@ -30,7 +30,11 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/opinara-{spark.sparkContext.applicationId}"
 
 
-def pin(df: DataFrame, label: str) -> DataFrame:
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def pin(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as parquet and read it back.
 
     Cuts the lineage in storage that survives lost executors, so every later read sees the
@@ -38,8 +42,8 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     model calls) and cheaper than recomputing a frame that several jobs read.
     """
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, label)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

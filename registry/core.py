@@ -6,14 +6,13 @@ review per order, its parts chosen by the order key. The same SQL makes them in
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinara.operators.model import mixed_flag
 from opinara.operators.prepare import with_clean_text
-from opinara.session import run_dir
+from opinara.session import new_path
 from opinara.vocab import CONTRAST_WORDS, NEGATIVE_CUES, POSITIVE_CUES, THEMES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +135,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name beside the intermediate tables."""
-    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return new_path(spark, label)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

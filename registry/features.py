@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from opinara.functions.text import tokens
 from opinara.operators import features
-from opinara.operators.model import classes_of, fit_classifier, predict, stratified_split, train
+from opinara.operators.model import classes_of, fit_classifier, stratified_split, train
 from opinara.operators.prepare import training_rows, with_clean_text
+from opinara.plans.score import score
 from opinara.session import pin
 from opinara.vocab import default_stop_words
 from registry.core import query, reviews, rounded, scored, table, with_views
@@ -59,7 +60,7 @@ def _documents(spark, sf):
 
 
 def _terms(spark, sf):
-    return features.term_stages().transform(_documents(spark, sf))
+    return features.text_terms(_documents(spark, sf))
 
 
 @query("txt_1_tokens", f"""
@@ -144,7 +145,7 @@ def mdl_2(spark, sf):
     """Scores of all reviews, told as the properties that hold for any fitted model."""
     model = trained(spark, sf).model
     classes = classes_of(model)
-    out = predict(with_clean_text(reviews(spark, sf)), model)
+    out = score(reviews(spark, sf), model)
     probabilities = F.array(*[F.col(f"`prob_{c}`") for c in classes])
     total = sum((F.col(f"`prob_{c}`") for c in classes[1:]), F.col(f"`prob_{classes[0]}`"))
     own = F.lit(False)

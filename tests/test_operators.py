@@ -216,6 +216,15 @@ def test_samples(spark):
     assert key(samples) != key(ins.insight_samples(df, 50, seed=1))
 
 
+def test_replies_in_rounds(spark):
+    prompts = spark.range(0, 100, 1, 4).select(
+        F.col("id").alias("batch_id"), F.lit(1).alias("size"), F.col("id").cast("string").alias("prompt")
+    )
+    out = th.written_replies(prompts, lambda p: f"re {p}", parallel_calls=2, calls_per_task=7)
+    assert len([p for p in out.inputFiles()]) > 2
+    assert sorted((r["batch_id"], r["raw"]) for r in out.collect()) == [(i, f"re {i}") for i in range(100)]
+
+
 def test_random_feed(spark):
     df = spark.range(200).select(F.col("id").cast("string").alias("review_id"))
     first, other = ranking.random_feed(df, seed=0), ranking.random_feed(df, seed=1)
