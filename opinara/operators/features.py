@@ -94,7 +94,8 @@ def vocabulary(
         .join(partner.withColumnRenamed("term", "second"), "second", "left_semi")
     )
     counted = term_counts(pairs).filter(frequent & not_common)
-    return fitting.unionByName(counted).orderBy(F.desc("total"), "term").limit(max_terms)
+    reaching = fitting.unionByName(counted).filter(F.col("total") >= floor)
+    return reaching.orderBy(F.desc("total"), "term").limit(max_terms)
 
 
 def idf(docs: Column, n_docs: int) -> Column:

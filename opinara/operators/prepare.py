@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opinara.functions.labels import sentiment_from_stars
 from opinara.functions.text import clean, strip
-from opinara.operators.ranking import with_row_index
+from opinara.operators.ranking import first_rows, with_row_index
 
 # Text columns in order of preference, columns of the raw output view.
 TEXT_COLUMNS = ("clean_text", "text", "raw_text")
@@ -98,4 +98,4 @@ def parse_dates(
 def raw_view(df: DataFrame, rows: int = RAW_VIEW_ROWS, order_by: str = "review_id") -> DataFrame:
     """First rows of the scored reviews, with the columns of the raw view that exist."""
     columns = [c for c in RAW_VIEW_COLUMNS if c in df.columns]
-    return df.orderBy(order_by).limit(rows).select(columns)
+    return first_rows(df.select(list({*columns, order_by})), rows, order_by).select(columns)

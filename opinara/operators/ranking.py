@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -93,25 +94,66 @@ def top_k_per_group(
     )
 
 
+def _key_limit(size: Column, n: int) -> Column:
+    """A seeded key that more than n of `size` rows are all but sure to stay below.
+
+    Keys are spread evenly, so a share of the key range holds that share of the rows. The
+    slack is ten standard deviations and more; callers count what they got all the same.
+    """
+    return F.lit((n + 10 * math.sqrt(n) + 20) * float(1 << 60)) / size
+
+
 def sample_per_group(
     df: DataFrame, keys: Sequence[str], n: int, seed: int = 0, id_column: str = "review_id"
 ) -> DataFrame:
     """Ids of exactly min(n, group size) rows per group, chosen by seed.
 
-    Gives (keys, id, 0-based `position`). Only these columns are read, and the ids, at most
-    n per group, are written: a join that fetches the rows then knows their true size, so
-    Spark broadcasts them only when they are small.
+    Gives (keys, id, 0-based `position`). Groups are counted first, then only the rows with
+    keys so small that they may be among the n smallest are ranked: about as many as asked
+    for, however large the group. The ids are written, so a join that fetches the rows knows
+    their true size, and Spark broadcasts them only when they are small.
     """
-    narrow = df.select(*keys, id_column).withColumn("_key", seeded_key(F.col(id_column), seed))
-    picked = top_k_per_group(narrow, keys, ["_key", id_column], n, "_rank")
-    return pin(picked.select(*keys, id_column, (F.col("_rank") - 1).alias("position")), "sample")
+    keys = list(keys)
+    narrow = df.select(*keys, id_column).dropna(subset=keys)
+    narrow = narrow.withColumn("_key", seeded_key(F.col(id_column), seed))
+    sizes = pin(narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
+
+    def picked(rows: DataFrame) -> DataFrame:
+        best = top_k_per_group(rows, keys, ["_key", id_column], n, "_rank")
+        return pin(best.select(*keys, id_column, (F.col("_rank") - 1).alias("position")), "sample")
+
+    near = narrow.join(sizes, keys).filter(F.col("_key") <= _key_limit(F.col("_size"), n))
+    sample = picked(near.drop("_size"))
+    got = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
+    short = sizes.join(got, keys, "left").filter(
+        F.coalesce("_got", F.lit(0)) < F.least("_size", F.lit(n))
+    )
+    return sample if short.isEmpty() else picked(narrow)
 
 
 def random_feed(
     df: DataFrame, n: int = 20, seed: int = 0, id_column: str = "review_id"
 ) -> DataFrame:
-    """n rows chosen by seed, or all if there are no more; another seed gives another feed."""
-    return df.orderBy(seeded_key(F.col(id_column), seed), id_column).limit(n)
+    """n rows chosen by seed, or all if there are no more; another seed gives another feed.
+
+    Rows that cannot be among the first n are dropped where they are read.
+    """
+    keyed = df.withColumn("_key", seeded_key(F.col(id_column), seed))
+    size = df.count()
+
+    def first(rows: DataFrame) -> DataFrame:
+        return pin(rows.orderBy("_key", id_column).limit(n), "feed")
+
+    feed = first(keyed.filter(F.col("_key") <= _key_limit(F.lit(max(size, 1)), n)))
+    if feed.count() < min(n, size):
+        feed = first(keyed)
+    return feed.orderBy("_key", id_column).drop("_key")
+
+
+def first_rows(df: DataFrame, n: int, order_by: str) -> DataFrame:
+    """The first n rows in order. The order column alone is ranked, then its rows are read."""
+    first = pin(df.select(order_by).orderBy(order_by).limit(n), "first-rows")
+    return df.join(first, order_by, "left_semi").orderBy(order_by).limit(n)
 
 
 def order_statistics(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opinara.operators import analytics as a
 from opinara.operators.model import accuracy
 from opinara.operators.prepare import training_rows
+from opinara.operators.ranking import first_rows
 from opinara.operators.themes import explode_themes, failed_count
 from registry.core import as_text, query, rounded, scored, with_views
 from registry.preparation import LABEL
@@ -227,7 +228,7 @@ def top_1(spark, sf):
 @query("top_2_first_rows", with_views("scored", """
 SELECT review_id, clean_text FROM scored ORDER BY review_id LIMIT 50"""))
 def top_2(spark, sf):
-    return scored(spark, sf).orderBy("review_id").limit(50).select("review_id", "clean_text")
+    return first_rows(scored(spark, sf).select("review_id", "clean_text"), 50, "review_id")
 
 
 @query("top_3_chart_order", with_views("exploded", """

@@ -225,6 +225,25 @@ def test_replies_in_rounds(spark):
     assert sorted((r["batch_id"], r["raw"]) for r in out.collect()) == [(i, f"re {i}") for i in range(100)]
 
 
+@pytest.mark.parametrize("share", [1.0, 1e-9])
+def test_samples_are_whole_if_the_limit_is_too_small(spark, monkeypatch, share):
+    """With a limit that lets nothing through, the full ranking gives the same sample."""
+    limit = ranking._key_limit
+    monkeypatch.setattr(ranking, "_key_limit", lambda size, n: limit(size, n) * share)
+    df = spark.range(0, 20000, 1, 8).select(
+        F.col("id").cast("string").alias("review_id"),
+        F.when(F.col("id") % 10 < 8, "hot").otherwise((F.col("id") % 500).cast("string")).alias("g"),
+    )
+    keys = {}
+    for r in df.withColumn("key", ranking.seeded_key(F.col("review_id"), 4)).collect():
+        keys.setdefault(r["g"], []).append((r["key"], r["review_id"]))
+    want = {(g, i, p) for g, ks in keys.items() for p, (_, i) in enumerate(sorted(ks)[:50])}
+    got = ranking.sample_per_group(df, ["g"], 50, seed=4).collect()
+    assert {(r["g"], r["review_id"], r["position"]) for r in got} == want and len(got) == len(want)
+    feed = [r["review_id"] for r in ranking.random_feed(df.filter("g = 'hot'"), 20, seed=4).collect()]
+    assert feed == [i for _, i in sorted(keys["hot"])[:20]]
+
+
 def test_random_feed(spark):
     df = spark.range(200).select(F.col("id").cast("string").alias("review_id"))
     first, other = ranking.random_feed(df, seed=0), ranking.random_feed(df, seed=1)

@@ -64,9 +64,11 @@ def test_reply_checks_need_no_shuffle(spark):
 
 
 def test_top_lists_need_no_full_sort(spark, sf_dir):
-    df = with_clean_text(table(spark, sf_dir, "documents"))
-    feed = plan(ranking.random_feed(df, id_column="doc_id"))
-    assert "TakeOrderedAndProject" in feed and "rangepartitioning" not in feed
+    top = plan(a.top_themes(th.explode_themes(scored(spark, sf_dir))))
+    first = plan(ranking.first_rows(with_clean_text(table(spark, sf_dir, "documents")), 50, "doc_id"))
+    for text in (top, first):
+        assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+    assert "BroadcastHashJoin" in first
 
 
 def test_group_samples_are_cut_before_each_shuffle(spark, sf_dir):
