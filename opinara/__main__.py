@@ -18,10 +18,12 @@ def main() -> None:
     parser.add_argument(
         "--single-line", action="store_true", help="no quoted line breaks: read files in splits"
     )
+    parser.add_argument("--fill-ids", action="store_true", help="make ids where they are missing")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("opinara").getOrCreate()
     accuracy = score_job(
-        spark, args.input, args.model, args.output, args.training, not args.single_line
+        spark, args.input, args.model, args.output, args.training, not args.single_line,
+        args.fill_ids,
     )
     if accuracy is not None:
         print(f"trained a new model, accuracy {accuracy:.4f}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opinara.functions.replies import cited_positions, insight_text
 from opinara.operators.filters import sampled_text
-from opinara.operators.ranking import sample_per_group
+from opinara.operators.ranking import FEED_SIZE, sample_per_group
 from opinara.operators.themes import PARALLEL_CALLS, explode_themes, written_replies
 from opinara.session import pin
 from opinara.vocab import ALL_SENTIMENTS
@@ -49,6 +49,12 @@ def insight_samples(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = 0) -> DataF
     return rows.drop("sentiment").join(picked, "review_id")
 
 
+def random_feeds(df: DataFrame, n: int = FEED_SIZE, seed: int = 0) -> DataFrame:
+    """The random feed of every theme and sentiment at once, with 0-based `position`."""
+    picked = sample_per_group(theme_choices(df), GROUP, n, seed)
+    return df.drop("sentiment").join(picked, "review_id")
+
+
 def insight_prompts(samples: DataFrame, template: str = INSIGHT_INSTRUCTIONS) -> DataFrame:
     """One prompt per theme and sentiment: (Theme, sentiment, sample_size, prompt).
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara.session import pin
 
+# Reviews per model call and per random feed.
 BATCH_SIZE = 10
+FEED_SIZE = 20
 
 # A position counter holds the partition number above this many bits of row number.
 _COUNTER_BITS = 33
@@ -70,7 +72,8 @@ def with_batches(
 
 def seeded_key(column: Column, seed: int) -> Column:
     """A number in [0, 2^60) that looks random but depends on value and seed only."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")))
+    text = F.coalesce(column.cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
@@ -132,7 +135,7 @@ def sample_per_group(
 
 
 def random_feed(
-    df: DataFrame, n: int = 20, seed: int = 0, id_column: str = "review_id"
+    df: DataFrame, n: int = FEED_SIZE, seed: int = 0, id_column: str = "review_id"
 ) -> DataFrame:
     """n rows chosen by seed, or all if there are no more; another seed gives another feed.
 

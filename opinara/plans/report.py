@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,8 +18,9 @@ from opinara.functions.lines import (
 )
 from opinara.functions.text import latin1
 from opinara.operators import analytics as a
+from opinara.operators.insights import GROUP, insights, random_feeds
 from opinara.operators.prepare import raw_view
-from opinara.operators.themes import explode_themes
+from opinara.operators.themes import PARALLEL_CALLS, explode_themes
 from opinara.session import pin
 from opinara.vocab import LABELS
 
@@ -73,13 +76,50 @@ def report_lines(df: DataFrame, section: Sequence[str], order: Sequence[str]) ->
     )
 
 
+def _title(kind: str):
+    title = F.concat(F.lit(f"{kind}: "), "Theme", F.lit(" ("), "sentiment", F.lit(")"))
+    return latin1(title).alias("title")
+
+
 def insight_sections(found: DataFrame) -> DataFrame:
     """Title and printable text of every insight."""
-    title = F.concat(F.lit("Insights: "), "Theme", F.lit(" ("), "sentiment", F.lit(")"))
-    return found.select(
-        "Theme", "sentiment", latin1(title).alias("title"),
-        insight_body(F.col("insights")).alias("text"),
-    )
+    text = insight_body(F.col("insights")).alias("text")
+    return found.select(*GROUP, _title("Insights"), text)
+
+
+def cited_section(cited: DataFrame) -> DataFrame:
+    """Lines of the reviews each insight cites, under the insight's title."""
+    lines = report_lines(cited, GROUP, ["citation"])
+    return lines.select(_title("Insights"), *lines.columns)
+
+
+def random_section(feeds: DataFrame) -> DataFrame:
+    """Lines of the random reviews of each theme and sentiment."""
+    lines = report_lines(feeds, GROUP, ["position"])
+    return lines.select(_title("Random Reviews"), *lines.columns)
+
+
+def review_tables(
+    df: DataFrame,
+    ask: Callable[[str], str] | None = None,
+    feeds: Sequence[tuple[str, str]] = (),
+    seed: int = 0,
+    parallel_calls: int = PARALLEL_CALLS,
+) -> dict[str, DataFrame]:
+    """The report's reviews: insights with the reviews they cite, and chosen random feeds.
+
+    Insights are asked for only with a model function; `feeds` names (theme, sentiment)
+    pairs, "All" included.
+    """
+    tables = {}
+    if ask is not None:
+        found, cited = insights(df, ask, seed=seed, parallel_calls=parallel_calls)
+        tables["insights"] = insight_sections(found)
+        tables["cited_reviews"] = cited_section(cited)
+    if feeds:
+        chosen = reduce(or_, ((F.col("Theme") == t) & (F.col("sentiment") == s) for t, s in feeds))
+        tables["random_reviews"] = random_section(random_feeds(df, seed=seed).filter(chosen))
+    return tables
 
 
 def report_bundle(

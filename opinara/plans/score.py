@@ -13,9 +13,14 @@ from opinara.sources.reports import write_scored
 from opinara.sources.reviews import read_reviews, read_training
 
 
-def score(reviews: DataFrame, model: PipelineModel) -> DataFrame:
-    """Ids, clean text and predictions for raw reviews."""
-    return predict(spread(with_clean_text(with_review_id(reviews))), model)
+def score(reviews: DataFrame, model: PipelineModel, fill_ids: bool = False) -> DataFrame:
+    """Ids, clean text and predictions for raw reviews.
+
+    Ids are made where the column is absent; `fill_ids` also replaces missing ones, which
+    writes the reviews once.
+    """
+    rows = with_clean_text(with_review_id(reviews, fill_null=fill_ids))
+    return predict(spread(rows), model)
 
 
 def score_job(
@@ -25,6 +30,7 @@ def score_job(
     output_path: str,
     training_folder: str | None = None,
     multi_line: bool = True,
+    fill_ids: bool = False,
 ) -> float | None:
     """Read a CSV, score it with the saved or a newly trained model, write the result.
 
@@ -32,5 +38,6 @@ def score_job(
     """
     training = None if training_folder is None else read_training(spark, training_folder)
     model, accuracy = load_or_train(spark, model_path, training)
-    write_scored(score(read_reviews(spark, input_path, multi_line), model), output_path)
+    reviews = read_reviews(spark, input_path, multi_line)
+    write_scored(score(reviews, model, fill_ids), output_path)
     return accuracy

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opinara.operators.model import predict
 from opinara.operators.prepare import training_rows, with_clean_text
-from opinara.plans.report import SECTIONS, THEME_TREND, TOP, report_bundle
+from opinara.plans.report import SECTIONS, THEME_TREND, TOP, report_bundle, review_tables
 from opinara.plans.score import score_job
 from opinara.sources.models import load_or_train, save_model
 from opinara.sources.reports import write_report
@@ -15,6 +15,8 @@ from opinara.vocab import NA_TOKENS
 from registry.core import query, reviews, scored, scratch, table, with_views
 from registry.features import trained
 from registry.preparation import LABEL
+from registry.ranking import SAMPLE_SQL
+from registry.themes import analyst
 
 _NA = ", ".join(f"'{t}'" for t in NA_TOKENS)
 
@@ -112,6 +114,35 @@ def snk_3(spark, sf):
     )
 
 
+def _lines_sql(kind, order):
+    return f"""
+SELECT concat('{kind}: ', s.Theme, ' (', s.sentiment, ')') AS title, s.Theme, s.sentiment,
+ row_number() OVER (PARTITION BY s.Theme, s.sentiment ORDER BY {order}) AS number,
+ concat('"', clean_text, '"') AS body
+FROM sample s JOIN scored r ON s.review_id = r.review_id"""
+
+
+@query("snk_3_cited_and_random_reviews", with_views("choices",
+    f"""SELECT 'cited' AS kind, * FROM ({_lines_sql("Insights", "CASE position WHEN 7 THEN 0 WHEN 0 THEN 1 ELSE 2 END")}
+ WHERE position IN (7, 0, 3)) c
+UNION ALL SELECT 'random', * FROM ({_lines_sql("Random Reviews", "position")}
+ WHERE position < 20 AND ((s.Theme = 'Price and Value' AND s.sentiment = 'All')
+  OR (s.Theme = 'Speed of Service' AND s.sentiment = 'negative'))) f""", sample=SAMPLE_SQL))
+def snk_3_reviews(spark, sf):
+    feeds = [("Price and Value", "All"), ("Speed of Service", "negative")]
+    tables = review_tables(scored(spark, sf), analyst(), feeds, parallel_calls=8)
+    folder = scratch(spark, "report")
+    write_report(tables, folder)
+    parts = [
+        spark.read.parquet(f"{folder}/{name}_reviews").select(
+            F.lit(name).alias("kind"), "title", "Theme", "sentiment",
+            F.col("number").cast("bigint").alias("number"), "body",
+        )
+        for name in ("cited", "random")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("snk_4_score_job", with_views("reviews", """
 SELECT review_id, lower(coalesce(text, '')) AS clean_text, TRUE AS scored FROM reviews"""))
 def snk_4(spark, sf):

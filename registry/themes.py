@@ -126,7 +126,7 @@ FROM replies WHERE batch_id % 12 <> 11"""))
 def thm_5(spark, sf):
     entries = reply_entries(F.col("objects"))
     keys = F.array_join(F.transform(entries, lambda e: e["key"]), ",")
-    readable = _objects(replies(spark, sf)).filter(F.col("objects").isNotNull())
+    readable = pin(_objects(replies(spark, sf)), "objects").filter(F.col("objects").isNotNull())
     return readable.select("batch_id", keys.alias("keys"))
 
 
@@ -134,7 +134,6 @@ def thm_5(spark, sf):
 SELECT batch_id, CASE batch_id % 12 WHEN 2 THEN upper(t2) WHEN 11 THEN '' ELSE t2 END AS names
 FROM replies"""))
 def thm_6(spark, sf):
-    entries = F.coalesce(reply_entries(F.col("objects")), F.array())
     df = _objects(replies(spark, sf)).withColumn("entries", reply_entries(F.col("objects")))
     names = F.array_join(entry_names(F.col("entries"), F.lit("2")), ",")
     return df.select("batch_id", F.coalesce(names, F.lit("")).alias("names"))
@@ -325,7 +324,7 @@ def top_4(spark, sf):
     )
 
 
-def _analyst():
+def analyst():
     """Stands for a model: cites three reviews, one twice, and one that does not exist."""
 
     def answer(prompt: str) -> str:
@@ -338,7 +337,7 @@ def _analyst():
 SELECT Theme, sentiment, concat('- ', CAST(count(*) AS VARCHAR), ' reviews') AS insights
 FROM sample GROUP BY 1, 2""", sample=SAMPLE_SQL))
 def ins_4(spark, sf):
-    found, _ = ins.insights(scored(spark, sf), _analyst(), parallel_calls=8)
+    found, _ = ins.insights(scored(spark, sf), analyst(), parallel_calls=8)
     return found.drop("cited")
 
 
@@ -348,7 +347,7 @@ SELECT s.Theme, s.sentiment, CAST(CASE position WHEN 7 THEN 1 WHEN 0 THEN 2 ELSE
 FROM sample s JOIN scored r ON s.review_id = r.review_id WHERE position IN (7, 0, 3)""",
     sample=SAMPLE_SQL))
 def jon_5(spark, sf):
-    _, cited = ins.insights(scored(spark, sf), _analyst(), parallel_calls=8)
+    _, cited = ins.insights(scored(spark, sf), analyst(), parallel_calls=8)
     return cited.select(
         "Theme", "sentiment", F.col("citation").cast("bigint").alias("citation"), "review_id",
         "clean_text",

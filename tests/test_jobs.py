@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara import __main__ as cli
 from opinara.operators import insights as ins, themes as th
+from opinara.plans.extract import themed_reviews
 from opinara.plans.report import SECTIONS, SUMMARY, TOP, insight_sections, report_bundle
 from opinara.session import run_dir, shared_dir
 from opinara.sources.models import save_model
@@ -146,6 +147,24 @@ def test_report_bundle(spark, sf_dir):
         report_bundle(df, ["Weather"])
 
 
+def test_extraction_is_skipped_where_done(spark):
+    df = extraction_input(spark, 5).withColumn("themes", F.lit("a"))
+    assert themed_reviews(df, None) is df
+    failed = df.withColumn("themes", F.lit("FAILED"))
+    out = themed_reviews(failed, replies_of(THEMES[1]), pause=0)
+    assert {r["themes"] for r in out.collect()} == {THEMES[1]} and out.columns.count("themes") == 1
+
+
+def test_missing_ids_are_filled(spark, sf_dir):
+    from opinara.operators.model import train
+    from opinara.plans.score import score
+    from registry.core import reviews
+
+    model = train(reviews(spark, sf_dir), max_terms=50).model
+    df = spark.createDataFrame([("x", "a"), (None, "b")], "review_id string, text string").coalesce(1)
+    assert sorted(r["review_id"] for r in score(df, model, fill_ids=True).collect()) == ["review_1", "x"]
+
+
 def test_command_line(spark, sf_dir, tmp_path, monkeypatch):
     training, source = tmp_path / "training", tmp_path / "in.csv"
     training.mkdir()
