@@ -103,7 +103,8 @@ def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> T
     if "review_id" not in rows.columns:
         rows = with_row_index(rows, "review_id")
     # Split and fit read the rows many times.
-    rows = pin(spread(rows.select("review_id", "clean_text", "sentiment")), "training")
+    text = F.coalesce("clean_text", F.lit("")).alias("clean_text")
+    rows = pin(spread(rows.select("review_id", text, "sentiment")), "training")
     rows = stratified_split(rows)
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinara.session import pin
+from opinara.session import pin, reads_files_only
 
 # Reviews per model call and per random feed.
 BATCH_SIZE = 10
@@ -34,11 +34,13 @@ def with_row_index(
     Rows are range-sorted by `order_by` (default: read order), numbered inside each
     partition and written once; each partition then adds the row count of those before it.
     The only table that is not distributed has one row per partition. Equal keys may be
-    spread over partitions, since the read position breaks ties.
+    spread over partitions, since the read position breaks ties; rows that come out of a
+    shuffle are written first, as their positions could change if a task ran again.
     """
     counted = df.withColumn("_slot", F.monotonically_increasing_id())
     if order_by:
-        counted = counted.orderBy(*order_by, "_slot").withColumn(
+        read = counted if reads_files_only(df) else pin(counted, "read-order")
+        counted = read.orderBy(*order_by, "_slot").withColumn(
             "_slot", F.monotonically_increasing_id()
         )
     counted = pin(counted, "row-index")

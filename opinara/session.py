@@ -47,6 +47,11 @@ def pin(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reads_files_only(df: DataFrame) -> bool:
+    """No shuffle comes before: every run gives each partition the same rows in one order."""
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 # Below this many bytes per core an input is too small to fill the cluster by itself.
 _SMALL_SHARE = 16 << 20
 
