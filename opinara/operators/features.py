@@ -18,7 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara.functions.text import TOKEN_PATTERN
-from opinara.session import pin, spread
+from opinara.session import is_small, pin, spread
 from opinara.vocab import default_stop_words
 
 # Vocabulary limits.
@@ -41,25 +41,24 @@ def term_stages(stop_words: Sequence[str] | None = None, text: str = "clean_text
 
 
 def occurrences(df: DataFrame, terms: str) -> DataFrame:
-    """Rows (term, total, docs) to sum up: one per occurrence, and one per document and term.
+    """Rows (list, term): list 0 has every occurrence, list 1 each term once per document.
 
     Repeats inside a document are removed in its own array, so documents are never shuffled.
-    The outer explode keeps Spark from computing the array once more to test it for emptiness.
+    The outer explodes keep Spark from computing the array once more to test for emptiness.
     """
-
-    def tagged(array: Column, total: int, docs: int) -> Column:
-        return F.transform(
-            array, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"),
-                                      F.lit(docs).alias("docs"))
-        )
-
-    both = F.concat(tagged(F.col(terms), 1, 0), tagged(F.array_distinct(terms), 0, 1))
-    return df.select(F.inline_outer(both)).filter(F.col("term").isNotNull())
+    lists = F.array(F.col(terms), F.array_distinct(terms))
+    return (
+        df.select(F.posexplode_outer(lists).alias("list", "terms"))
+        .select("list", F.explode_outer("terms").alias("term"))
+        .filter(F.col("term").isNotNull())
+    )
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """Total count and document count per term, with map-side combine."""
-    return rows.groupBy("term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+    return rows.groupBy("term").agg(
+        F.count_if(F.col("list") == 0).alias("total"), F.count_if(F.col("list") == 1).alias("docs")
+    )
 
 
 def vocabulary(
@@ -73,10 +72,14 @@ def vocabulary(
 
     A pair is never more frequent than either of its words. So words are counted first, and
     then only pairs of words that reach the count of the last word that would fit; the long
-    tail of pairs, most of all terms, is never shuffled.
+    tail of pairs, most of all terms, is never shuffled. A small input is counted at once.
     """
     frequent = F.col("docs") >= min_docs
     not_common = F.col("docs") <= max_share * n_docs
+    order = [F.desc("total"), F.col("term")]
+    if is_small(df):
+        counts = term_counts(occurrences(df, "terms"))
+        return counts.filter(frequent & not_common).orderBy(*order).limit(max_terms)
     words = pin(term_counts(occurrences(df, "words")).filter(frequent), "word-counts")
     fitting = words.filter(not_common)
     last = (
@@ -86,16 +89,16 @@ def vocabulary(
     floor = last["total"] if last["n"] == max_terms else 0
     # Written, so that Spark knows the size before it decides to broadcast.
     partner = pin(words.filter(F.col("total") >= floor).select("term"), "partner-words")
-    halves = F.split("term", " ")
     pairs = (
         occurrences(df, "pairs")
-        .withColumns({"first": halves[0], "second": halves[1]})
+        .withColumn("first", F.substring_index("term", " ", 1))
+        .withColumn("second", F.substring_index("term", " ", -1))
         .join(partner.withColumnRenamed("term", "first"), "first", "left_semi")
         .join(partner.withColumnRenamed("term", "second"), "second", "left_semi")
     )
     counted = term_counts(pairs).filter(frequent & not_common)
     reaching = fitting.unionByName(counted).filter(F.col("total") >= floor)
-    return reaching.orderBy(F.desc("total"), "term").limit(max_terms)
+    return reaching.orderBy(*order).limit(max_terms)
 
 
 def idf(docs: Column, n_docs: int) -> Column:
@@ -120,7 +123,7 @@ def fit_tfidf(
     count where the caller knows it.
     """
     stages = term_stages(stop_words)
-    terms = text_terms(df.select("clean_text"), stages).select("words", "pairs")
+    terms = text_terms(df.select("clean_text"), stages)
     n_docs = df.count() if n_docs is None else n_docs
     rows = sorted(
         vocabulary(terms, n_docs, **limits).withColumn("idf", idf(F.col("docs"), n_docs)).collect(),

@@ -56,12 +56,17 @@ def reads_files_only(df: DataFrame) -> bool:
 _SMALL_SHARE = 16 << 20
 
 
+def is_small(df: DataFrame) -> bool:
+    """By the planner's estimate the rows do not fill the cluster's cores."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return estimate < df.sparkSession.sparkContext.defaultParallelism * _SMALL_SHARE
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores before costly row work.
 
-    A small table often is one file with one row group, which Spark reads in one task. The
-    planner's size estimate decides; larger inputs are left as they are read, unshuffled.
+    A small table often is one file with one row group, which Spark reads in one task. Larger
+    inputs are left as they are read, unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if estimate < cores * _SMALL_SHARE else df
+    return df.repartition(cores) if is_small(df) else df

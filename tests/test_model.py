@@ -47,9 +47,11 @@ def brute_vocabulary(texts, stop, max_terms, min_docs=2, max_share=0.8):
     return lists, {t: docs[t] for t in top}
 
 
+@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("limits", [{}, {"max_terms": 70}, {"max_terms": 30, "max_share": 0.4},
                                     {"max_terms": 400, "min_docs": 5}])
-def test_tfidf(spark, texts, documents, limits):
+def test_tfidf(spark, texts, documents, limits, small, monkeypatch):
+    monkeypatch.setattr(features, "is_small", lambda df: small)
     stop = set(default_stop_words())
     options = {"max_terms": 5000, **limits}
     lists, docs = brute_vocabulary(texts, stop, **options)
