@@ -9,12 +9,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara.functions.lines import filter_line, percent, whole_number
 from opinara.operators.filters import in_date_range
 from opinara.operators.ranking import order_statistics
 from opinara.operators.themes import explode_themes
+from opinara.session import local_table
 from opinara.vocab import ALL_SENTIMENTS, LABELS
 
 # Rows of the theme ranking, name of the comparison row, whisker length.
@@ -104,15 +106,16 @@ def confidence_boxes(df: DataFrame) -> DataFrame:
         return (1 - part) * value[name, low] + part * value[name, high]
 
     names = sorted({name for name, _ in around})
-    boxes = df.sparkSession.createDataFrame(
-        [(name, *(quartile(name, q) for q in (1, 2, 3))) for name in names],
-        "sentiment string, q1 double, median double, q3 double",
+    q1, median, q3 = ([quartile(name, q) for name in names] for q in (1, 2, 3))
+    spark = df.sparkSession
+    boxes = local_table(
+        spark, sentiment=pa.array(names, "string"), q1=pa.array(q1, "double"),
+        median=pa.array(median, "double"), q3=pa.array(q3, "double"),
     )
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     inside = F.col("confidence").between(F.col("q1") - reach, F.col("q3") + reach)
-    # One box per class.
     return (
-        rows.join(F.broadcast(boxes), "sentiment")
+        rows.join(boxes, "sentiment")
         .groupBy("sentiment", "q1", "median", "q3")
         .agg(
             F.min("confidence").alias("min"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -18,7 +19,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara.functions.text import TOKEN_PATTERN
-from opinara.session import is_small, pin, spread
+from opinara.session import is_small, local_table, pin, spread
 from opinara.vocab import default_stop_words
 
 # Vocabulary limits.
@@ -145,13 +146,13 @@ def tfidf_weights(df: DataFrame, model: PipelineModel, id_column: str) -> DataFr
     """Non-zero weights as rows (id, term, weight)."""
     counter = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
     spark = df.sparkSession
-    # At most max_terms rows.
-    terms = spark.createDataFrame(list(enumerate(counter.vocabulary)), "index int, term string")
+    words = list(counter.vocabulary)
+    terms = local_table(spark, index=pa.array(range(len(words)), "int32"), term=words)
     vector = F.unwrap_udt("features")
     return (
         model.transform(spread(df.select(id_column, "clean_text")))
         .select(id_column, F.inline(F.arrays_zip(vector["indices"].alias("index"),
                                                  vector["values"].alias("weight"))))
-        .join(F.broadcast(terms), "index")
+        .join(terms, "index")
         .select(id_column, "term", "weight")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinara.session import pin, reads_files_only
+from opinara.session import local_table, pin, reads_files_only
 
 # Reviews per model call and per random feed.
 BATCH_SIZE = 10
@@ -194,13 +194,14 @@ def order_statistics(
     if max(len(sizes), len(targets)) > _MAX_TARGETS:
         raise ValueError(f"more than {_MAX_TARGETS} groups or ranks")
     # A target is (group, wanted rank, rank inside its cell, cell).
-    schema = "g string, rank bigint, rest bigint, cell bigint"
     last = False
     while targets:
+        names, ranks, rests, in_cells = map(list, zip(*targets))
+        sought = local_table(spark, g=names, rank=ranks, rest=rests, cell=in_cells)
         upto = Window.partitionBy("g", "cell").orderBy("part")
         found = (
             counts.withColumn("end", F.sum("n").over(upto))
-            .join(F.broadcast(spark.createDataFrame(targets, schema)), ["g", "cell"])
+            .join(sought, ["g", "cell"])
             .withColumn("rest", F.col("rest") - F.col("end") + F.col("n"))
             .filter((F.col("rest") >= 0) & (F.col("rest") < F.col("n")))
             .select("g", "rank", "rest", "part", "n")
@@ -209,9 +210,9 @@ def order_statistics(
         if last:
             return {(t["g"], t["rank"]): t["part"] for t in found}
         targets = [(t["g"], t["rank"], t["rest"], t["part"]) for t in found]
-        cells = spark.createDataFrame({(t[0], t[3]) for t in targets}, "g string, cell bigint")
+        names, in_cells = map(list, zip(*{(t[0], t[3]) for t in targets}))
         inside = base.withColumn("cell", F.shiftrightunsigned("k", shift)).join(
-            F.broadcast(cells), ["g", "cell"], "left_semi"
+            local_table(spark, g=names, cell=in_cells), ["g", "cell"], "left_semi"
         )
         last = shift < _STEP_BITS or max(t["n"] for t in found) <= _MAX_CELL_ROWS
         if last:

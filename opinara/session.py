@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,6 +48,15 @@ def pin(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A few rows made on the driver, given by column.
+
+    Through Arrow they become part of the plan: no Python task makes them, and Spark knows
+    their size when it chooses a join.
+    """
+    return spark.createDataFrame(pa.table(columns))
+
+
 def reads_files_only(df: DataFrame) -> bool:
     """No shuffle comes before: every run gives each partition the same rows in one order."""
     return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

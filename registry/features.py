@@ -22,7 +22,7 @@ from opinara.operators.model import (
 )
 from opinara.operators.prepare import training_rows, with_clean_text
 from opinara.plans.score import score
-from opinara.session import pin
+from opinara.session import local_table, pin
 from opinara.vocab import default_stop_words
 from registry.core import query, reviews, rounded, table, with_views
 from registry.preparation import LABEL
@@ -142,9 +142,8 @@ def mdl_1(spark, sf):
     model = fit_classifier(rows)
     regression = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
     vocabulary = next(s for s in model.stages if isinstance(s, CountVectorizerModel)).vocabulary
-    # At most max_terms rows.
-    fitted = spark.createDataFrame(
-        list(zip(vocabulary, regression.coefficients.toArray().tolist())), "term string, w double"
+    fitted = local_table(
+        spark, term=list(vocabulary), w=regression.coefficients.toArray().tolist()
     )
     residual = vector_to_array("probability")[1] - F.col("sentiment").cast("double")
     errors = model.transform(rows).select("doc_id", residual.alias("r"))

@@ -18,7 +18,7 @@ def plan(df) -> str:
 
 
 # The literal fallback and the model call are the two places that need Python.
-PYTHON = re.compile(r"thm_(4|5|6|8|11)|jon_4")
+PYTHON = re.compile(r"thm_(4|6|8|11)|jon_4")
 
 
 @pytest.mark.parametrize("name", sorted(
