@@ -71,22 +71,20 @@ def literal_objects(span: Column, strict: bool = False) -> Column:
     def to_json(spans: pd.Series) -> pd.Series:
         import ast
         import json
+        import re
 
-        def read(text):
-            for reader in (json.loads, ast.literal_eval):
+        def convert(text):
+            # Objects without a list around them are put into one as a last try.
+            ways = [(json.loads, text), (ast.literal_eval, text)]
+            if re.fullmatch(r"\{.*\}", text, flags=re.S):
+                ways.append((json.loads, f"[{text}]"))
+            data = None
+            for read, source in ways:
                 try:
-                    return reader(text)
+                    data = read(source)
+                    break
                 except Exception:
                     continue
-            return json.loads(f"[{text}]") if text[0] == "{" and text[-1] == "}" else None
-
-        def convert(text):
-            if text is None:
-                return None
-            try:
-                data = read(text)
-            except Exception:
-                return None
             if isinstance(data, tuple) and not strict:
                 data = list(data)
             if isinstance(data, dict):

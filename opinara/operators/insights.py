@@ -39,20 +39,23 @@ def theme_choices(df: DataFrame) -> DataFrame:
     )
 
 
-def insight_samples(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
-    """Up to n reviews per theme and sentiment, with 0-based `position`.
+def random_feeds(
+    df: DataFrame, n: int = FEED_SIZE, seed: int = 0, id_column: str = "review_id"
+) -> DataFrame:
+    """The random feed of every theme and sentiment at once, with 0-based `position`.
 
-    Texts are fetched for the picked ids only, without exploding the reviews again.
+    Rows are fetched for the picked ids only, without exploding the reviews again. Where ids
+    are not unique, give another column, such as one made by `with_row_index`.
     """
-    rows = sampled_text(df)
-    picked = sample_per_group(theme_choices(rows), GROUP, n, seed)
-    return rows.drop("sentiment").join(picked, "review_id")
+    picked = sample_per_group(theme_choices(df), GROUP, n, seed, id_column)
+    return df.drop("sentiment").join(picked, id_column)
 
 
-def random_feeds(df: DataFrame, n: int = FEED_SIZE, seed: int = 0) -> DataFrame:
-    """The random feed of every theme and sentiment at once, with 0-based `position`."""
-    picked = sample_per_group(theme_choices(df), GROUP, n, seed)
-    return df.drop("sentiment").join(picked, "review_id")
+def insight_samples(
+    df: DataFrame, n: int = SAMPLE_SIZE, seed: int = 0, id_column: str = "review_id"
+) -> DataFrame:
+    """Up to n reviews with text per theme and sentiment, picked like a random feed."""
+    return random_feeds(sampled_text(df), n, seed, id_column)
 
 
 def insight_prompts(samples: DataFrame, template: str = INSIGHT_INSTRUCTIONS) -> DataFrame:
@@ -106,13 +109,14 @@ def insights(
     n: int = SAMPLE_SIZE,
     seed: int = 0,
     parallel_calls: int = PARALLEL_CALLS,
+    id_column: str = "review_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Insights of every theme and sentiment, and the reviews they cite.
 
     Samples and replies are written before use: both the prompt and the citations must see
     the same sample, and a call is never repeated for one.
     """
-    samples = pin(insight_samples(df, n, seed), "insight-samples")
+    samples = pin(insight_samples(df, n, seed, id_column), "insight-samples")
     replies = written_replies(insight_prompts(samples), ask, parallel_calls)
     found = parsed_insights(replies)
     return found, cited_reviews(found, samples)

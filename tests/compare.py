@@ -25,7 +25,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 5)
+        return "nan" if math.isnan(value) else value
     if isinstance(value, bool) or value is None:
         return str(value)
     return value if isinstance(value, int) else str(value)

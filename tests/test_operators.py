@@ -230,6 +230,15 @@ def test_replies_in_rounds(spark):
     assert sorted((r["batch_id"], r["raw"]) for r in out.collect()) == [(i, f"re {i}") for i in range(100)]
 
 
+def test_samples_with_repeated_ids(spark):
+    _, df = themed(spark, 800)
+    twice = ranking.with_row_index(df.withColumn("review_id", F.lit("same")), "row")
+    samples = ins.insight_samples(twice, 50, id_column="row")
+    assert samples.select("Theme", "sentiment", "row").distinct().count() == samples.count()
+    largest = samples.groupBy("Theme", "sentiment").count().agg(F.max("count")).first()[0]
+    assert largest == 50
+
+
 @pytest.mark.parametrize("share", [1.0, 1e-9])
 def test_samples_are_whole_if_the_limit_is_too_small(spark, monkeypatch, share):
     """With a limit that lets nothing through, the full ranking gives the same sample."""
