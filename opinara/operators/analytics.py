@@ -6,14 +6,13 @@ by `sentiment_cube` / `theme_cube`: one pass over the data then serves all of th
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara.functions.lines import filter_line, percent, whole_number
-from opinara.operators.filters import in_date_range
+from opinara.operators.filters import Day, in_date_range
 from opinara.operators.ranking import order_statistics
 from opinara.operators.themes import explode_themes
 from opinara.session import local_table
@@ -257,7 +256,7 @@ def date_bounds(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def filter_summary(
-    df: DataFrame, start: str | dt.date, end: str | dt.date, date: str = "date"
+    df: DataFrame, start: Day | None = None, end: Day | None = None, date: str = "date"
 ) -> DataFrame:
     """How many reviews a date range keeps, counted in one pass."""
     kept = F.count_if(in_date_range(df, start, end, date))

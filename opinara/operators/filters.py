@@ -11,36 +11,48 @@ from opinara.functions.themes import is_failed, named_themes
 from opinara.vocab import ALL_SENTIMENTS
 
 
-def _as_date(day: str | dt.date) -> dt.date:
+Day = str | dt.date
+
+
+def has_dates(df: DataFrame, column: str = "date") -> bool:
+    """The column exists and holds dates, not unparsed text."""
+    return dict(df.dtypes).get(column, "").startswith(("date", "timestamp"))
+
+
+def _as_date(day: Day) -> dt.date:
     if isinstance(day, dt.datetime):
         return day.date()
     return day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
 
 
 def in_date_range(
-    df: DataFrame, start: str | dt.date, end: str | dt.date, column: str = "date"
+    df: DataFrame, start: Day | None, end: Day | None, column: str = "date"
 ) -> Column:
     """The date lies between two days, both included; null dates are out.
 
-    A plain range on the bare column with literals of its type, so that it reaches the
-    parquet reader.
+    None stands for the first or last day of the data. A plain range on the bare column with
+    literals of its type, so that it reaches the parquet reader.
     """
     dtype = dict(df.dtypes)[column]
     day = F.col(column)
-    first = F.lit(_as_date(start).isoformat()).cast(dtype)
-    after = F.lit((_as_date(end) + dt.timedelta(days=1)).isoformat()).cast(dtype)
-    return day.isNotNull() & (day >= first) & (day < after)
+    inside = day.isNotNull()
+    if start is not None:
+        inside = inside & (day >= F.lit(_as_date(start).isoformat()).cast(dtype))
+    if end is not None:
+        after = _as_date(end) + dt.timedelta(days=1)
+        inside = inside & (day < F.lit(after.isoformat()).cast(dtype))
+    return inside
 
 
 def date_range(
     df: DataFrame,
-    start: str | dt.date,
-    end: str | dt.date,
+    start: Day | None = None,
+    end: Day | None = None,
     column: str = "date",
     on_invalid: str = "raise",
 ) -> DataFrame:
     """Rows between two days. A start after the end raises, or keeps all rows on "ignore"."""
-    if _as_date(start) > _as_date(end):
+    if start is not None and end is not None and _as_date(start) > _as_date(end):
         if on_invalid == "ignore":
             return df
         raise ValueError("the start date must not be after the end date")

@@ -73,9 +73,9 @@ def parse_dates(
 ) -> DataFrame:
     """Turn a text date column into a time stamp without zone.
 
-    ISO texts are read first, then each of `formats`. Unreadable texts become null;
-    with `on_invalid="disable"` one such text nulls the whole column, so that no date
-    operator uses it.
+    ISO texts are read first, then each of `formats`. Unreadable texts become null; with
+    `on_invalid="disable"` one such text leaves the whole column as text, and `has_dates`
+    keeps reports from using it as a date.
     """
     dtype = dict(df.dtypes)[column]
     if dtype == "timestamp_ntz":
@@ -89,7 +89,7 @@ def parse_dates(
     if on_invalid == "disable":
         bad = df.filter(F.col(column).isNotNull() & parsed.isNull())
         if not bad.isEmpty():
-            parsed = F.lit(None).cast("timestamp_ntz")
+            return df
     elif on_invalid != "null":
         raise ValueError(f"unknown on_invalid: {on_invalid}")
     return df.withColumn(column, parsed)

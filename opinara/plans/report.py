@@ -18,6 +18,7 @@ from opinara.functions.lines import (
 )
 from opinara.functions.text import latin1
 from opinara.operators import analytics as a
+from opinara.operators.filters import Day, date_range, has_dates
 from opinara.operators.insights import GROUP, insights, random_feeds
 from opinara.operators.prepare import raw_view
 from opinara.operators.themes import PARALLEL_CALLS, explode_themes
@@ -123,18 +124,25 @@ def review_tables(
 
 
 def report_bundle(
-    df: DataFrame, sections: Sequence[str] = SECTIONS, labels: Sequence[str] = LABELS
+    df: DataFrame,
+    sections: Sequence[str] = SECTIONS,
+    labels: Sequence[str] = LABELS,
+    start: Day | None = None,
+    end: Day | None = None,
 ) -> dict[str, DataFrame]:
     """Tables of the chosen sections, in their order, under short names.
 
-    The data is counted once per cube; all counting sections read the small cubes, which are
+    Reviews with dates are limited to the days from `start` to `end`, by default those of the
+    data; reviews without a date are then left out. The data is counted once per cube; all counting sections read the small cubes, which are
     written only if one of their sections is chosen. Sections whose columns are missing are
     left out.
     """
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections: {sorted(unknown)}")
-    has_date = "date" in df.columns
+    has_date = has_dates(df)
+    if has_date:
+        df = date_range(df, start, end)
     themed = "themes" in df.columns
     chosen = [
         s for s in sections

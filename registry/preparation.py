@@ -96,7 +96,7 @@ def prj_9(spark, sf):
 
 
 @query("prj_9_parse_date_all_or_nothing", with_views("reviews", """
-SELECT review_id, CAST(NULL AS VARCHAR) AS date FROM reviews"""))
+SELECT review_id, coalesce(CAST(date AS VARCHAR), 'unknown') AS date FROM reviews"""))
 def prj_9_disable(spark, sf):
     text = F.coalesce(F.col("date").cast("string"), F.lit("unknown"))
     df = reviews(spark, sf).withColumn("date", text)
@@ -119,6 +119,12 @@ def flt_1_table(spark, sf):
     return kept.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("flt_1_whole_range", with_views("reviews", """
+SELECT review_id, CAST(date AS VARCHAR) AS date FROM reviews WHERE date IS NOT NULL"""))
+def flt_1_whole(spark, sf):
+    return as_text(filters.date_range(reviews(spark, sf)).select("review_id", "date"), "date")
+
+
 @query("flt_2_invalid_range", with_views("reviews", "SELECT review_id FROM reviews"))
 def flt_2(spark, sf):
     df = reviews(spark, sf)

@@ -141,6 +141,13 @@ def test_report_bundle(spark, sf_dir):
     ]
     assert all(t.count() for t in tables.values())
     assert list(report_bundle(df, [TOP, SUMMARY]))[0] == "top_themes"
+    dated = df.filter("date is not null").count()
+    assert tables["sentiment_shares"].agg(F.sum("count")).first()[0] == dated < df.count()
+    some = report_bundle(df, [TOP], start="1997-01-01", end="1997-12-31")["top_themes"]
+    assert some.agg(F.sum("count")).first()[0] < tables["top_themes"].agg(F.sum("count")).first()[0]
+    text_dates = report_bundle(df.withColumn("date", F.col("date").cast("string")))
+    assert "monthly_sentiment" not in text_dates and len(text_dates) == 8
+    assert text_dates["sentiment_shares"].agg(F.sum("count")).first()[0] == df.count()
     bare = df.select("predicted_sentiment", "clean_text", "review_id")
     assert list(report_bundle(bare, SECTIONS)) == ["sentiment_shares", "raw_output"]
     with pytest.raises(ValueError):

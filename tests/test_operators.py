@@ -55,9 +55,10 @@ def test_dates(spark):
     first, second = dt.datetime(2024, 1, 31, 10), dt.datetime(2024, 2, 3)
     assert read() == [first, second, None, None, None]
     assert read(formats=("dd.MM.yyyy",)) == [first, second, dt.datetime(2024, 1, 31), None, None]
-    assert read(on_invalid="disable") == [None] * 5
-    clean = df.filter("i < 2")
-    assert prepare.parse_dates(clean, on_invalid="disable").filter("date is null").count() == 0
+    assert read(on_invalid="disable") == texts
+    assert not filters.has_dates(prepare.parse_dates(df, on_invalid="disable"))
+    clean = prepare.parse_dates(df.filter("i < 2"), on_invalid="disable")
+    assert filters.has_dates(clean) and clean.filter("date is null").count() == 0
     with pytest.raises(ValueError):
         prepare.parse_dates(df, on_invalid="x")
 
@@ -69,6 +70,8 @@ def test_date_range(spark):
     with pytest.raises(ValueError):
         filters.date_range(df, "2024-02-01", "2024-01-31")
     assert filters.date_range(df, "2024-02-01", "2024-01-31", on_invalid="ignore").count() == 4
+    assert filters.date_range(df).count() == 3
+    assert filters.date_range(df, start="2024-01-31").count() == 2
     summary = a.filter_summary(df, "2024-01-01", "2024-01-31").first()
     assert tuple(summary) == (4, 2, "Filtered: 2 of 4 reviews")
     dates = df.withColumn("date", F.col("date").cast("date"))
