@@ -112,7 +112,8 @@ def written_replies(
     rounds = math.ceil(prompts.count() / (parallel_calls * calls_per_task))
     if rounds <= 1:
         return pin(ask_model(prompts, ask, parallel_calls), "replies")
-    number = F.pmod(F.xxhash64("prompt"), F.lit(rounds)).alias("_round")
+    # By all columns: batches of copies share a prompt, but not their number.
+    number = F.pmod(F.xxhash64(*prompts.columns), F.lit(rounds)).alias("_round")
     split = pin(prompts.select("*", number).repartition("_round"), "asked", "_round")
     path = new_path(spark, "replies")
     for i in range(rounds):

@@ -110,7 +110,7 @@ def review_tables(
     """The report's reviews: insights with the reviews they cite, and chosen random feeds.
 
     Insights are asked for only with a model function; `feeds` names (theme, sentiment)
-    pairs, "All" included.
+    pairs, "All" included. Give the reviews of the report's date range.
     """
     tables = {}
     if ask is not None:
@@ -133,9 +133,9 @@ def report_bundle(
     """Tables of the chosen sections, in their order, under short names.
 
     Reviews with dates are limited to the days from `start` to `end`, by default those of the
-    data; reviews without a date are then left out. The data is counted once per cube; all counting sections read the small cubes, which are
-    written only if one of their sections is chosen. Sections whose columns are missing are
-    left out.
+    data; reviews without a date are then left out. The data is counted once per cube; all
+    counting sections read the small cubes, which are written only if one of their sections
+    is chosen. Sections whose columns are missing are left out.
     """
     unknown = set(sections) - set(SECTIONS)
     if unknown:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinara.functions.replies import (
-    all_have_themes, cited_positions, entry_names, insight_text, json_span, literal_objects,
+    cited_positions, entry_names, insight_text, json_span, literal_objects,
     native_objects, reply_entries,
 )
 from opinara.functions.themes import canonical_themes, joined_themes, named_themes
 from opinara.operators import insights as ins, themes as th
-from opinara.operators.filters import without_failed
 from opinara.operators.ranking import with_batches
 from opinara.session import pin
 from opinara.vocab import THEMES

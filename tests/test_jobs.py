@@ -10,7 +10,6 @@ from opinara.operators import insights as ins, themes as th
 from opinara.plans.extract import themed_reviews
 from opinara.plans.report import SECTIONS, SUMMARY, TOP, insight_sections, report_bundle
 from opinara.session import run_dir, shared_dir
-from opinara.sources.models import save_model
 from opinara.sources.reviews import read_reviews, read_training, resolve_training_file
 from opinara.vocab import THEMES
 from registry.core import scored
