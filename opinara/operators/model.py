@@ -16,7 +16,7 @@ from opinara.functions.mixed import is_mixed
 from opinara.operators.features import fit_tfidf
 from opinara.operators.prepare import training_rows
 from opinara.operators.ranking import order_statistics, seeded_key, with_row_index
-from opinara.session import pin, spread
+from opinara.session import is_small, pin, spread
 
 # Split and solver settings.
 TEST_SHARE = 0.2
@@ -56,7 +56,8 @@ def stratified_split(
     """Add `is_test`: per class, the rows with the smallest seeded keys.
 
     The key of the last test row of each class is found by counting, so that a class of any
-    size is split without sorting it in one task. Rows with one id stay on one side.
+    size is split without sorting it in one task. Rows with one id stay on one side; where
+    ids may repeat, give a column of row positions.
     """
     keyed = df.withColumn("_key", seeded_key(F.col(id_column), seed))
 
@@ -98,14 +99,17 @@ def fit_classifier(
 
 
 def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> Trained:
-    """Label, clean and split the reviews, fit on 80 % and measure on the rest."""
-    rows = training_rows(df)
-    if "review_id" not in rows.columns:
-        rows = with_row_index(rows, "review_id")
-    # Split and fit read the rows many times.
+    """Label, clean and split the reviews, fit on 80 % and measure on the rest.
+
+    Rows are split by their position, so ids are not needed and copies do not matter.
+    """
     text = F.coalesce("clean_text", F.lit("")).alias("clean_text")
-    rows = pin(spread(rows.select("review_id", text, "sentiment")), "training")
-    rows = stratified_split(rows)
+    given = training_rows(df).select(text, "sentiment")
+    # The index writes the rows, which split and fit read many times.
+    rows = with_row_index(given, "row")
+    if is_small(given):
+        rows = pin(spread(rows), "training")
+    rows = stratified_split(rows, id_column="row")
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))
     return Trained(model, accuracy(tested).first()["accuracy"])

@@ -149,6 +149,26 @@ def test_tie_goes_to_first_class(spark):
     assert [(r["predicted_sentiment"], r["confidence"]) for r in out] == [("a", 0.4), ("b", 0.45)]
 
 
+def test_training_on_copies(spark):
+    """A third of the rows share id, text and label; the split still holds out a fifth."""
+    rows = [("hot", "same great place", "5")] * 200
+    rows += [(f"r{i}", f"awful number {i % 20}", "1") for i in range(400)]
+    df = spark.createDataFrame(rows, "review_id string, text string, stars string")
+    sizes = {}
+    split = m.stratified_split
+
+    def counted(*args, **options):
+        out = split(*args, **options)
+        sizes.update({r["sentiment"]: r["n"] for r in out.filter("is_test").groupBy("sentiment")
+                      .agg(F.count("*").alias("n")).collect()})
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(m, "stratified_split", counted)
+        assert m.train(df).accuracy == 1
+    assert sizes == {"positive": 40, "negative": 80}
+
+
 def test_training_without_ids(spark, sf_dir):
     df = reviews(spark, sf_dir).select("stars", "text")
     assert 0 < m.train(df, max_terms=50).accuracy <= 1
