@@ -19,7 +19,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara.functions.text import TOKEN_PATTERN
-from opinara.session import is_small, local_table, pin, spread
+from opinara.session import local_table, pin
 from opinara.vocab import default_stop_words
 
 # Vocabulary limits.
@@ -73,14 +73,11 @@ def vocabulary(
 
     A pair is never more frequent than either of its words. So words are counted first, and
     then only pairs of words that reach the count of the last word that would fit; the long
-    tail of pairs, most of all terms, is never shuffled. A small input is counted at once.
+    tail of pairs, most of all terms, is never shuffled.
     """
     frequent = F.col("docs") >= min_docs
     not_common = F.col("docs") <= max_share * n_docs
     order = [F.desc("total"), F.col("term")]
-    if is_small(df):
-        counts = term_counts(occurrences(df, "terms"))
-        return counts.filter(frequent & not_common).orderBy(*order).limit(max_terms)
     words = pin(term_counts(occurrences(df, "words")).filter(frequent), "word-counts")
     fitting = words.filter(not_common)
     last = (
@@ -108,8 +105,8 @@ def idf(docs: Column, n_docs: int) -> Column:
 
 
 def text_terms(df: DataFrame, stages: PipelineModel | None = None) -> DataFrame:
-    """`words`, `pairs` and `terms` of `clean_text`; small inputs use all cores."""
-    return (stages or term_stages()).transform(spread(df))
+    """`words`, `pairs` and `terms` of `clean_text`."""
+    return (stages or term_stages()).transform(df)
 
 
 def fit_tfidf(
@@ -150,7 +147,7 @@ def tfidf_weights(df: DataFrame, model: PipelineModel, id_column: str) -> DataFr
     terms = local_table(spark, index=pa.array(range(len(words)), "int32"), term=words)
     vector = F.unwrap_udt("features")
     return (
-        model.transform(spread(df.select(id_column, "clean_text")))
+        model.transform(df.select(id_column, "clean_text"))
         .select(id_column, F.inline(F.arrays_zip(vector["indices"].alias("index"),
                                                  vector["values"].alias("weight"))))
         .join(terms, "index")

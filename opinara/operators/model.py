@@ -16,7 +16,7 @@ from opinara.functions.mixed import is_mixed
 from opinara.operators.features import fit_tfidf
 from opinara.operators.prepare import training_rows
 from opinara.operators.ranking import order_statistics, seeded_key, with_row_index
-from opinara.session import is_small, pin, spread
+from opinara.session import pin
 
 # Split and solver settings.
 TEST_SHARE = 0.2
@@ -105,10 +105,8 @@ def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> T
     """
     text = F.coalesce("clean_text", F.lit("")).alias("clean_text")
     given = training_rows(df).select(text, "sentiment")
-    # The index writes the rows, which split and fit read many times.
-    rows = with_row_index(given, "row")
-    if is_small(given):
-        rows = pin(spread(rows), "training")
+    # Written once: split and fit read the rows many times.
+    rows = with_row_index(pin(given, "training"), "row")
     rows = stratified_split(rows, id_column="row")
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinara.session import local_table, pin, reads_files_only
+from opinara.session import local_table, pin
 
 # Reviews per model call and per random feed.
 BATCH_SIZE = 10
@@ -31,30 +31,33 @@ def with_row_index(
 ) -> DataFrame:
     """Add the 0-based row position over the whole table.
 
-    Rows are range-sorted by `order_by` (default: read order), numbered inside each
-    partition and written once; each partition then adds the row count of those before it.
-    The only table that is not distributed has one row per partition. Equal keys may be
-    spread over partitions, since the read position breaks ties; rows that come out of a
-    shuffle are written first, as their positions could change if a task ran again.
+    Rows are numbered inside each partition, and each partition adds the row count of those
+    before it. In read order (default) rows are neither written nor shuffled, so `df` must
+    give each partition the same rows whenever it runs, as files and pinned tables do; pin
+    what comes out of a shuffle. By `order_by` rows are range-sorted and written once; equal
+    keys may be spread over partitions, since the read position breaks ties. The only table
+    that is not distributed has one row per partition. It is written first, so that Spark
+    knows its size when it chooses the join.
     """
     counted = df.withColumn("_slot", F.monotonically_increasing_id())
     if order_by:
-        read = counted if reads_files_only(df) else pin(counted, "read-order")
-        counted = read.orderBy(*order_by, "_slot").withColumn(
+        counted = counted.orderBy(*order_by, "_slot").withColumn(
             "_slot", F.monotonically_increasing_id()
         )
-    counted = pin(counted, "row-index")
+        counted = pin(counted, "row-index")
     part = F.shiftrightunsigned("_slot", _COUNTER_BITS)
     within = F.col("_slot").bitwiseAND(F.lit((1 << _COUNTER_BITS) - 1))
     # One row per partition: the unpartitioned window below is over that small table.
-    sizes = counted.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = pin(
+        counted.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")), "part-sizes"
+    )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
     return (
         counted.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn(name, F.col("_offset") + within)
         .drop("_part", "_offset", "_slot")
     )

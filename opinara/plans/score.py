@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinara.operators.model import predict
 from opinara.operators.prepare import with_clean_text, with_review_id
-from opinara.session import spread
 from opinara.sources.models import load_or_train
 from opinara.sources.reports import write_scored
 from opinara.sources.reviews import read_reviews, read_training
@@ -20,7 +19,7 @@ def score(reviews: DataFrame, model: PipelineModel, fill_ids: bool = False) -> D
     writes the reviews once.
     """
     rows = with_clean_text(with_review_id(reviews, fill_null=fill_ids))
-    return predict(spread(rows), model)
+    return predict(rows, model)
 
 
 def score_job(

@@ -2,39 +2,67 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    """A folder of this process for sessions that name none, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="opinara-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: `spark.checkpoint.dir` of the session.
 
-    A private folder is made only where the setting is missing and Spark runs in one JVM,
-    as in tests. On a cluster a missing setting is an error, since no executor could read
+    Only where that is unset and Spark runs in one process, as in tests, is it a folder of
+    this process. On a cluster a missing setting is an error, since no executor could read
     another machine's local folder.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="opinara-"))
-    return context.getCheckpointDir()
+    return _own_dir()
 
 
 def run_dir(spark: SparkSession) -> str:
-    """Folder of all intermediate tables of this application, to be removed when it is done."""
-    return f"{shared_dir(spark)}/opinara-{spark.sparkContext.applicationId}"
+    """Folder of all intermediate tables of this application; see `clean_up`."""
+    return f"{shared_dir(spark)}/opinara-{spark.conf.get('spark.app.id', 'run')}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a folder of intermediate data, and the path there."""
+    return FileSystem.from_uri(uri) if ":/" in uri else FileSystem.from_uri(f"file://{uri}")
+
+
+def remove(uri: str) -> None:
+    """Delete a folder of intermediate data, if it is there."""
+    fs, path = file_system(uri)
+    if fs.get_file_info(path).type == FileType.Directory:
+        fs.delete_dir(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are stored."""
+    remove(run_dir(spark))
+
+
 def pin(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as parquet and read it back.
 
@@ -55,28 +83,3 @@ def local_table(spark: SparkSession, **columns: list) -> DataFrame:
     their size when it chooses a join.
     """
     return spark.createDataFrame(pa.table(columns))
-
-
-def reads_files_only(df: DataFrame) -> bool:
-    """No shuffle comes before: every run gives each partition the same rows in one order."""
-    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
-
-
-# Below this many bytes per core an input is too small to fill the cluster by itself.
-_SMALL_SHARE = 16 << 20
-
-
-def is_small(df: DataFrame) -> bool:
-    """By the planner's estimate the rows do not fill the cluster's cores."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return estimate < df.sparkSession.sparkContext.defaultParallelism * _SMALL_SHARE
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before costly row work.
-
-    A small table often is one file with one row group, which Spark reads in one task. Larger
-    inputs are left as they are read, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if is_small(df) else df

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import zipfile
 from functools import lru_cache
-from pathlib import Path
 
-import pyspark
-from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -28,18 +24,8 @@ from registry.core import query, reviews, rounded, table, with_views
 from registry.preparation import LABEL
 
 
-def _stop_words() -> list[str]:
-    """The default stop list; without a running Spark its base is read from Spark's jar."""
-    if SparkContext._active_spark_context is not None:
-        return default_stop_words()
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        name = "org/apache/spark/ml/feature/stopwords/english.txt"
-        return default_stop_words(archive.read(name).decode().split())
-
-
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
-_STOP = "[" + ", ".join(f"'{w}'" for w in _stop_words()) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in default_stop_words()) + "]"
 _VIEWS = {
     "docs": f"""SELECT doc_id, list_filter({_TOKENS},
  lambda t: NOT list_contains({_STOP}, t)) AS words FROM documents""",

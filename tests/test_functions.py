@@ -134,7 +134,7 @@ def test_feed_and_report_lines(spark):
 
 def test_vocabularies(spark):
     assert len(vocab.THEMES) == 8
-    english = vocab.english_stop_words()
+    english = vocab.ENGLISH_STOP_WORDS
     assert len(english) == 318
     assert {"isn't", "theirs", "did"}.isdisjoint(english)
     assert len(vocab.default_stop_words()) == 325
