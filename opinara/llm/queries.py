@@ -5,8 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from opinara.llm import exact_duplicates, licenses, personal_data, token_counts
+from opinara.llm import (
+    byte_pairs, exact_duplicates, licenses, packing, personal_data, token_counts, token_files,
+)
 from opinara.llm.common import table
+from opinara.session import new_path
+
+WORD_VOCABULARY = "word_bpe_49k.json"
+END_ID = 2
 
 QUERIES = {}
 ORACLES = {}
@@ -22,6 +28,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_token_files")
+def op1(spark, sf):
+    path = new_path(spark, "token-files")
+    vocabulary = public_tokenizers.path(WORD_VOCABULARY)
+    token_files.write_token_files(table(spark, sf, "documents"), path, vocabulary, END_ID)
+    return token_files.read_token_files(spark, path)
+
+
+@query("op5_packing")
+def op5(spark, sf):
+    vocabulary = public_tokenizers.path(WORD_VOCABULARY)
+    return packing.pack_texts(table(spark, sf, "documents"), vocabulary, END_ID).drop("ids")
+
+
 @query("op6_license_scan", licenses.LICENSES_SQL)
 def op6(spark, sf):
     return licenses.licenses(table(spark, sf, "documents"))
@@ -33,6 +53,12 @@ def op7(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), path, limit=4096)
 
 
+@query("op8_byte_pairs")
+def op8(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_pairs.encode_and_decode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
 @query("op9_personal_data")
 def op9(spark, sf):
     found = personal_data.personal_data(table(spark, sf, "documents"))
