@@ -91,3 +91,19 @@ def pack_rows(rows: pa.Table) -> bytes:
 
 def unpack_rows(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
+
+
+# A group that holds more than this share of the rows is a hot one.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """Inner join of rows with a table of one row per key, without sending a hot key to one task.
+
+    `size` tells how many of the `n_rows` rows have the key. Fewer than 1 / HOT_SHARE keys can
+    be hot, whatever the size of the table; these are broadcast, the others joined by key.
+    """
+    hot = F.col(size) > HOT_SHARE * n_rows
+    few = F.broadcast(groups.filter(hot))
+    others = rows.join(few.select(key), key, "left_anti").join(groups.filter(~hot), key)
+    return rows.join(few, key).unionByName(others)

@@ -9,13 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from opinara.llm.common import whole_text
+from opinara.llm.common import join_groups, whole_text
 from opinara.session import new_path, pin
 
-# A digest that more than this share of the rows carries is a hot one. Fewer than 1 / share
-# digests can be hot, whatever the size of the table.
-HOT_SHARE = 0.001
-
 
 def text_digest(text: Column) -> Column:
     """SHA-256 of the text without blanks and the characters 9 to 13, as 32 bytes."""
@@ -77,18 +73,6 @@ def best_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
 
 
-def look_up(rows: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
-    """Each row with the columns of its group, without sending a hot group to one task.
-
-    Hot groups, fewer than 1 / HOT_SHARE rows, are broadcast; the others are joined by digest.
-    """
-    hot = F.col("group_size") > HOT_SHARE * n_rows
-    few = F.broadcast(groups.filter(hot))
-    in_few = rows.join(few, "digest")
-    others = rows.join(few.select("digest"), "digest", "left_anti").join(groups.filter(~hot), "digest")
-    return in_few.unionByName(others)
-
-
 def exact_duplicates(
     df: DataFrame,
     index: DigestIndex | None = None,
@@ -108,7 +92,7 @@ def exact_duplicates(
     rows = pin(digests(df, id_column, text_column), "digests")
     groups = pin(best_rows(rows), "digest-groups")
     found = pin(index.add(groups, batch), "digest-found")
-    result = look_up(rows, found, rows.count())
+    result = join_groups(rows, found, "digest", "group_size", rows.count())
     return result.select(
         F.col("id").alias("doc_id"),
         "keep_id",

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from opinara.llm import (
-    byte_pairs, exact_duplicates, licenses, packing, personal_data, quality, token_counts, token_files,
+    byte_pairs, exact_duplicates, licenses, near_duplicates, packing, personal_data, quality, token_counts,
+    token_files,
 )
 from opinara.llm.common import table
 from opinara.session import new_path
@@ -36,6 +37,11 @@ def op1(spark, sf):
     return token_files.read_token_files(spark, path)
 
 
+@query("op3_near_dedup")
+def op3(spark, sf):
+    return near_duplicates.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op4_quality")
 def op4(spark, sf):
     return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
