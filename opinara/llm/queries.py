@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from opinara.llm import (
-    byte_pairs, exact_duplicates, licenses, near_duplicates, packing, personal_data, quality, token_counts,
-    token_files,
+    byte_pairs, exact_duplicates, licenses, near_duplicates, neighbours, packing, personal_data, quality,
+    token_counts, token_files,
 )
 from opinara.llm.common import table
 from opinara.session import new_path
@@ -37,6 +37,11 @@ def op1(spark, sf):
     return token_files.read_token_files(spark, path)
 
 
+@query("op2_neighbours")
+def op2(spark, sf):
+    return neighbours.neighbours(table(spark, sf, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 @query("op3_near_dedup")
 def op3(spark, sf):
     return near_duplicates.near_duplicates(table(spark, sf, "documents"))
