@@ -16,9 +16,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from opinara.llm.common import id_and_text, in_parts, pack_rows, task_number, unpack_rows
+from opinara.llm.common import id_and_text, in_parts, pack_rows, unpack_rows
 
 # A block is closed at so many characters; a longer text is a block of its own.
 BLOCK_CHARACTERS = 32 << 20
@@ -77,16 +78,23 @@ def token_table(path: str) -> TokenTable:
 
 
 def blocks(df: DataFrame, pattern: str, id_column: str, text_column: str) -> DataFrame:
-    """Rows (block, words, docs): each block's distinct pre-tokens and its documents."""
+    """Rows (block, words, docs): each block's distinct pre-tokens and its documents.
+
+    A block is named by a hash of what it holds. If the rows are dealt to tasks differently when
+    they are read again, the names differ, too, and `encode_and_decode` ends with an error.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(pattern).findall
-        block, places, ids, own, size = task_number() << 24, _Places(), [], [], 0
+        places, ids, own, size = _Places(), [], [], 0
 
         def made() -> pa.RecordBatch:
+            block = xxhash.xxh64("\0".join(places))
+            for doc in own:
+                block.update(doc.tobytes())
             docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "places": pa.array(own, pa.list_(pa.uint32()))})
             return pa.RecordBatch.from_pydict({
-                "block": pa.array([block], pa.int64()),
+                "block": pa.array([block.intdigest() - (1 << 63)], pa.int64()),
                 "words": pa.array([list(places)], pa.list_(pa.string())),
                 "docs": pa.array([pack_rows(docs)], pa.binary()),
             })
@@ -95,7 +103,7 @@ def blocks(df: DataFrame, pattern: str, id_column: str, text_column: str) -> Dat
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if size and size + len(text) > BLOCK_CHARACTERS:
                     yield made()
-                    block, places, ids, own, size = block + 1, _Places(), [], [], 0
+                    places, ids, own, size = _Places(), [], [], 0
                 ids.append(doc_id)
                 own.append(np.fromiter(map(places.__getitem__, split(text)), np.uint32))
                 size += len(text)
@@ -155,9 +163,13 @@ def encode_and_decode(
         for at, own in zip(place.tolist(), ids.to_pylist()):
             of_place[at] = own
         rows = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+        if not docs.num_rows:
+            raise RuntimeError("the documents changed between two reads")
         for packed in docs.column("docs").to_pylist():
             for doc in unpack_rows(packed).to_batches(max_chunksize=256):
                 for doc_id, places in zip(doc.column(0).to_pylist(), doc.column(1)):
+                    if len(places) and not of_place:
+                        raise RuntimeError("the documents changed between two reads")
                     data = b"".join(map(of_place.__getitem__, places.values.to_pylist()))
                     text = table.decode(np.frombuffer(data, "<u4"))
                     rows["doc_id"].append(doc_id)

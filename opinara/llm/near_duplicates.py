@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from opinara.llm.common import CACHED_CHARACTERS, id_and_text, in_parts, join_groups
+from opinara.llm.common import CACHED_CHARACTERS, id_and_text, in_parts, join_groups, whole_text
 from opinara.llm.components import components
 from opinara.session import pin
 
@@ -152,7 +152,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows (id, row, content, bands, sketch); `content` is equal for texts of the same words.
+    """Rows (id, row, digest, content, bands, sketch); `content` is equal for texts of the same words.
 
     A text without words has nulls for the last three. The sketch is one byte per coordinate.
     """
@@ -169,14 +169,18 @@ def signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
             bands = iter(band_keys(signature))
             sketch = iter(signature.astype(np.uint8))
             yield pa.RecordBatch.from_pydict({
-                "id": batch.column(0), "row": batch.column(2),
+                "id": batch.column(0), "row": batch.column(2), "digest": batch.column(3),
                 "content": pa.array(content, pa.binary()),
                 "bands": pa.array([None if c is None else next(bands) for c in content], pa.list_(pa.int64())),
                 "sketch": pa.array([None if c is None else next(sketch).tobytes() for c in content], pa.binary()),
             })
 
-    rows = id_and_text(df, id_column, text_column).withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(run, "id bigint, row bigint, content binary, bands array<bigint>, sketch binary")
+    rows = id_and_text(df, id_column, text_column).withColumns(
+        {"row": F.monotonically_increasing_id(), "digest": F.xxhash64("text")}
+    )
+    return rows.mapInArrow(
+        run, "id bigint, row bigint, digest bigint, content binary, bands array<bigint>, sketch binary"
+    )
 
 
 def _texts(df: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -333,8 +337,36 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     has it. `n_links` counts the verified links of the row's words to others; words that are
     the same need none. A text without words is a class of its own.
 
-    `df` is read twice and must hold the same rows both times.
+    `df` is read several times and must hold the same rows each time.
+    """
+    return _classes(df, id_column, text_column).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
+def keep_one_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, that `near_duplicates` keeps: one of each class.
+
+    Rows are found again by id and a hash of the text. Only where several rows are alike in
+    both is one of them picked by a shuffle of their own.
     """
+    found = _classes(df, id_column, text_column)
+    alike = found.groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(
+        F.count(F.lit(1)).alias("_kept_n"), F.max("kept").alias("_kept")
+    )
+    kept = pin(alike.filter("_kept"), "near-kept")
+    rows = df.withColumns(
+        {"_own_id": F.col(id_column).cast("bigint"), "_own_digest": F.xxhash64(whole_text(text_column))}
+    )
+    same = F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest"))
+    out = rows.join(kept.filter("_kept_n = 1"), same, "left_semi")
+    several = kept.filter("_kept_n > 1")
+    if not several.isEmpty():
+        picked = rows.join(several, same, "left_semi").dropDuplicates(["_own_id", "_own_digest"])
+        out = out.unionByName(picked)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The result of `near_duplicates` with a hash of each text, `digest`."""
     rows = pin(signed(df, id_column, text_column), "signatures")
     worded = rows.filter("content IS NOT NULL")
     best = F.min(F.struct("id", "row"))
@@ -385,12 +417,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
     )
     contents = pin(contents, "class-contents")
-    placed = join_groups(worded.select("id", "row", "content"), contents, "content", "copies", rows.count())
+    placed = join_groups(worded.select("id", "row", "digest", "content"), contents, "content", "copies", rows.count())
     placed = placed.select(
-        F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", (F.col("row") == F.col("kept_row")).alias("kept")
+        F.col("id").alias("doc_id"), "digest", "class_id", "class_size", "n_links",
+        (F.col("row") == F.col("kept_row")).alias("kept"),
     )
     alone = rows.filter("content IS NULL").select(
-        F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"),
+        F.col("id").alias("doc_id"), "digest", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"),
         F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"),
     )
     return placed.unionByName(alone)
