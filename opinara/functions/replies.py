@@ -42,11 +42,13 @@ def native_objects(span: Column, strict: bool = False) -> Column:
 
     def read(item: str, mark: str) -> Column:
         whole = F.concat(F.lit("["), span, F.lit(f",{mark}]"))
-        items = F.from_json(whole, f"array<{item}>")
-        end = F.from_json(F.lit(mark), item)
-        last = F.try_element_at(items, F.lit(-1))
-        same = F.to_json(last) == F.to_json(end)
-        return F.when(same, F.slice(items, F.lit(1), F.size(items) - 1))
+
+        def checked(items: Column) -> Column:
+            same = F.to_json(F.try_element_at(items, F.lit(-1))) == F.lit(mark)
+            return F.when(same, F.slice(items, F.lit(1), F.size(items) - 1))
+
+        # Bound to a lambda variable, the text is parsed once and not at each use.
+        return F.get(F.transform(F.array(F.from_json(whole, f"array<{item}>")), checked), F.lit(0))
 
     mark = '{"":"end"}'
     flat = read(_OBJECT, mark)

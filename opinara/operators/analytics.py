@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara.functions.lines import filter_line, percent, whole_number
 from opinara.operators.filters import Day, in_date_range
 from opinara.operators.ranking import order_statistics
 from opinara.operators.themes import explode_themes
-from opinara.session import local_table
-from opinara.vocab import ALL_SENTIMENTS, LABELS
+from opinara.session import pin
+from opinara.vocab import ALL_SENTIMENTS, SHOWN_CLASSES
 
 # Rows of the theme ranking, name of the comparison row, whisker length.
 TOP_THEMES = 20
@@ -45,22 +44,27 @@ def theme_cube(exploded: DataFrame, date: str | None = "date") -> DataFrame:
 
 
 def key_figures(df: DataFrame) -> DataFrame:
-    """Number of reviews, mean confidence, share of mixed reviews in percent (null if empty)."""
-    mixed = F.sum(F.col("is_mixed").cast("int"))
-    return df.agg(
-        F.count(F.lit(1)).alias("reviews"),
-        F.avg("confidence").alias("avg_confidence"),
-        (100 * F.try_divide(mixed, F.count(F.lit(1)))).alias("mixed_rate"),
-    )
+    """Number of reviews, mean confidence, share of mixed reviews in percent (null if empty).
+
+    The latter two are there only if their column is.
+    """
+    figures = [F.count(F.lit(1)).alias("reviews")]
+    if "confidence" in df.columns:
+        figures.append(F.avg("confidence").alias("avg_confidence"))
+    if "is_mixed" in df.columns:
+        mixed = F.sum(F.col("is_mixed").cast("int"))
+        figures.append((100 * F.try_divide(mixed, F.count(F.lit(1)))).alias("mixed_rate"))
+    return df.agg(*figures)
 
 
 def key_figure_texts(figures: DataFrame) -> DataFrame:
     """The key figures as displayed."""
-    return figures.select(
-        whole_number(F.col("reviews")).alias("reviews"),
-        percent(F.col("avg_confidence")).alias("avg_confidence"),
-        F.concat(F.format_number("mixed_rate", 1), F.lit("%")).alias("mixed_rate"),
-    )
+    texts = {
+        "reviews": whole_number(F.col("reviews")),
+        "avg_confidence": percent(F.col("avg_confidence")),
+        "mixed_rate": F.concat(F.format_number("mixed_rate", 1), F.lit("%")),
+    }
+    return figures.select(*[texts[c].alias(c) for c in figures.columns])
 
 
 def sentiment_counts(df: DataFrame, weight: str | None = None) -> DataFrame:
@@ -80,37 +84,15 @@ def sentiment_shares(df: DataFrame, weight: str | None = None) -> DataFrame:
     return sentiment_counts(df, weight).withColumn("share", F.col("count") / total)
 
 
-def confidence_boxes(df: DataFrame) -> DataFrame:
-    """Box-plot figures of the confidence per predicted class, exact.
+def confidence_boxes(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Box-plot figures of the confidence per predicted class.
 
     Quartiles interpolate between the order statistics at n * p - 1/2, as the chart does;
-    whiskers end at the last value within 1.5 interquartile ranges of the box.
+    whiskers end at the last value within 1.5 interquartile ranges of the box. Without `exact`
+    the quartiles come from one pass that keeps a bounded summary per class.
     """
     rows = df.select(F.col("predicted_sentiment").alias("sentiment"), "confidence").dropna()
-    # Ranks around each quartile, and the share of the upper one.
-    around: dict[tuple[str, int], tuple[int, int, float]] = {}
-
-    def quartile_ranks(sizes: dict[str, int]) -> list[tuple[str, int]]:
-        for name, n in sizes.items():
-            for q in (1, 2, 3):
-                at = min(max(n * q / 4 - 0.5, 0.0), n - 1.0)
-                around[name, q] = (int(at), min(int(at) + 1, n - 1), at - int(at))
-        return [(name, rank) for (name, _), ranks in around.items() for rank in ranks[:2]]
-
-    key = F.floor(F.col("confidence") * float(1 << 62)).cast("bigint")
-    value = order_statistics(rows, "sentiment", F.col("confidence"), key, quartile_ranks)
-
-    def quartile(name: str, q: int) -> float:
-        low, high, part = around[name, q]
-        return (1 - part) * value[name, low] + part * value[name, high]
-
-    names = sorted({name for name, _ in around})
-    q1, median, q3 = ([quartile(name, q) for name in names] for q in (1, 2, 3))
-    spark = df.sparkSession
-    boxes = local_table(
-        spark, sentiment=pa.array(names, "string"), q1=pa.array(q1, "double"),
-        median=pa.array(median, "double"), q3=pa.array(q3, "double"),
-    )
+    boxes = _exact_quartiles(rows) if exact else _summary_quartiles(rows)
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     inside = F.col("confidence").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
@@ -131,6 +113,40 @@ def confidence_boxes(df: DataFrame) -> DataFrame:
     )
 
 
+def _summary_quartiles(rows: DataFrame) -> DataFrame:
+    q = F.percentile_approx("confidence", [0.25, 0.5, 0.75], 10_000)
+    return rows.groupBy("sentiment").agg(q.alias("q")).select(
+        "sentiment", *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
+    )
+
+
+def _exact_quartiles(rows: DataFrame) -> DataFrame:
+    """Quartiles per class: the ranks around each come from `order_statistics`."""
+    sizes = rows.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
+    at = F.greatest(F.least(F.col("n") * F.col("q") / 4 - 0.5, F.col("n") - 1.0), F.lit(0.0))
+    low = F.floor("at")
+    around = pin(
+        sizes.withColumn("q", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+        .withColumn("at", at)
+        .select(
+            "sentiment", "q", low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"),
+            (F.col("at") - low).alias("part"),
+        ),
+        "quartile-ranks",
+    )
+    wanted = around.select("sentiment", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    key = F.floor(F.col("confidence") * float(1 << 62)).cast("bigint")
+    found = order_statistics(rows, "sentiment", F.col("confidence"), key, wanted)
+    low_value = found.withColumnsRenamed({"rank": "low", "value": "low_value"})
+    high_value = found.withColumnsRenamed({"rank": "high", "value": "high_value"})
+    values = around.join(low_value, ["sentiment", "low"]).join(high_value, ["sentiment", "high"])
+    between = (1 - F.col("part")) * F.col("low_value") + F.col("part") * F.col("high_value")
+    quartile = {
+        name: F.max(F.when(F.col("q") == q, between)) for q, name in ((1, "q1"), (2, "median"), (3, "q3"))
+    }
+    return pin(values.groupBy("sentiment").agg(*[v.alias(n) for n, v in quartile.items()]), "quartiles")
+
+
 def monthly_sentiment(df: DataFrame, date: str = "date", weight: str | None = None) -> DataFrame:
     """Reviews per month end and predicted class, for the pairs that occur."""
     return (
@@ -183,73 +199,64 @@ def theme_sentiment(exploded: DataFrame, weight: str | None = None) -> DataFrame
     return exploded.groupBy("Theme", "predicted_sentiment").agg(_count(weight))
 
 
-def crosstab(
-    exploded: DataFrame, labels: Sequence[str] = LABELS, weight: str | None = None
-) -> DataFrame:
+def classes_of(table: DataFrame) -> list[str]:
+    """Class columns of a crosstab."""
+    return [c for c in table.columns if c not in ("Theme", "Total")]
+
+
+def crosstab(exploded: DataFrame, weight: str | None = None) -> DataFrame:
     """Theme x predicted class with row totals; pairs that do not occur are 0.
 
-    The classes are given, so no pass is needed to find them.
+    The classes are those of the data, in alphabetical order. They are read from the counts,
+    which are written first.
     """
-    counted = theme_sentiment(exploded, weight)
-    table = counted.groupBy("Theme").pivot("predicted_sentiment", list(labels)).sum("count")
-    table = table.na.fill(0, list(labels))
-    return table.withColumn("Total", _sum_of(labels))
+    counted = pin(theme_sentiment(exploded, weight), "theme-classes")
+    found = counted.select("predicted_sentiment").distinct().orderBy("predicted_sentiment").collect()
+    own = {
+        c: F.coalesce(F.sum(F.when(F.col("predicted_sentiment") == c, F.col("count"))), F.lit(0))
+        for (c,) in found
+    }
+    return counted.groupBy("Theme").agg(
+        *[count.alias(c) for c, count in own.items()], F.sum("count").alias("Total")
+    )
 
 
-def total_row(
-    table: DataFrame, df: DataFrame, labels: Sequence[str] = LABELS, weight: str | None = None
-) -> DataFrame:
-    """Counts of the reviews themselves, before exploding, as one crosstab row.
+def total_row(table: DataFrame, df: DataFrame, weight: str | None = None) -> DataFrame:
+    """Counts of the reviews themselves, before exploding, as one row of the crosstab `table`.
 
-    A class that no themed review has counts 0 here, too.
+    Only classes of the crosstab count, that is, those that some themed review has.
     """
-    one = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    raw = df.groupBy("predicted_sentiment").agg(one.alias("n"))
-    seen = table.select(
-        F.explode(F.array(*[
-            F.struct(F.lit(c).alias("predicted_sentiment"), F.col(f"`{c}`").alias("_seen"))
-            for c in labels
-        ])).alias("s")
-    ).select("s.*").filter("_seen > 0").select("predicted_sentiment").distinct()
-    row = (
-        raw.join(F.broadcast(seen), "predicted_sentiment", "left_semi")
-        .groupBy(F.lit(TOTAL_ROW).alias("Theme"))
-        .pivot("predicted_sentiment", list(labels))
-        .sum("n")
-        .na.fill(0, list(labels))
-    )
-    return row.withColumn("Total", _sum_of(labels))
+    classes = classes_of(table)
+    number = F.lit(1) if weight is None else F.col(weight)
+    own = [
+        F.coalesce(F.sum(F.when(F.col("predicted_sentiment") == c, number)), F.lit(0)).cast("bigint").alias(c)
+        for c in classes
+    ]
+    row = df.agg(F.lit(TOTAL_ROW).alias("Theme"), *own)
+    return row.withColumn("Total", sum((F.col(f"`{c}`") for c in classes), F.lit(0).cast("bigint")))
+
 
+def with_percent(table: DataFrame, shown: Sequence[str] = SHOWN_CLASSES) -> DataFrame:
+    """Class, class (%), ..., Total; percentages have one decimal, half-even.
 
-def with_percent(table: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """Class, class (%), ..., Total; percentages have one decimal, half-even."""
+    Only classes among `shown` have columns; `Total` counts all.
+    """
     columns = []
-    for c in labels:
+    for c in (c for c in shown if c in classes_of(table)):
         share = F.try_divide(F.col(f"`{c}`"), F.col("Total")) * 100
         columns += [F.col(f"`{c}`"), (F.rint(share * 10) / 10).alias(f"{c} (%)")]
     return table.select("Theme", *columns, "Total")
 
 
 def theme_table(
-    exploded: DataFrame,
-    df: DataFrame,
-    theme: str | None = None,
-    labels: Sequence[str] = LABELS,
-    weight: str | None = None,
+    exploded: DataFrame, df: DataFrame, theme: str | None = None, weight: str | None = None
 ) -> DataFrame:
     """Crosstab with percentages and the comparison row, for one theme or all."""
-    table = crosstab(exploded, labels, weight)
-    both = with_percent(table.unionByName(total_row(table, df, labels, weight)), labels)
+    table = crosstab(exploded, weight)
+    both = with_percent(table.unionByName(total_row(table, df, weight)))
     return both if theme is None else both.filter(F.col("Theme").isin(theme, TOTAL_ROW))
 
 
-def _sum_of(labels: Sequence[str]) -> Column:
-    total = F.lit(0).cast("bigint")
-    for c in labels:
-        total = total + F.col(f"`{c}`")
-    return total
-
-
 def date_bounds(df: DataFrame, date: str = "date") -> DataFrame:
     """First and last date."""
     return df.agg(F.min(date).alias("min_date"), F.max(date).alias("max_date"))

@@ -22,6 +22,10 @@ from opinara.functions.text import TOKEN_PATTERN
 from opinara.session import local_table, pin
 from opinara.vocab import default_stop_words
 
+# Columns that the stages add; input columns of the usual names do not clash with them.
+TOKENS, WORDS, PAIRS, TERMS = "_text_tokens", "_text_words", "_text_pairs", "_text_terms"
+COUNTS, WEIGHTED, FEATURES = "_text_counts", "_text_weighted", "_text_features"
+
 # Vocabulary limits.
 MAX_TERMS = 5000
 MIN_DOCS = 2
@@ -29,14 +33,14 @@ MAX_DOC_SHARE = 0.8
 
 
 def term_stages(stop_words: Sequence[str] | None = None, text: str = "clean_text") -> PipelineModel:
-    """Stages from text to `terms`: tokens, stop words out, then words and word pairs."""
+    """Stages from text to TERMS: tokens, stop words out, then words and word pairs."""
     stop_words = list(default_stop_words() if stop_words is None else stop_words)
     return PipelineModel(
         [
-            RegexTokenizer(inputCol=text, outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False),
-            StopWordsRemover(inputCol="tokens", outputCol="words", stopWords=stop_words),
-            NGram(n=2, inputCol="words", outputCol="pairs"),
-            SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+            RegexTokenizer(inputCol=text, outputCol=TOKENS, pattern=TOKEN_PATTERN, gaps=False),
+            StopWordsRemover(inputCol=TOKENS, outputCol=WORDS, stopWords=stop_words),
+            NGram(n=2, inputCol=WORDS, outputCol=PAIRS),
+            SQLTransformer(statement=f"SELECT *, concat({WORDS}, {PAIRS}) AS {TERMS} FROM __THIS__"),
         ]
     )
 
@@ -78,7 +82,7 @@ def vocabulary(
     frequent = F.col("docs") >= min_docs
     not_common = F.col("docs") <= max_share * n_docs
     order = [F.desc("total"), F.col("term")]
-    words = pin(term_counts(occurrences(df, "words")).filter(frequent), "word-counts")
+    words = pin(term_counts(occurrences(df, WORDS)).filter(frequent), "word-counts")
     fitting = words.filter(not_common)
     last = (
         fitting.orderBy(F.desc("total")).limit(max_terms)
@@ -88,7 +92,7 @@ def vocabulary(
     # Written, so that Spark knows the size before it decides to broadcast.
     partner = pin(words.filter(F.col("total") >= floor).select("term"), "partner-words")
     pairs = (
-        occurrences(df, "pairs")
+        occurrences(df, PAIRS)
         .withColumn("first", F.substring_index("term", " ", 1))
         .withColumn("second", F.substring_index("term", " ", -1))
         .join(partner.withColumnRenamed("term", "first"), "first", "left_semi")
@@ -105,7 +109,7 @@ def idf(docs: Column, n_docs: int) -> Column:
 
 
 def text_terms(df: DataFrame, stages: PipelineModel | None = None) -> DataFrame:
-    """`words`, `pairs` and `terms` of `clean_text`."""
+    """Words, pairs and terms of `clean_text`, in columns WORDS, PAIRS and TERMS."""
     return (stages or term_stages()).transform(df)
 
 
@@ -115,7 +119,7 @@ def fit_tfidf(
     n_docs: int | None = None,
     **limits,
 ) -> PipelineModel:
-    """Fit the vocabulary on `clean_text` and return text -> `features` as JVM stages.
+    """Fit the vocabulary on `clean_text` and return text -> FEATURES as JVM stages.
 
     Only the vocabulary, at most `max_terms` rows, reaches the driver. `n_docs` saves a
     count where the caller knows it.
@@ -130,12 +134,12 @@ def fit_tfidf(
     if not rows:
         raise ValueError("no term is within the document limits")
     counter = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in rows], inputCol="terms", outputCol="counts"
+        [r["term"] for r in rows], inputCol=TERMS, outputCol=COUNTS
     )
     weight = ElementwiseProduct(
-        inputCol="counts", outputCol="weighted", scalingVec=Vectors.dense([r["idf"] for r in rows])
+        inputCol=COUNTS, outputCol=WEIGHTED, scalingVec=Vectors.dense([r["idf"] for r in rows])
     )
-    unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
+    unit = Normalizer(p=2.0, inputCol=WEIGHTED, outputCol=FEATURES)
     return PipelineModel([*stages.stages, counter, weight, unit])
 
 
@@ -145,7 +149,7 @@ def tfidf_weights(df: DataFrame, model: PipelineModel, id_column: str) -> DataFr
     spark = df.sparkSession
     words = list(counter.vocabulary)
     terms = local_table(spark, index=pa.array(range(len(words)), "int32"), term=words)
-    vector = F.unwrap_udt("features")
+    vector = F.unwrap_udt(FEATURES)
     return (
         model.transform(df.select(id_column, "clean_text"))
         .select(id_column, F.inline(F.arrays_zip(vector["indices"].alias("index"),

@@ -33,6 +33,8 @@ def in_date_range(
     None stands for the first or last day of the data. A plain range on the bare column with
     literals of its type, so that it reaches the parquet reader.
     """
+    if not has_dates(df, column):
+        raise TypeError(f"{column} holds no dates; parse_dates reads texts")
     dtype = dict(df.dtypes)[column]
     day = F.col(column)
     inside = day.isNotNull()

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from opinara.functions.replies import cited_positions, insight_text
 from opinara.operators.filters import sampled_text
-from opinara.operators.ranking import FEED_SIZE, sample_per_group
-from opinara.operators.themes import PARALLEL_CALLS, explode_themes, written_replies
+from opinara.operators.ranking import FEED_SIZE, row_hash, sample_per_group
+from opinara.operators.themes import PARALLEL_CALLS, explode_themes, raise_outage, written_replies
 from opinara.session import pin
 from opinara.vocab import ALL_SENTIMENTS
 
@@ -44,11 +44,14 @@ def random_feeds(
 ) -> DataFrame:
     """The random feed of every theme and sentiment at once, with 0-based `position`.
 
-    Rows are fetched for the picked ids only, without exploding the reviews again. Where ids
-    are not unique, give another column, such as one made by `with_row_index`.
+    Rows are picked and fetched by a hash of all their columns, so ids may be missing or
+    repeated. Of rows that are alike one is fetched and stands for all that were picked.
     """
-    picked = sample_per_group(theme_choices(df), GROUP, n, seed, id_column)
-    return df.drop("sentiment").join(picked, id_column)
+    df = df.drop("sentiment")
+    rows = df.withColumn("_row", row_hash(df))
+    picked = sample_per_group(theme_choices(rows), GROUP, n, seed, id_column, "_row")
+    wanted = rows.join(picked.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"])
+    return wanted.join(picked.drop(id_column), "_row").drop("_row")
 
 
 def insight_samples(
@@ -87,11 +90,15 @@ def insight_prompts(samples: DataFrame, template: str = INSIGHT_INSTRUCTIONS) ->
 
 
 def parsed_insights(replies: DataFrame) -> DataFrame:
-    """(Theme, sentiment, insights, cited): text and cited sample positions of each reply."""
-    return replies.filter(F.col("raw").isNotNull()).select(
+    """(Theme, sentiment, insights, cited, error): text and cited sample positions of each reply.
+
+    A group whose call failed stays, without insights and with its error.
+    """
+    return replies.select(
         *GROUP,
         insight_text(F.col("raw")).alias("insights"),
-        cited_positions(F.col("raw"), F.col("sample_size")).alias("cited"),
+        F.coalesce(cited_positions(F.col("raw"), F.col("sample_size")), F.array().cast("array<bigint>")).alias("cited"),
+        "error",
     )
 
 
@@ -114,9 +121,11 @@ def insights(
     """Insights of every theme and sentiment, and the reviews they cite.
 
     Samples and replies are written before use: both the prompt and the citations must see
-    the same sample, and a call is never repeated for one.
+    the same sample, and a call is never repeated for one. A group whose call failed has its
+    error in place of insights; if all calls fail alike, this raises.
     """
     samples = pin(insight_samples(df, n, seed, id_column), "insight-samples")
     replies = written_replies(insight_prompts(samples), ask, parallel_calls)
+    raise_outage(replies)
     found = parsed_insights(replies)
     return found, cited_reviews(found, samples)

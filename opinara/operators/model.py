@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara.functions.mixed import is_mixed
-from opinara.operators.features import fit_tfidf
+from opinara.operators import features as f
 from opinara.operators.prepare import training_rows
 from opinara.operators.ranking import order_statistics, seeded_key, with_row_index
 from opinara.session import pin
@@ -24,9 +24,10 @@ SEED = 2016
 INVERSE_PENALTY = 0.8
 MAX_ITERATIONS = 1000
 
+# Columns that the stages add, before they are dropped.
+RAW, PROBABILITY, PREDICTION = "_model_raw", "_model_probability", "_model_prediction"
 _STAGE_COLUMNS = (
-    "tokens", "words", "pairs", "terms", "counts", "weighted", "features",
-    "rawPrediction", "probability", "prediction",
+    f.TOKENS, f.WORDS, f.PAIRS, f.TERMS, f.COUNTS, f.WEIGHTED, f.FEATURES, RAW, PROBABILITY, PREDICTION,
 )
 
 
@@ -35,15 +36,19 @@ class Trained(NamedTuple):
     accuracy: float
 
 
-def test_sizes(class_sizes: dict[str, int], share: float = TEST_SHARE) -> dict[str, int]:
-    """Test rows per class: `share` of all rows rounded up, split by largest remainder."""
-    total = math.ceil(share * sum(class_sizes.values()))
-    exact = {c: n * total / sum(class_sizes.values()) for c, n in class_sizes.items()}
-    sizes = {c: math.floor(x) for c, x in exact.items()}
-    by_rest = sorted(exact, key=lambda c: (sizes[c] - exact[c], c))
-    for c in by_rest[: total - sum(sizes.values())]:
-        sizes[c] += 1
-    return sizes
+def test_sizes(sizes: DataFrame, label: str = "sentiment", share: float = TEST_SHARE) -> DataFrame:
+    """Test rows per class of (label, n): `share` of all rows rounded up, by largest remainder.
+
+    Gives (label, `test_rows`). The number of classes is not bounded.
+    """
+    whole = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    total = math.ceil(share * whole)
+    exact = F.col("n") * float(total) / max(whole, 1)
+    parts = pin(sizes.select(label, F.floor(exact).alias("_least"), (F.floor(exact) - exact).alias("_rest")), "test-shares")
+    left = total - (parts.agg(F.sum("_least").alias("n")).first()["n"] or 0)
+    ranked = with_row_index(parts, "_place", ["_rest", label])
+    one_more = (F.col("_place") < left).cast("bigint")
+    return ranked.select(label, (F.col("_least") + one_more).alias("test_rows"))
 
 
 def stratified_split(
@@ -57,19 +62,22 @@ def stratified_split(
 
     The key of the last test row of each class is found by counting, so that a class of any
     size is split without sorting it in one task. Rows with one id stay on one side; where
-    ids may repeat, give a column of row positions.
+    ids may repeat, give a column of row positions. Rows without a label are in neither part
+    and get null.
     """
     keyed = df.withColumn("_key", seeded_key(F.col(id_column), seed))
-
-    def last_of_test(class_sizes: dict[str, int]) -> list[tuple[str, int]]:
-        return [(c, n - 1) for c, n in test_sizes(class_sizes, share).items() if n > 0]
-
-    limits = order_statistics(keyed, label, F.col("_key"), F.col("_key"), last_of_test)
-    # One limit per class.
-    in_test = F.lit(False)
-    for (name, _), limit in limits.items():
-        in_test = in_test | ((F.col(label) == name) & (F.col("_key") <= limit))
-    return keyed.withColumn("is_test", in_test).drop("_key")
+    sizes = pin(
+        keyed.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")), "class-sizes"
+    )
+    tests = test_sizes(sizes, label, share).filter("test_rows > 0")
+    last = tests.select(label, (F.col("test_rows") - 1).alias("rank"))
+    limits = order_statistics(keyed, label, F.col("_key"), F.col("_key"), last).select(
+        label, F.col("value").alias("_limit")
+    )
+    # Limits are written, so Spark knows their size; a class without test rows has none.
+    inside = F.coalesce(F.col("_key") <= F.col("_limit"), F.lit(False))
+    split = keyed.join(limits, label, "left").withColumn("is_test", F.when(F.col(label).isNotNull(), inside))
+    return split.select(*[F.col(f"`{c}`") for c in df.columns], "is_test")
 
 
 def fit_classifier(
@@ -81,11 +89,15 @@ def fit_classifier(
     """
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     n_rows = sum(sizes.values())
-    features = fit_tfidf(df, stop_words, n_rows, **limits)
+    features = f.fit_tfidf(df, stop_words, n_rows, **limits)
     classes = sorted(sizes)
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    rows = features.transform(df).select("features", index.cast("double").alias("label"))
+    rows = features.transform(df).select(f.FEATURES, index.cast("double").alias("label"))
     regression = LogisticRegression(
+        featuresCol=f.FEATURES,
+        rawPredictionCol=RAW,
+        probabilityCol=PROBABILITY,
+        predictionCol=PREDICTION,
         maxIter=MAX_ITERATIONS,
         regParam=1.0 / (INVERSE_PENALTY * n_rows),
         elasticNetParam=0.0,
@@ -93,7 +105,7 @@ def fit_classifier(
         family="auto",
     ).fit(rows)
     names = IndexToString(
-        inputCol="prediction", outputCol="predicted_sentiment", labels=classes
+        inputCol=PREDICTION, outputCol="predicted_sentiment", labels=classes
     )
     return PipelineModel([*features.stages, regression, names])
 
@@ -158,8 +170,12 @@ def mixed_flag(df: DataFrame) -> DataFrame:
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Score `clean_text`: prediction, confidence, one probability per class, mixed flag."""
-    scored = model.transform(df)
-    array = scored.withColumn("_p", vector_to_array("probability"))
+    """Score `clean_text`: prediction, confidence, one probability per class, mixed flag.
+
+    Columns of these names that `df` brings are replaced.
+    """
+    made = {"predicted_sentiment", "confidence", "is_mixed", *(f"prob_{c}" for c in classes_of(model))}
+    scored = model.transform(df.drop(*made))
+    array = scored.withColumn("_p", vector_to_array(PROBABILITY))
     flat = probability_columns(array, F.col("_p"), classes_of(model))
     return mixed_flag(flat.drop("_p", *_STAGE_COLUMNS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, functions as F
 
 from opinara.functions.labels import sentiment_from_stars
@@ -15,6 +17,13 @@ RAW_VIEW_COLUMNS = (
 )
 RAW_VIEW_ROWS = 50
 
+# Date texts other than ISO, in order of preference: month first, then day first, then names.
+USUAL_FORMATS = (
+    "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "M-d-yyyy",
+    "yyyy/M/d", "yyyy/M/d H:mm:ss", "d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d.M.yyyy", "d-M-yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+)
+
 
 def with_review_id(
     df: DataFrame, order_by: list[str] | None = None, fill_null: bool = False
@@ -68,15 +77,18 @@ def training_rows(df: DataFrame) -> DataFrame:
 def parse_dates(
     df: DataFrame,
     column: str = "date",
-    formats: tuple[str, ...] = (),
-    on_invalid: str = "null",
+    formats: tuple[str, ...] = USUAL_FORMATS,
+    on_invalid: str = "disable",
 ) -> DataFrame:
     """Turn a text date column into a time stamp without zone.
 
-    ISO texts are read first, then each of `formats`. Unreadable texts become null; with
-    `on_invalid="disable"` one such text leaves the whole column as text, and `has_dates`
-    keeps reports from using it as a date.
+    ISO texts are read, or texts in one of `formats`: the first way that reads all texts of the
+    column is taken, found in one pass. If none does, the column stays text, with a warning,
+    and `has_dates` keeps reports from using it as a date; all rows stay. With
+    `on_invalid="null"` each text is read in the first way that can, and the rest become null.
     """
+    if on_invalid not in ("disable", "null"):
+        raise ValueError(f"unknown on_invalid: {on_invalid}")
     dtype = dict(df.dtypes)[column]
     if dtype == "timestamp_ntz":
         return df
@@ -85,14 +97,15 @@ def parse_dates(
     text = strip(F.col(column))
     tries = [text.try_cast("timestamp_ntz")]
     tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    parsed = F.coalesce(*tries)
-    if on_invalid == "disable":
-        bad = df.filter(F.col(column).isNotNull() & parsed.isNull())
-        if not bad.isEmpty():
-            return df
-    elif on_invalid != "null":
-        raise ValueError(f"unknown on_invalid: {on_invalid}")
-    return df.withColumn(column, parsed)
+    if on_invalid == "null":
+        return df.withColumn(column, F.coalesce(*tries))
+    unread = [F.count_if(F.col(column).isNotNull() & t.isNull()).alias(f"u{i}") for i, t in enumerate(tries)]
+    left = df.select(column).agg(*unread).first()
+    way = next((t for t, n in zip(tries, left) if n == 0), None)
+    if way is None:
+        warnings.warn(f"{min(left)} texts of {column} are no dates, so it stays text", stacklevel=2)
+        return df
+    return df.withColumn(column, way)
 
 
 def raw_view(df: DataFrame, rows: int = RAW_VIEW_ROWS, order_by: str = "review_id") -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinara.session import local_table, pin
+from opinara.session import pin
 
 # Reviews per model call and per random feed.
 BATCH_SIZE = 10
@@ -22,8 +21,6 @@ _SALTS = 64
 # Order statistics look at this many bits of the sort key per pass over the data.
 _KEY_BITS = 62
 _STEP_BITS = 16
-_MAX_CELL_ROWS = 1_000_000
-_MAX_TARGETS = 10_000
 
 
 def with_row_index(
@@ -102,41 +99,31 @@ def top_k_per_group(
     )
 
 
-def _key_limit(size: Column, n: int) -> Column:
-    """A seeded key that more than n of `size` rows are all but sure to stay below.
-
-    Keys are spread evenly, so a share of the key range holds that share of the rows. The
-    slack is ten standard deviations and more; callers count what they got all the same.
-    """
-    return F.lit((n + 10 * math.sqrt(n) + 20) * float(1 << 60)) / size
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns: equal rows have one hash, other rows another."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def sample_per_group(
-    df: DataFrame, keys: Sequence[str], n: int, seed: int = 0, id_column: str = "review_id"
+    df: DataFrame,
+    keys: Sequence[str],
+    n: int,
+    seed: int = 0,
+    id_column: str = "review_id",
+    row: str | None = None,
 ) -> DataFrame:
-    """Ids of exactly min(n, group size) rows per group, chosen by seed.
+    """Exactly min(n, group size) rows per group, chosen by seed.
 
-    Gives (keys, id, 0-based `position`). Groups are counted first, then only the rows with
-    keys so small that they may be among the n smallest are ranked: about as many as asked
-    for, however large the group. The ids are written, so a join that fetches the rows knows
-    their true size, and Spark broadcasts them only when they are small.
+    Gives (keys, id, 0-based `position`), and `row`, a column that tells rows apart whose ids
+    are missing or repeated. The sample is written, so a join that fetches the rows knows its
+    true size, and Spark broadcasts it only when it is small.
     """
-    keys = list(keys)
-    narrow = df.select(*keys, id_column).dropna(subset=keys)
-    narrow = narrow.withColumn("_key", seeded_key(F.col(id_column), seed))
-    sizes = pin(narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
-
-    def picked(rows: DataFrame) -> DataFrame:
-        best = top_k_per_group(rows, keys, ["_key", id_column], n, "_rank")
-        return pin(best.select(*keys, id_column, (F.col("_rank") - 1).alias("position")), "sample")
-
-    near = narrow.join(sizes, keys).filter(F.col("_key") <= _key_limit(F.col("_size"), n))
-    sample = picked(near.drop("_size"))
-    got = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
-    short = sizes.join(got, keys, "left").filter(
-        F.coalesce("_got", F.lit(0)) < F.least("_size", F.lit(n))
-    )
-    return sample if short.isEmpty() else picked(narrow)
+    keys, more = list(keys), [row] if row else []
+    narrow = df.select(*keys, id_column, *more).dropna(subset=keys)
+    own = F.coalesce(F.col(id_column).cast("string"), F.col(row).cast("string")) if row else F.col(id_column)
+    narrow = narrow.withColumn("_key", seeded_key(own, seed))
+    best = top_k_per_group(narrow, keys, ["_key", id_column, *more], n, "_rank")
+    return pin(best.select(*keys, id_column, *more, (F.col("_rank") - 1).alias("position")), "sample")
 
 
 def random_feed(
@@ -144,83 +131,53 @@ def random_feed(
 ) -> DataFrame:
     """n rows chosen by seed, or all if there are no more; another seed gives another feed.
 
-    Rows that cannot be among the first n are dropped where they are read.
+    Each task keeps its n first rows only.
     """
-    keyed = df.withColumn("_key", seeded_key(F.col(id_column), seed))
-    size = df.count()
-
-    def first(rows: DataFrame) -> DataFrame:
-        return pin(rows.orderBy("_key", id_column).limit(n), "feed")
-
-    feed = first(keyed.filter(F.col("_key") <= _key_limit(F.lit(max(size, 1)), n)))
-    if feed.count() < min(n, size):
-        feed = first(keyed)
-    return feed.orderBy("_key", id_column).drop("_key")
+    row = row_hash(df)
+    key = seeded_key(F.coalesce(F.col(id_column).cast("string"), row.cast("string")), seed)
+    return df.withColumns({"_key": key, "_row": row}).orderBy("_key", id_column, "_row").limit(n).drop("_key", "_row")
 
 
 def first_rows(df: DataFrame, n: int, order_by: str) -> DataFrame:
-    """The first n rows in order. The order column alone is ranked, then its rows are read."""
-    first = pin(df.select(order_by).orderBy(order_by).limit(n), "first-rows")
-    return df.join(first, order_by, "left_semi").orderBy(order_by).limit(n)
+    """The first n rows in order, nulls first. Each task keeps its n first rows only."""
+    return df.withColumn("_row", row_hash(df)).orderBy(order_by, "_row").limit(n).drop("_row")
 
 
 def order_statistics(
-    df: DataFrame,
-    group: str,
-    value: Column,
-    key: Column,
-    wanted: Callable[[dict[str, int]], Iterable[tuple[str, int]]],
-) -> dict[tuple[str, int], float]:
-    """Exact values at chosen ranks of each group's ascending order.
-
-    `wanted` gets the group sizes and gives (group, 0-based rank) pairs; the result maps these
-    to values. `key` is a bigint in [0, 2^62] that does not decrease as `value` grows.
-
-    Each pass counts the rows of the wanted key ranges in 65,536 sub-ranges, with map-side
-    combine, and keeps the sub-range that holds each rank; three passes leave at most 2^15
-    keys. No pass sorts or shuffles the data, and only the ranks, few per group, come to the
-    driver.
+    df: DataFrame, group: str, value: Column, key: Column, wanted: DataFrame
+) -> DataFrame:
+    """Exact values at chosen ranks of each group's ascending order: (group, rank, value).
+
+    `wanted` has rows (group, 0-based rank). `key` is a bigint in [0, 2^62] that does not
+    decrease as `value` grows.
+
+    Each of four passes counts the rows of the wanted key ranges in at most 65,536 sub-ranges,
+    with map-side combine, and keeps the sub-range that holds each rank; the last counts the
+    values themselves. No pass sorts or shuffles the data, and nothing comes to the driver.
     """
-    spark = df.sparkSession
     base = df.select(F.col(group).alias("g"), value.alias("v"), key.alias("k"))
     base = base.filter(F.col("g").isNotNull() & F.col("k").isNotNull())
-
-    def counted(rows: DataFrame, part: Column) -> DataFrame:
-        return rows.groupBy("g", "cell", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-
-    shift = _KEY_BITS + 1 - _STEP_BITS
-    # The first counts also give the group sizes, so they are kept.
-    whole = base.withColumn("cell", F.lit(0).cast("bigint"))
-    counts = pin(counted(whole, F.shiftrightunsigned("k", shift)), "rank-counts")
-    sizes = counts.groupBy("g").agg(F.sum("n").alias("n")).limit(_MAX_TARGETS + 1).collect()
-    targets = [(g, r, r, 0) for g, r in set(wanted({s["g"]: s["n"] for s in sizes}))]
-    if max(len(sizes), len(targets)) > _MAX_TARGETS:
-        raise ValueError(f"more than {_MAX_TARGETS} groups or ranks")
-    # A target is (group, wanted rank, rank inside its cell, cell).
-    last = False
-    while targets:
-        names, ranks, rests, in_cells = map(list, zip(*targets))
-        sought = local_table(spark, g=names, rank=ranks, rest=rests, cell=in_cells)
-        upto = Window.partitionBy("g", "cell").orderBy("part")
+    targets = wanted.select(F.col(group).alias("g"), "rank").withColumns(
+        {"rest": F.col("rank"), "cell": F.lit(0).cast("bigint")}
+    )
+    inside = base.withColumn("cell", F.lit(0).cast("bigint"))
+    upto = Window.partitionBy("g", "cell").orderBy("part")
+    shifts = range(_KEY_BITS + 1 - _STEP_BITS, -_STEP_BITS, -_STEP_BITS)
+    for shift in shifts:
+        last = shift <= 0
+        part = F.col("v") if last else F.shiftrightunsigned("k", shift)
+        counts = inside.groupBy("g", "cell", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(upto) - F.col("n")
         found = (
-            counts.withColumn("end", F.sum("n").over(upto))
-            .join(sought, ["g", "cell"])
-            .withColumn("rest", F.col("rest") - F.col("end") + F.col("n"))
+            counts.withColumn("before", before).join(targets, ["g", "cell"])
+            .withColumn("rest", F.col("rest") - F.col("before"))
             .filter((F.col("rest") >= 0) & (F.col("rest") < F.col("n")))
-            .select("g", "rank", "rest", "part", "n")
-            .collect()
         )
         if last:
-            return {(t["g"], t["rank"]): t["part"] for t in found}
-        targets = [(t["g"], t["rank"], t["rest"], t["part"]) for t in found]
-        names, in_cells = map(list, zip(*{(t[0], t[3]) for t in targets}))
+            break
+        # Written, so that Spark knows the size before it chooses the next join.
+        targets = pin(found.select("g", "rank", "rest", F.col("part").alias("cell")), "rank-cells")
         inside = base.withColumn("cell", F.shiftrightunsigned("k", shift)).join(
-            local_table(spark, g=names, cell=in_cells), ["g", "cell"], "left_semi"
+            targets.select("g", "cell").distinct(), ["g", "cell"], "left_semi"
         )
-        last = shift < _STEP_BITS or max(t["n"] for t in found) <= _MAX_CELL_ROWS
-        if last:
-            counts = counted(inside, F.col("v"))
-        else:
-            shift -= _STEP_BITS
-            counts = counted(inside, F.shiftrightunsigned("k", shift))
-    return {}
+    return pin(found.select(F.col("g").alias(group), "rank", F.col("part").alias("value")), "rank-values")

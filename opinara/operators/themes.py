@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara.functions.replies import (
     all_have_themes,
@@ -19,7 +20,7 @@ from opinara.functions.replies import (
 from opinara.functions.themes import is_failed, joined_themes, named_themes
 from opinara.operators.filters import without_failed
 from opinara.operators.ranking import BATCH_SIZE, with_batches
-from opinara.session import new_path, pin
+from opinara.session import pin
 from opinara.vocab import FAILED, THEMES
 
 # Characters of a review shown to the model, attempts, seconds between them,
@@ -32,6 +33,8 @@ PARALLEL_CALLS = 2
 # Calls that are lost at most with a task.
 CALLS_PER_TASK = 500
 
+_LOG = logging.getLogger(__name__)
+
 THEME_INSTRUCTIONS = """Sort customer reviews into themes.
 Use these themes only: {themes}
 Give each of the {size} reviews at least one theme, the closest one if unsure.
@@ -74,27 +77,42 @@ def batch_prompts(
 
 
 def ask_model(
-    prompts: DataFrame, ask: Callable[[str], str], parallel_calls: int = PARALLEL_CALLS
+    prompts: DataFrame,
+    ask: Callable[[str], str],
+    parallel_calls: int = PARALLEL_CALLS,
+    calls_per_task: int = CALLS_PER_TASK,
 ) -> DataFrame:
-    """Add `raw`, the reply of `ask(prompt)`; null where the call raised.
+    """Add `raw`, the reply of `ask(prompt)`, and `error`, what it raised in its place.
 
-    `parallel_calls` tasks call at a time. Replies are not repeatable: write the result
-    before using it twice.
+    One job, whose tasks make about `calls_per_task` calls each, `parallel_calls` of them at a
+    time; how many tasks run at a time is the cluster's matter. Replies are not repeatable:
+    write the result before using it twice.
     """
     columns = prompts.columns
+    tasks = max(1, math.ceil(prompts.count() / calls_per_task))
 
     def call(frames):
+        from concurrent.futures import ThreadPoolExecutor
+
         def reply(prompt):
             try:
-                return ask(prompt)
-            except Exception:
-                return None
+                return ask(prompt), None
+            except Exception as error:
+                return None, f"{type(error).__name__}: {error}"
+
+        with ThreadPoolExecutor(parallel_calls) as pool:
+            for frame in frames:
+                replies = list(pool.map(reply, frame["prompt"]))
+                frame = frame.assign(raw=[r for r, _ in replies], error=[e for _, e in replies])
+                yield frame[[*columns, "raw", "error"]]
 
-        for frame in frames:
-            yield frame.assign(raw=[reply(p) for p in frame["prompt"]])[[*columns, "raw"]]
+    schema = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", raw string, error string"
+    return prompts.repartition(tasks).mapInPandas(call, schema)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", raw string"
-    return prompts.repartition(parallel_calls).mapInPandas(call, schema)
+
+def failed_calls(replies: DataFrame) -> DataFrame:
+    """Calls that raised, counted by (error)."""
+    return replies.filter(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("calls"))
 
 
 def written_replies(
@@ -103,24 +121,30 @@ def written_replies(
     parallel_calls: int = PARALLEL_CALLS,
     calls_per_task: int = CALLS_PER_TASK,
 ) -> DataFrame:
-    """Ask for every prompt and write the replies, in rounds of bounded tasks.
+    """Ask for every prompt and write the replies, each task its own part once.
 
-    A task makes about `calls_per_task` calls, and a round's replies are written before the
-    next one starts: a lost executor costs the calls of its running tasks, no more.
+    A lost executor costs the calls of its running tasks, no more. Failed calls are logged.
     """
-    spark = prompts.sparkSession
-    rounds = math.ceil(prompts.count() / (parallel_calls * calls_per_task))
-    if rounds <= 1:
-        return pin(ask_model(prompts, ask, parallel_calls), "replies")
-    # By all columns: batches of copies share a prompt, but not their number.
-    number = F.pmod(F.xxhash64(*prompts.columns), F.lit(rounds)).alias("_round")
-    split = pin(prompts.select("*", number).repartition("_round"), "asked", "_round")
-    path = new_path(spark, "replies")
-    for i in range(rounds):
-        part = split.filter(F.col("_round") == i).drop("_round")
-        ask_model(part, ask, parallel_calls).write.mode("append").parquet(path)
-    fields = [*prompts.schema.fields, T.StructField("raw", T.StringType())]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    replies = pin(ask_model(prompts, ask, parallel_calls, calls_per_task), "replies")
+    found = _failures(replies)
+    if found["failed"]:
+        _LOG.warning("%d of %d model calls failed, such as %s", found["failed"], found["calls"], found["error"])
+    return replies
+
+
+def _failures(replies: DataFrame):
+    kind = F.substring_index("error", ":", 1)
+    return replies.agg(
+        F.count(F.lit(1)).alias("calls"), F.count("error").alias("failed"), F.min("error").alias("error"),
+        (F.min(kind) == F.max(kind)).alias("one_kind"),
+    ).first()
+
+
+def raise_outage(replies: DataFrame) -> None:
+    """Raise if every call failed with one type of error: that is no matter of single replies."""
+    found = _failures(replies)
+    if found["calls"] and found["failed"] == found["calls"] and found["one_kind"]:
+        raise RuntimeError(f"all {found['calls']} model calls failed: {found['error']}")
 
 
 def parsed_replies(
@@ -184,6 +208,12 @@ def explode_themes(df: DataFrame, distinct: bool = False) -> DataFrame:
     return exploded.filter(F.col("Theme").isNotNull())
 
 
+def _log_dropped(pending: DataFrame) -> None:
+    dropped = pending.agg(F.sum("size").alias("n")).first()["n"]
+    if dropped:
+        _LOG.warning("%d reviews are left without themes, as their batches failed", dropped)
+
+
 def extract_themes(
     reviews: DataFrame,
     ask: Callable[[str], str],
@@ -199,7 +229,10 @@ def extract_themes(
     """Assign themes through `ask` and drop the reviews whose batch failed every attempt.
 
     Each attempt asks again only for the batches that failed so far. Its replies are written
-    before they are read, so a lost executor never repeats a finished attempt.
+    before they are read, so a lost executor never repeats a finished attempt. How many reviews
+    failed is logged, and if no call ever answers, this raises; `failed_count` tells it of a result with `keep_failed`. `order_by` makes
+    batches of consecutive rows; without it, of the rows as they are read. `reviews` must give
+    the same rows whenever they are read, as stored tables do.
     """
     batches = with_batches(reviews, batch_size, order_by)
     prompts = pin(batch_prompts(batches, themes), "prompts")
@@ -209,12 +242,15 @@ def extract_themes(
         if attempt:
             time.sleep(pause)
         replies = written_replies(pending, ask, parallel_calls)
-        parsed = pin(parsed_replies(replies, themes, strict).drop("raw", "prompt"), "parsed")
+        parsed = pin(parsed_replies(replies, themes, strict).drop("raw", "prompt", "error"), "parsed")
         good = parsed.filter("ok")
         done = good if done is None else done.unionByName(good)
         pending = prompts.join(done, "batch_id", "left_anti")
         if pending.isEmpty():
             break
     keys = ["batch_id", "position"]
+    if done.isEmpty():
+        raise_outage(replies)
+    _log_dropped(pending)
     themed = attach_themes(batches, review_themes(done), keys).drop(*keys, "row_index")
     return themed if keep_failed else without_failed(themed)

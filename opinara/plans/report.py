@@ -20,10 +20,9 @@ from opinara.functions.text import latin1
 from opinara.operators import analytics as a
 from opinara.operators.filters import Day, date_range, has_dates
 from opinara.operators.insights import GROUP, insights, random_feeds
-from opinara.operators.prepare import raw_view
+from opinara.operators.prepare import parse_dates, raw_view
 from opinara.operators.themes import PARALLEL_CALLS, explode_themes
 from opinara.session import pin
-from opinara.vocab import LABELS
 
 # Section names, in default order.
 SUMMARY = "Prediction Summary"
@@ -85,7 +84,7 @@ def _title(kind: str):
 def insight_sections(found: DataFrame) -> DataFrame:
     """Title and printable text of every insight."""
     text = insight_body(F.col("insights")).alias("text")
-    return found.select(*GROUP, _title("Insights"), text)
+    return found.filter(F.col("insights").isNotNull()).select(*GROUP, _title("Insights"), text)
 
 
 def cited_section(cited: DataFrame) -> DataFrame:
@@ -126,20 +125,22 @@ def review_tables(
 def report_bundle(
     df: DataFrame,
     sections: Sequence[str] = SECTIONS,
-    labels: Sequence[str] = LABELS,
     start: Day | None = None,
     end: Day | None = None,
 ) -> dict[str, DataFrame]:
     """Tables of the chosen sections, in their order, under short names.
 
     Reviews with dates are limited to the days from `start` to `end`, by default those of the
-    data; reviews without a date are then left out. The data is counted once per cube; all
+    data; reviews without a date are then left out. Dates may be text; unreadable ones turn the
+    date sections off, with a warning, and all reviews stay. The data is counted once per cube; all
     counting sections read the small cubes, which are written only if one of their sections
     is chosen. Sections whose columns are missing are left out.
     """
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections: {sorted(unknown)}")
+    if "date" in df.columns and not has_dates(df):
+        df = parse_dates(df)
     has_date = has_dates(df)
     if has_date:
         df = date_range(df, start, end)
@@ -158,9 +159,7 @@ def report_bundle(
         by_theme = pin(a.theme_cube(explode_themes(df), date), "theme-cube")
     for section in chosen:
         if section == SUMMARY:
-            scored = {"confidence", "is_mixed"} <= set(df.columns)
-            if scored:
-                tables["key_figures"] = a.key_figure_texts(a.key_figures(df))
+            tables["key_figures"] = a.key_figure_texts(a.key_figures(df))
             tables["sentiment_shares"] = a.sentiment_shares(by_class, weight="n")
             if "confidence" in df.columns:
                 tables["confidence_boxes"] = a.confidence_boxes(df)
@@ -171,7 +170,7 @@ def report_bundle(
             tables["top_themes"] = a.top_themes(by_theme, weight="n")
         elif section == DISTRIBUTION:
             tables["theme_sentiment"] = a.theme_sentiment(by_theme, weight="n")
-            tables["theme_table"] = a.theme_table(by_theme, by_class, None, labels, "n")
+            tables["theme_table"] = a.theme_table(by_theme, by_class, weight="n")
         elif section == THEME_TREND:
             tables["monthly_themes"] = a.monthly_themes(by_theme, "month", "n")
         elif section == REVIEWS:

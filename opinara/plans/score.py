@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from opinara.operators.model import predict
-from opinara.operators.prepare import with_clean_text, with_review_id
+from opinara.operators.prepare import parse_dates, with_clean_text, with_review_id
 from opinara.sources.models import load_or_train
 from opinara.sources.reports import write_scored
 from opinara.sources.reviews import read_reviews, read_training
@@ -38,5 +38,7 @@ def score_job(
     training = None if training_folder is None else read_training(spark, training_folder)
     model, accuracy = load_or_train(spark, model_path, training)
     reviews = read_reviews(spark, input_path, multi_line)
+    if "date" in reviews.columns:
+        reviews = parse_dates(reviews)
     write_scored(score(reviews, model, fill_ids), output_path)
     return accuracy

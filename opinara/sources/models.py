@@ -17,7 +17,9 @@ def model_exists(spark: SparkSession, path: str) -> bool:
     """Whether a whole model is saved: its metadata is readable."""
     try:
         return not spark.read.text(f"{path}/metadata").limit(1).isEmpty()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,21 +13,44 @@ from opinara.vocab import NA_TOKENS
 TRAINING_FILE = "training_testing_data.csv"
 
 
+def marked_missing(raw: DataFrame) -> DataFrame:
+    """The same columns, null where a cell holds a missing mark."""
+    return raw.select(
+        *[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns]
+    )
+
+
+def _csv(spark: SparkSession, path, multi_line: bool, **options) -> DataFrame:
+    read = spark.read.options(header=True, multiLine=multi_line, escape='"', **options)
+    return read.csv(path)
+
+
 def read_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Reviews from CSV with a header; every column is a string, missing marks are null.
 
-    Quoted line breaks need `multi_line`, which reads each file in one task. Pass False for
-    big files without them, or many files, so that the read is split.
+    Columns go by the header of each file: files of one header are read together, and columns
+    that a file lacks are null. Quoted line breaks need `multi_line`, which reads each file in
+    one task; convert such files once with `to_table`, and read the table from then on.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
-    )
-    return raw.select(
-        *[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns]
-    )
+    # The listing alone, without content.
+    if spark.read.format("binaryFile").load(path).select("path").limit(2).count() < 2:
+        return marked_missing(_csv(spark, path, multi_line))
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    # One header per file, found in a split pass over the text; files are few next to rows.
+    heads = lines.filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    heads = heads.groupBy("file_path").agg(F.min_by("value", "at").alias("head"))
+    alike = heads.groupBy("head").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
+    groups = alike.orderBy("head").collect()
+    if len(groups) < 2:
+        return marked_missing(_csv(spark, path, multi_line))
+    parts = [marked_missing(_csv(spark, group["files"], multi_line)) for group in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def to_table(spark: SparkSession, csv_path: str, table_path: str, multi_line: bool = True) -> DataFrame:
+    """Convert CSV files to a parquet table once, so that all later reads are split."""
+    read_reviews(spark, csv_path, multi_line).write.mode("overwrite").parquet(table_path)
+    return read_review_table(spark, table_path)
 
 
 def read_review_table(spark: SparkSession, path: str) -> DataFrame:

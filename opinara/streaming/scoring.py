@@ -9,31 +9,28 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from opinara.operators.model import predict
 from opinara.operators.prepare import with_clean_text
-from opinara.vocab import NA_TOKENS
+from opinara.sources.reviews import marked_missing
 
 
 def arriving_reviews(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
     """Stream of the review CSVs in a folder; `columns` are those of the files, in order.
 
-    Row positions do not exist in a stream, so the files must bring `review_id`.
+    A file with other columns, or another order, ends the stream with an error. Row positions do
+    not exist in a stream, so the files must bring `review_id`.
     """
     if "review_id" not in columns:
         raise ValueError("streamed reviews need a review_id")
     raw = (
         spark.readStream.schema(", ".join(f"`{c}` string" for c in columns))
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
+        .options(header=True, multiLine=True, escape='"', enforceSchema=False)
         .csv(folder)
     )
-    return raw.select(
-        *[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in columns]
-    )
+    return marked_missing(raw)
 
 
 def score_arrivals(

@@ -9,7 +9,7 @@ from opinara.operators.model import accuracy
 from opinara.operators.prepare import training_rows
 from opinara.operators.ranking import first_rows
 from opinara.operators.themes import explode_themes, failed_count
-from registry.core import as_text, query, rounded, scored, with_views
+from registry.core import MORE_VIEWS, as_text, classed, query, rounded, scored, with_views
 from registry.preparation import LABEL
 
 _CROSSTAB = """
@@ -238,3 +238,63 @@ def top_3(spark, sf):
     chart = a.themes_for_chart(a.top_themes(explode_themes(scored(spark, sf))))
     # At most twenty bars.
     return chart.withColumn("bar", F.monotonically_increasing_id() + 1)
+
+
+_ALL_CLASSES = """
+SELECT Theme, count(*) FILTER (predicted_sentiment = 'positive') AS positive,
+ count(*) FILTER (predicted_sentiment = 'negative') AS negative,
+ count(*) FILTER (predicted_sentiment = 'neutral') AS neutral,
+ count(*) FILTER (predicted_sentiment = 'neutral/mixed') AS middle,
+ count(*) FILTER (predicted_sentiment = 'unsure') AS unsure, count(*) AS total
+FROM {table} GROUP BY Theme"""
+_ALL_CLASS_ROWS = (
+    _ALL_CLASSES.format(table="classed_exploded") + " UNION ALL "
+    + _ALL_CLASSES.format(table="(SELECT 'Total Raw Reviews' AS Theme, predicted_sentiment FROM classed) r")
+)
+
+
+@query("agg_9_all_classes", with_views("scored", _ALL_CLASS_ROWS, **MORE_VIEWS))
+def agg_9_all(spark, sf):
+    df = classed(spark, sf)
+    rows = a.crosstab(explode_themes(df))
+    return _plain_names(rows.unionByName(a.total_row(rows, df)))
+
+
+@query("agg_12_all_classes", with_views("scored", """
+SELECT Theme, positive, round_even(positive / total * 100, 1) AS positive_pct,
+ negative, round_even(negative / total * 100, 1) AS negative_pct,
+ neutral, round_even(neutral / total * 100, 1) AS neutral_pct,
+ middle, round_even(middle / total * 100, 1) AS middle_pct, total FROM shown""",
+    **MORE_VIEWS, shown=_ALL_CLASS_ROWS))
+def agg_12_all(spark, sf):
+    df = classed(spark, sf)
+    table = a.theme_table(explode_themes(df), df)
+    return _plain_names(table).withColumnRenamed("neutral (%)", "neutral_pct")
+
+
+@query("agg_4_summary_boxes", with_views("scored", """
+SELECT predicted_sentiment AS sentiment, round(min(confidence), 6) AS min, round(max(confidence), 6) AS max,
+ TRUE AS close FROM scored GROUP BY 1"""))
+def agg_4_summary(spark, sf):
+    """Quartiles from bounded summaries, told as closeness to the exact ones."""
+    df = scored(spark, sf)
+    exact = a.confidence_boxes(df).select("sentiment", *[F.col(c).alias(f"exact_{c}") for c in ("q1", "median", "q3")])
+    rows = a.confidence_boxes(df, exact=False).join(exact, "sentiment")
+    close = F.lit(True)
+    for c in ("q1", "median", "q3"):
+        close = close & (F.abs(F.col(c) - F.col(f"exact_{c}")) < 0.01)
+    return rounded(rows.select("sentiment", "min", "max", close.alias("close")), "min", "max")
+
+
+@query("agg_6_enough_to_plot", with_views("scored", """
+SELECT months > 1 AS enough, one > 1 AS enough_of_one FROM
+ (SELECT count(*) AS months FROM (SELECT DISTINCT last_day(date), predicted_sentiment FROM scored
+  WHERE date IS NOT NULL) m), (SELECT count(*) AS one FROM (SELECT predicted_sentiment FROM scored
+  WHERE date IS NOT NULL AND predicted_sentiment = 'positive' GROUP BY 1) o)"""))
+def agg_6(spark, sf):
+    monthly = a.monthly_sentiment(scored(spark, sf))
+    alone = monthly.filter("predicted_sentiment = 'positive'").groupBy("predicted_sentiment").count()
+    # The decision is one bit per chart; the counts behind it come from the data.
+    return monthly.agg(
+        F.lit(a.enough_to_plot(monthly)).alias("enough"), F.lit(a.enough_to_plot(alone)).alias("enough_of_one")
+    )

@@ -88,6 +88,15 @@ _CHOICES_SQL = """
 SELECT DISTINCT e.review_id, e.Theme, unnest([predicted_sentiment, 'All']) AS sentiment
 FROM exploded e"""
 
+# Reviews with more classes, and with ids that are missing or repeated.
+_MORE_CLASSES_SQL = """
+SELECT scored.* REPLACE (CASE WHEN k % 7 = 0 THEN 'neutral' WHEN k % 11 = 0 THEN 'unsure'
+ ELSE predicted_sentiment END AS predicted_sentiment) FROM scored"""
+MORE_VIEWS = {
+    "classed": _MORE_CLASSES_SQL,
+    "classed_exploded": _EXPLODED_SQL.replace("scored", "classed"),
+}
+
 # Common table expressions of the oracles, in order of dependence.
 _VIEWS = {
     "reviews": _REVIEWS_SQL,
@@ -133,6 +142,20 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumnRenamed("prob_neutral", "prob_neutral/mixed")
 
 
+def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored reviews with the classes neutral and unsure besides the usual ones."""
+    named = F.when(F.col("k") % 7 == 0, "neutral").when(F.col("k") % 11 == 0, "unsure")
+    return scored(spark, sf_dir).withColumn(
+        "predicted_sentiment", named.otherwise(F.col("predicted_sentiment"))
+    )
+
+
+def without_ids(df: DataFrame) -> DataFrame:
+    """Ids that are missing for a third of the reviews and the same for the others of a customer."""
+    own = F.concat(F.lit("c"), (F.col("k") % 10).cast("string"))
+    return df.withColumn("review_id", F.when(F.col("k") % 3 > 0, own))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name beside the intermediate tables."""
     return new_path(spark, label)

@@ -11,7 +11,7 @@ from opinara.operators.model import probability_columns
 from opinara.operators.themes import explode_themes
 from registry.core import (
     CLOSE_SQL, as_text, contrast_sql, polarity_sql, query, reviews, rounded, scored, table,
-    with_views,
+    with_views, without_ids,
 )
 
 LABEL = """CASE WHEN stars IS NULL OR stars = 'nan' THEN 'negative'
@@ -91,7 +91,7 @@ def prj_8(spark, sf):
 SELECT review_id, CAST(date AS VARCHAR) AS date FROM reviews"""))
 def prj_9(spark, sf):
     text = F.coalesce(F.col("date").cast("string"), F.lit("unknown"))
-    df = prepare.parse_dates(reviews(spark, sf).withColumn("date", text))
+    df = prepare.parse_dates(reviews(spark, sf).withColumn("date", text), on_invalid="null")
     return as_text(df.select("review_id", "date"), "date")
 
 
@@ -271,3 +271,27 @@ def set_2(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id", mixed.has_any(words, ("the", "und", "les")).alias("hit")
     )
+
+
+def _text_dates(spark, sf, pattern):
+    return reviews(spark, sf).withColumn("date", F.date_format("date", pattern))
+
+
+@query("prj_9_month_first", with_views("reviews", """
+SELECT review_id, CAST(CAST(date AS DATE) AS VARCHAR) AS date FROM reviews"""))
+def prj_9_month_first(spark, sf):
+    dates = prepare.parse_dates(_text_dates(spark, sf, "M/d/yyyy")).select("review_id", F.to_date("date").alias("date"))
+    return as_text(dates, "date")
+
+
+@query("prj_9_day_and_name", with_views("reviews", """
+SELECT review_id, CAST(CAST(date AS DATE) AS VARCHAR) AS date FROM reviews"""))
+def prj_9_day_and_name(spark, sf):
+    dates = prepare.parse_dates(_text_dates(spark, sf, "d MMM yyyy")).select("review_id", F.to_date("date").alias("date"))
+    return as_text(dates, "date")
+
+
+@query("prj_8_without_ids", with_views("scored", """
+SELECT count(*) AS rows FROM (SELECT k FROM scored LIMIT 50) s"""))
+def prj_8_without_ids(spark, sf):
+    return prepare.raw_view(without_ids(scored(spark, sf))).agg(F.count(F.lit(1)).alias("rows"))

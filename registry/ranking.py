@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opinara.operators import filters, insights as ins, ranking
 from opinara.operators.model import stratified_split
 from opinara.operators.prepare import training_rows
-from registry.core import query, reviews, scored, table, with_views
+from registry.core import query, reviews, scored, table, with_views, without_ids
 from registry.preparation import LABEL
 
 
@@ -86,3 +86,49 @@ FROM labelled l JOIN sizes s ON l.sentiment = s.sentiment""",
 def smp_3(spark, sf):
     rows = training_rows(reviews(spark, sf)).select("review_id", "sentiment")
     return stratified_split(rows)
+
+
+@query("smp_1_without_ids", with_views("choices", """
+SELECT Theme, sentiment, least(50, count(*)) AS sample_size
+FROM (SELECT DISTINCT k, Theme, unnest([predicted_sentiment, 'All']) AS sentiment FROM exploded) c
+GROUP BY 1, 2"""))
+def smp_1_without_ids(spark, sf):
+    """Sizes of the samples where ids are missing or repeated."""
+    samples = ins.insight_samples(without_ids(scored(spark, sf)))
+    return samples.groupBy("Theme", "sentiment").agg(F.count(F.lit(1)).alias("sample_size"))
+
+
+@query("jon_5_without_ids", with_views("choices", """
+SELECT Theme, sentiment, 2 AS cited
+FROM (SELECT DISTINCT k, Theme, unnest([predicted_sentiment, 'All']) AS sentiment FROM exploded) c
+GROUP BY 1, 2 HAVING count(*) > 7"""))
+def jon_5_without_ids(spark, sf):
+    """Cited reviews of each insight where ids are missing or repeated."""
+    _, cited = ins.insights(
+        without_ids(scored(spark, sf)), lambda prompt: "INSIGHTS:\n- a\nRELEVANT_IDS:\n[7, 0, 7, 99]", parallel_calls=8
+    )
+    found = cited.groupBy("Theme", "sentiment").agg(F.count(F.lit(1)).cast("int").alias("cited"))
+    return found.filter("cited = 2")
+
+
+@query("top_2_without_ids", with_views("scored", """
+SELECT count(*) AS rows, count(review_id) AS with_id FROM
+ (SELECT CASE WHEN k % 3 > 0 THEN 'c' END AS review_id FROM scored ORDER BY review_id NULLS FIRST LIMIT 50) s"""))
+def top_2_without_ids(spark, sf):
+    df = without_ids(scored(spark, sf)).select("review_id", "clean_text", "k")
+    return ranking.first_rows(df, 50, "review_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("review_id").alias("with_id")
+    )
+
+
+@query("smp_3_many_classes", """
+SELECT count(*) AS documents, count(DISTINCT doc_id) AS classes,
+ CAST(ceil(0.2 * count(*)) AS BIGINT) AS test_rows FROM documents""")
+def smp_3_many_classes(spark, sf):
+    """A split with a class per document: no number of classes is too large."""
+    rows = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("sentiment"))
+    split = stratified_split(rows, id_column="doc_id")
+    return split.agg(
+        F.count(F.lit(1)).alias("documents"), F.countDistinct("sentiment").alias("classes"),
+        F.count_if("is_test").alias("test_rows"),
+    )

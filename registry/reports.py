@@ -96,3 +96,10 @@ SELECT format('{:,}', count(*)) AS reviews,
  AS mixed_rate FROM scored"""))
 def fmt_7(spark, sf):
     return a.key_figure_texts(a.key_figures(scored(spark, sf)))
+
+
+@query("fmt_7_without_mixed", with_views("scored", """
+SELECT format('{:,}', count(*)) AS reviews,
+ concat(format('{:.1f}', avg(confidence) * 100), '%') AS avg_confidence FROM scored"""))
+def fmt_7_without(spark, sf):
+    return a.key_figure_texts(a.key_figures(scored(spark, sf).drop("is_mixed")))

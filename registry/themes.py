@@ -337,7 +337,7 @@ SELECT Theme, sentiment, concat('- ', CAST(count(*) AS VARCHAR), ' reviews') AS
 FROM sample GROUP BY 1, 2""", sample=SAMPLE_SQL))
 def ins_4(spark, sf):
     found, _ = ins.insights(scored(spark, sf), analyst(), parallel_calls=8)
-    return found.drop("cited")
+    return found.drop("cited", "error")
 
 
 @query("jon_5_cited_reviews", with_views("choices", """
@@ -351,3 +351,33 @@ def jon_5(spark, sf):
         "Theme", "sentiment", F.col("citation").cast("bigint").alias("citation"), "review_id",
         "clean_text",
     )
+
+
+@query("udf_1_failed_calls", with_views("reviews", """
+SELECT concat('RuntimeError: no ', theme) AS error, count(*) AS calls FROM
+ (SELECT CASE o_orderkey % 5 WHEN 1 THEN 'answer' WHEN 3 THEN 'connection' END AS theme FROM orders) o
+WHERE theme IS NOT NULL GROUP BY 1"""))
+def udf_1(spark, sf):
+    """Model calls that fail, counted by error: one prompt per order."""
+    kind = F.when(F.col("o_orderkey") % 5 == 1, "answer").when(F.col("o_orderkey") % 5 == 3, "connection")
+    prompts = table(spark, sf, "orders").select("o_orderkey", F.coalesce(kind, F.lit("")).alias("prompt"))
+
+    def ask(prompt):
+        if prompt:
+            raise RuntimeError(f"no {prompt}")
+        return "yes"
+
+    return th.failed_calls(th.written_replies(pin(prompts, "prompts"), ask, parallel_calls=8))
+
+
+@query("udf_2_literal_replies", _with("replies", """
+SELECT batch_id, CASE batch_id % 12 WHEN 2 THEN concat('1: [" ', lower(t1), ' "]|2: ', upper(t2))
+ WHEN 5 THEN concat('1: ["', t1, '"]|2: ["', t2, '"]') ELSE concat('1: ["', t1, '"]|2: ["', t2, '"]') END AS entries
+FROM replies WHERE batch_id % 12 IN (2, 5, 10)"""))
+def udf_2(spark, sf):
+    """Replies written as Python literals, as key and value of the first object."""
+    rows = replies(spark, sf).filter("batch_id % 12 IN (2, 5, 10)")
+    found = F.from_json(literal_objects(json_span(F.col("raw"))), "array<map<string,string>>")[0]
+    # Entries in the order of their keys; lists stay JSON text.
+    pairs = F.transform(F.map_entries(found), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return rows.select("batch_id", F.array_join(F.array_sort(pairs), "|").alias("entries"))

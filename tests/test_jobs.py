@@ -24,6 +24,14 @@ def test_read_csv(spark, tmp_path):
     ]
 
 
+def test_files_with_other_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("review_id,text,stars\n1,good,5\n")
+    (tmp_path / "b.csv").write_text("stars,text,review_id\n2,bad place,7\n")
+    (tmp_path / "c.csv").write_text("text,review_id\nno rating,9\n")
+    rows = read_reviews(spark, str(tmp_path)).select("review_id", "text", "stars").collect()
+    assert sorted(map(tuple, rows)) == [("1", "good", "5"), ("7", "bad place", "2"), ("9", "no rating", None)]
+
+
 def test_training_file_choice(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         resolve_training_file(spark, str(tmp_path))
@@ -127,8 +135,8 @@ def test_insights(spark, sf_dir):
     ]
     text = insight_sections(found).first()
     assert text["title"].startswith("Insights: ") and text["text"] == "- queue"
-    none, _ = ins.insights(df, lambda prompt: 1 / 0)
-    assert none.count() == 0
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        ins.insights(df, lambda prompt: 1 / 0)
 
 
 def test_report_bundle(spark, sf_dir):
@@ -144,11 +152,17 @@ def test_report_bundle(spark, sf_dir):
     assert tables["sentiment_shares"].agg(F.sum("count")).first()[0] == dated < df.count()
     some = report_bundle(df, [TOP], start="1997-01-01", end="1997-12-31")["top_themes"]
     assert some.agg(F.sum("count")).first()[0] < tables["top_themes"].agg(F.sum("count")).first()[0]
-    text_dates = report_bundle(df.withColumn("date", F.col("date").cast("string")))
-    assert "monthly_sentiment" not in text_dates and len(text_dates) == 8
-    assert text_dates["sentiment_shares"].agg(F.sum("count")).first()[0] == df.count()
+    for pattern in ("yyyy-MM-dd HH:mm:ss", "M/d/yyyy"):
+        text_dates = report_bundle(df.withColumn("date", F.date_format("date", pattern)))
+        assert list(text_dates) == list(tables)
+        for name in ("monthly_sentiment", "monthly_themes"):
+            assert text_dates[name].exceptAll(tables[name]).isEmpty()
+    with pytest.warns(UserWarning, match="no dates"):
+        unread = report_bundle(df.withColumn("date", F.lit("some day")))
+    assert "monthly_sentiment" not in unread and len(unread) == 8
+    assert unread["sentiment_shares"].agg(F.sum("count")).first()[0] == df.count()
     bare = df.select("predicted_sentiment", "clean_text", "review_id")
-    assert list(report_bundle(bare, SECTIONS)) == ["sentiment_shares", "raw_output"]
+    assert list(report_bundle(bare, SECTIONS)) == ["key_figures", "sentiment_shares", "raw_output"]
     with pytest.raises(ValueError):
         report_bundle(df, ["Weather"])
 

@@ -89,7 +89,7 @@ def test_fit_is_optimal(spark, texts, classes):
     model = m.fit_classifier(df, max_terms=40)
     assert m.classes_of(model) == names
     regression = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
-    out = model.transform(df).orderBy("id").select(vector_to_array("features"), vector_to_array("probability"))
+    out = model.transform(df).orderBy("id").select(vector_to_array(m.f.FEATURES), vector_to_array(m.PROBABILITY))
     data = out.collect()
     x, p = np.array([r[0] for r in data]), np.array([r[1] for r in data])
     y = np.array([[s == c for c in names] for _, _, s in rows], dtype=float)
@@ -113,9 +113,26 @@ def test_split(spark):
     assert {r["review_id"] for r in rows if r["is_test"]} == {r[0] for r in again}
 
 
-def test_split_sizes():
-    assert m.test_sizes({"a": 10, "b": 5}) == {"a": 2, "b": 1}
-    assert sum(m.test_sizes({"a": 33, "b": 33, "c": 34}).values()) == 20
+def test_split_sizes(spark):
+    def sizes(**given):
+        df = spark.createDataFrame(list(given.items()), "sentiment string, n long")
+        return {r["sentiment"]: r["test_rows"] for r in m.test_sizes(df).collect()}
+
+    assert sizes(a=10, b=5) == {"a": 2, "b": 1}
+    assert sum(sizes(a=33, b=33, c=34).values()) == 20
+    many = spark.range(12_000).select(F.col("id").cast("string").alias("sentiment"), "id")
+    split = m.stratified_split(many, id_column="id").agg(F.count_if("is_test"), F.count(F.lit(1))).first()
+    assert tuple(split) == (2400, 12_000)
+    assert m.stratified_split(many.limit(0), id_column="id").count() == 0
+
+
+def test_input_columns_do_not_clash(spark, sf_dir, trained):
+    df = with_clean_text(reviews(spark, sf_dir)).select("review_id", "clean_text")
+    names = ("words", "terms", "tokens", "counts", "features", "probability", "prediction", "rawPrediction")
+    own = m.predict(df.withColumns({n: F.lit("own") for n in names}).withColumn("confidence", F.lit("x")), trained.model)
+    assert own.select(*names).distinct().collect() == [("own",) * len(names)]
+    columns = ["review_id", "predicted_sentiment", "confidence"]
+    assert own.select(columns).exceptAll(m.predict(df, trained.model).select(columns)).isEmpty()
 
 
 @pytest.fixture(scope="module")

@@ -53,10 +53,18 @@ def test_dates(spark):
         return [r["date"] for r in out]
 
     first, second = dt.datetime(2024, 1, 31, 10), dt.datetime(2024, 2, 3)
-    assert read() == [first, second, None, None, None]
-    assert read(formats=("dd.MM.yyyy",)) == [first, second, dt.datetime(2024, 1, 31), None, None]
-    assert read(on_invalid="disable") == texts
-    assert not filters.has_dates(prepare.parse_dates(df, on_invalid="disable"))
+    assert read(on_invalid="null", formats=()) == [first, second, None, None, None]
+    assert read(on_invalid="null") == [first, second, dt.datetime(2024, 1, 31), None, None]
+    with pytest.warns(UserWarning):
+        assert read() == texts
+    with pytest.warns(UserWarning):
+        assert not filters.has_dates(prepare.parse_dates(df, on_invalid="disable"))
+    with pytest.raises(TypeError):
+        filters.date_range(df, "2024-01-01")
+    for written in (["1/31/2024", "2/3/2024"], ["31/1/2024", "3/2/2024"], ["31.1.2024", "3.2.2024"],
+                    ["Jan 31, 2024", "Feb 3, 2024"], [" 2024-01-31", "2024-02-03 "]):
+        usual = prepare.parse_dates(frame(spark, [(1, t) for t in [*written, None]], "i int, date string"))
+        assert [r["date"] for r in usual.collect()] == [dt.datetime(2024, 1, 31), second, None]
     clean = prepare.parse_dates(df.filter("i < 2"), on_invalid="disable")
     assert filters.has_dates(clean) and clean.filter("date is null").count() == 0
     with pytest.raises(ValueError):
@@ -152,9 +160,9 @@ def test_total_row_leaves_out_unseen_classes(spark):
     rows = [("1", "positive", "x"), ("2", "negative", None), ("3", "positive", None)]
     df = frame(spark, rows, "review_id string, predicted_sentiment string, themes string")
     out = a.theme_table(th.explode_themes(df), df).orderBy("Theme").collect()
-    assert [(r["Theme"], r["positive"], r["negative"], r["Total"]) for r in out] == [
-        ("Total Raw Reviews", 2, 0, 2), ("x", 1, 0, 1),
-    ]
+    assert [(r["Theme"], r["positive"], r["Total"]) for r in out] == [("Total Raw Reviews", 2, 2), ("x", 1, 1)]
+    assert "negative" not in out[0].asDict()
+    assert a.theme_table(th.explode_themes(df.limit(0)), df).collect() == [("Total Raw Reviews", 0)]
 
 
 def test_cubes_give_the_same_tables(spark):
@@ -223,7 +231,7 @@ def test_samples(spark):
     assert key(samples) != key(ins.insight_samples(df, 50, seed=1))
 
 
-def test_replies_in_rounds(spark):
+def test_replies_in_bounded_tasks(spark):
     prompts = spark.range(0, 100, 1, 4).select(
         F.col("id").alias("batch_id"), F.lit(1).alias("size"), F.col("id").cast("string").alias("prompt")
     )
@@ -232,6 +240,65 @@ def test_replies_in_rounds(spark):
     assert sorted((r["batch_id"], r["raw"]) for r in out.collect()) == [(i, f"re {i}") for i in range(100)]
 
 
+def test_failed_calls(spark):
+    prompts = spark.range(0, 60, 1, 3).select(F.col("id").cast("string").alias("prompt"))
+
+    def ask(prompt):
+        if int(prompt) % 3 == 0:
+            raise ValueError("bad")
+        if int(prompt) % 3 == 1:
+            raise KeyError(prompt)
+        return "good"
+
+    replies = th.written_replies(prompts, ask)
+    assert {(r["raw"], (r["error"] or "").split(":")[0]) for r in replies.collect()} == {
+        ("good", ""), (None, "ValueError"), (None, "KeyError"),
+    }
+    counts = {r["error"]: r["calls"] for r in th.failed_calls(replies).collect()}
+    assert counts["ValueError: bad"] == 20 and sum(counts.values()) == 40
+    th.raise_outage(replies)
+    with pytest.raises(RuntimeError, match="all 20 model calls failed: ValueError: bad"):
+        th.raise_outage(replies.filter("error LIKE 'Value%'"))
+
+
+def test_jobs_do_not_grow_with_the_prompts(spark):
+    def jobs(n):
+        group = f"calls-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        prompts = spark.range(0, n, 1, 4).select(F.col("id").cast("string").alias("prompt"))
+        th.written_replies(prompts, str, calls_per_task=5)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(20) == jobs(400)
+
+
+def test_outage_raises(spark):
+    def broken(prompt):
+        raise NameError("no model")
+
+    _, df = themed(spark, 60)
+    with pytest.raises(RuntimeError, match="NameError"):
+        th.extract_themes(df.drop("themes"), broken, attempts=2, pause=0)
+    with pytest.raises(RuntimeError, match="NameError"):
+        ins.insights(df, broken)
+
+
+def test_failed_groups_stay(spark):
+    _, df = themed(spark, 200)
+
+    def ask(prompt):
+        if "'Price and Value'" in prompt:
+            raise ValueError("no")
+        return "fine"
+
+    found, cited = ins.insights(df, ask)
+    rows = {(r["Theme"], r["sentiment"]): (r["insights"], r["error"]) for r in found.collect()}
+    failed = {k for k, v in rows.items() if v == (None, "ValueError: no")}
+    assert failed and {t for t, _ in failed} == {"Price and Value"}
+    assert {v for k, v in rows.items() if k not in failed} == {("fine", None)} and cited.count() == 0
+
+
 def test_samples_with_repeated_ids(spark):
     _, df = themed(spark, 800)
     twice = ranking.with_row_index(df.withColumn("review_id", F.lit("same")), "row")
@@ -241,11 +308,7 @@ def test_samples_with_repeated_ids(spark):
     assert largest == 50
 
 
-@pytest.mark.parametrize("share", [1.0, 1e-9])
-def test_samples_are_whole_if_the_limit_is_too_small(spark, monkeypatch, share):
-    """With a limit that lets nothing through, the full ranking gives the same sample."""
-    limit = ranking._key_limit
-    monkeypatch.setattr(ranking, "_key_limit", lambda size, n: limit(size, n) * share)
+def test_samples_of_a_hot_group(spark):
     df = spark.range(0, 20000, 1, 8).select(
         F.col("id").cast("string").alias("review_id"),
         F.when(F.col("id") % 10 < 8, "hot").otherwise((F.col("id") % 500).cast("string")).alias("g"),
@@ -267,9 +330,7 @@ def test_random_feed(spark):
     assert ranking.random_feed(df.limit(7)).count() == 7
 
 
-@pytest.mark.parametrize("cell_rows", [1_000_000, 10, 0])
-def test_order_statistics(spark, monkeypatch, cell_rows):
-    monkeypatch.setattr(ranking, "_MAX_CELL_ROWS", cell_rows)
+def test_order_statistics(spark):
     rng = random.Random(3)
     groups = {
         "even": [rng.random() for _ in range(700)],
@@ -278,15 +339,11 @@ def test_order_statistics(spark, monkeypatch, cell_rows):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     key = F.floor(F.col("v") * float(1 << 62)).cast("bigint")
-    seen = {}
-
-    def wanted(sizes):
-        seen.update(sizes)
-        return [(g, r) for g, n in sizes.items() for r in {0, n // 3, n // 2, n - 1}]
-
-    got = ranking.order_statistics(df, "g", F.col("v"), key, wanted)
-    assert seen == {g: len(vs) for g, vs in groups.items()}
-    assert got == {(g, r): sorted(groups[g])[r] for g, r in got} and len(got) == 12
+    ranks = [(g, r) for g, vs in groups.items() for r in {0, len(vs) // 3, len(vs) // 2, len(vs) - 1}]
+    wanted = spark.createDataFrame(ranks, "g string, rank long")
+    got = ranking.order_statistics(df, "g", F.col("v"), key, wanted).collect()
+    assert {(r["g"], r["rank"]): r["value"] for r in got} == {(g, r): sorted(groups[g])[r] for g, r in ranks}
+    assert len(got) == 12
 
 
 def test_confidence_boxes(spark):

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+import registry
 from tests.compare import connect, difference
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
