@@ -19,7 +19,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara.functions.text import TOKEN_PATTERN
-from opinara.session import local_table, pin
+from opinara.session import local_table, pin, spread
 from opinara.vocab import default_stop_words
 
 # Columns that the stages add; input columns of the usual names do not clash with them.
@@ -110,7 +110,7 @@ def idf(docs: Column, n_docs: int) -> Column:
 
 def text_terms(df: DataFrame, stages: PipelineModel | None = None) -> DataFrame:
     """Words, pairs and terms of `clean_text`, in columns WORDS, PAIRS and TERMS."""
-    return (stages or term_stages()).transform(df)
+    return (stages or term_stages()).transform(spread(df))
 
 
 def fit_tfidf(
@@ -151,7 +151,7 @@ def tfidf_weights(df: DataFrame, model: PipelineModel, id_column: str) -> DataFr
     terms = local_table(spark, index=pa.array(range(len(words)), "int32"), term=words)
     vector = F.unwrap_udt(FEATURES)
     return (
-        model.transform(df.select(id_column, "clean_text"))
+        model.transform(spread(df.select(id_column, "clean_text")))
         .select(id_column, F.inline(F.arrays_zip(vector["indices"].alias("index"),
                                                  vector["values"].alias("weight"))))
         .join(terms, "index")

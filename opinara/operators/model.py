@@ -16,7 +16,7 @@ from opinara.functions.mixed import is_mixed
 from opinara.operators import features as f
 from opinara.operators.prepare import training_rows
 from opinara.operators.ranking import order_statistics, seeded_key, with_row_index
-from opinara.session import pin
+from opinara.session import pin, spread
 
 # Split and solver settings.
 TEST_SHARE = 0.2
@@ -118,7 +118,7 @@ def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> T
     text = F.coalesce("clean_text", F.lit("")).alias("clean_text")
     given = training_rows(df).select(text, "sentiment")
     # Written once: split and fit read the rows many times.
-    rows = with_row_index(pin(given, "training"), "row")
+    rows = with_row_index(pin(spread(given), "training"), "row")
     rows = stratified_split(rows, id_column="row")
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))

@@ -83,3 +83,13 @@ def local_table(spark: SparkSession, **columns: list) -> DataFrame:
     their size when it chooses a join.
     """
     return spark.createDataFrame(pa.table(columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly to `spark.opinara.spread` partitions before costly row work.
+
+    Unset, rows stay as they are read, unshuffled. Meant for inputs of fewer files than cores,
+    which Spark cannot split.
+    """
+    partitions = df.sparkSession.conf.get("spark.opinara.spread", None)
+    return df.repartition(int(partitions)) if partitions else df
