@@ -28,11 +28,18 @@ def _count(weight: str | None) -> Column:
 
 
 def sentiment_cube(df: DataFrame, date: str | None = "date") -> DataFrame:
-    """Reviews counted by month end and predicted class, as `n`."""
+    """Reviews counted by month end and predicted class, as `n`.
+
+    Where the reviews have them, also the sums behind the key figures: `confidence_sum`,
+    `confidence_n`, `mixed`.
+    """
     month = F.last_day(date) if date else F.lit(None).cast("date")
-    return df.groupBy(month.alias("month"), "predicted_sentiment").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    sums = [F.count(F.lit(1)).alias("n")]
+    if "confidence" in df.columns:
+        sums += [F.sum("confidence").alias("confidence_sum"), F.count("confidence").alias("confidence_n")]
+    if "is_mixed" in df.columns:
+        sums.append(F.sum(F.col("is_mixed").cast("int")).alias("mixed"))
+    return df.groupBy(month.alias("month"), "predicted_sentiment").agg(*sums)
 
 
 def theme_cube(exploded: DataFrame, date: str | None = "date") -> DataFrame:
@@ -48,13 +55,19 @@ def key_figures(df: DataFrame) -> DataFrame:
 
     The latter two are there only if their column is.
     """
-    figures = [F.count(F.lit(1)).alias("reviews")]
-    if "confidence" in df.columns:
-        figures.append(F.avg("confidence").alias("avg_confidence"))
-    if "is_mixed" in df.columns:
-        mixed = F.sum(F.col("is_mixed").cast("int"))
-        figures.append((100 * F.try_divide(mixed, F.count(F.lit(1)))).alias("mixed_rate"))
-    return df.agg(*figures)
+    return figures_of_cube(sentiment_cube(df, None))
+
+
+def figures_of_cube(cube: DataFrame) -> DataFrame:
+    """The key figures from the sums of a `sentiment_cube`."""
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    figures = [n.alias("reviews")]
+    if "confidence_sum" in cube.columns:
+        mean = F.try_divide(F.sum("confidence_sum"), F.sum("confidence_n"))
+        figures.append(mean.alias("avg_confidence"))
+    if "mixed" in cube.columns:
+        figures.append((100 * F.try_divide(F.sum("mixed"), n)).alias("mixed_rate"))
+    return cube.agg(*figures)
 
 
 def key_figure_texts(figures: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def report_bundle(
         by_theme = pin(a.theme_cube(explode_themes(df), date), "theme-cube")
     for section in chosen:
         if section == SUMMARY:
-            tables["key_figures"] = a.key_figure_texts(a.key_figures(df))
+            tables["key_figures"] = a.key_figure_texts(a.figures_of_cube(by_class))
             tables["sentiment_shares"] = a.sentiment_shares(by_class, weight="n")
             if "confidence" in df.columns:
                 tables["confidence_boxes"] = a.confidence_boxes(df)
