@@ -117,8 +117,8 @@ def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> T
     """
     text = F.coalesce("clean_text", F.lit("")).alias("clean_text")
     given = training_rows(df).select(text, "sentiment")
-    # Written once: split and fit read the rows many times.
-    rows = with_row_index(pin(spread(given), "training"), "row")
+    # The index writes the rows, which split and fit read many times.
+    rows = with_row_index(spread(given), "row")
     rows = stratified_split(rows, id_column="row")
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))

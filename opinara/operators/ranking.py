@@ -28,20 +28,19 @@ def with_row_index(
 ) -> DataFrame:
     """Add the 0-based row position over the whole table.
 
-    Rows are numbered inside each partition, and each partition adds the row count of those
-    before it. In read order (default) rows are neither written nor shuffled, so `df` must
-    give each partition the same rows whenever it runs, as files and pinned tables do; pin
-    what comes out of a shuffle. By `order_by` rows are range-sorted and written once; equal
-    keys may be spread over partitions, since the read position breaks ties. The only table
-    that is not distributed has one row per partition. It is written first, so that Spark
-    knows its size when it chooses the join.
+    Rows are range-sorted by `order_by` (default: as they are read, unshuffled), numbered inside
+    each partition and written once with that number; each partition then adds the row count of
+    those before it. The write is what keeps positions right if executors are lost or join: the
+    next read of the same files may be split into other partitions. Equal keys may be spread over
+    partitions, since the read position breaks ties. The only table that is not distributed has
+    one row per partition, and is written, too, so that Spark knows its size.
     """
     counted = df.withColumn("_slot", F.monotonically_increasing_id())
     if order_by:
         counted = counted.orderBy(*order_by, "_slot").withColumn(
             "_slot", F.monotonically_increasing_id()
         )
-        counted = pin(counted, "row-index")
+    counted = pin(counted, "row-index")
     part = F.shiftrightunsigned("_slot", _COUNTER_BITS)
     within = F.col("_slot").bitwiseAND(F.lit((1 << _COUNTER_BITS) - 1))
     # One row per partition: the unpartitioned window below is over that small table.

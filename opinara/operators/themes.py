@@ -231,8 +231,7 @@ def extract_themes(
     Each attempt asks again only for the batches that failed so far. Its replies are written
     before they are read, so a lost executor never repeats a finished attempt. How many reviews
     failed is logged, and if no call ever answers, this raises; `failed_count` tells it of a result with `keep_failed`. `order_by` makes
-    batches of consecutive rows; without it, of the rows as they are read. `reviews` must give
-    the same rows whenever they are read, as stored tables do.
+    batches of consecutive rows; without it, of the rows as they are read.
     """
     batches = with_batches(reviews, batch_size, order_by)
     prompts = pin(batch_prompts(batches, themes), "prompts")
