@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 # A pair of similarity 0.8 shares no band with a probability of 0.00005.
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-# Pairs that agree in fewer coordinates are not verified: five deviations below 0.8.
+# Pairs of one bucket that agree in fewer coordinates are not verified: five deviations below 0.8.
 LEAST_AGREEING = int(SIMILARITY * COORDINATES - 5 * (SIMILARITY * (1 - SIMILARITY) * COORDINATES) ** 0.5)
 # Members of a bucket that are compared with each other at a time.
 BLOCK = 512
@@ -242,21 +242,29 @@ def verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_column: str,
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def unresolved_pairs(members: DataFrame, n_members: int, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, n) of different components in one bucket, likely enough to be verified.
+def unresolved_links(
+    df: DataFrame, members: DataFrame, n_members: int, nodes: DataFrame, id_column: str, text_column: str
+) -> DataFrame:
+    """Links (a, b) between different components of one bucket.
 
     `members`: (key, node, component). In each bucket the largest component is set against the
-    rest, and the rest against itself, in blocks of BLOCK members that compare sketches. Only
-    pairs that agree in LEAST_AGREEING coordinates are returned.
+    rest, and the rest against itself, in blocks of BLOCK members. A block compares sketches,
+    and pairs that agree in LEAST_AGREEING coordinates on the shingles. It returns only links
+    that join what it has not joined yet, so their number does not exceed that of the members.
+    A pair is compared in the first bucket that it shares.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     buckets = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"),
         F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_components"),
-    ).filter("n_components > 1")
-    # One other component of one member: the leader has met all.
-    buckets = pin(buckets.filter("n > 2"), "unresolved-buckets")
-    rows = join_groups(members, buckets, "key", "n", n_members)
+    )
+    # In a bucket of two, the leader has met the other.
+    buckets = pin(buckets.filter("n_components > 1 AND n > 2"), "unresolved-buckets")
+    rows = pin(join_groups(members, buckets, "key", "n", n_members), "unresolved-members")
+    wanted = pin(nodes.join(rows.select("node").distinct(), "node"), "unresolved-nodes")
+    texts = _texts(df, wanted, id_column, text_column).join(wanted, "content")
+    texts = pin(texts.select("node", "bands", "sketch", "words").dropDuplicates(["node"]), "unresolved-words")
+
     ins = F.ceil(F.col("n_main") / BLOCK).cast("int")
     outs = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")
     is_in = F.col("component") == F.col("main")
@@ -266,53 +274,59 @@ def unresolved_pairs(members: DataFrame, n_members: int, nodes: DataFrame) -> Da
     def task(main, x, y):
         return F.struct(F.lit(main).alias("main_in"), x.alias("x"), y.alias("y"))
 
-    against_main = F.when(is_in, F.transform(all_outs, lambda o: task(True, own, o))).otherwise(
-        F.concat(
-            F.transform(all_ins, lambda i: task(True, i, own)),
-            F.transform(all_outs, lambda o: task(False, F.least(o, own), F.greatest(o, own))),
-        )
+    with_others = F.transform(all_outs, lambda o: task(False, F.least(o, own), F.greatest(o, own)))
+    tasks = F.when(is_in, F.transform(all_outs, lambda o: task(True, own, o))).otherwise(
+        F.concat(F.transform(all_ins, lambda i: task(True, i, own)), with_others)
     )
-    tasks = rows.select("key", "node", "component", "n", is_in.alias("is_in"), F.explode(against_main).alias("t"))
-    tasks = tasks.select("key", "t.*", "node", "component", "is_in", "n").join(nodes.select("node", "sketch"), "node")
     by = ["key", "main_in", "x", "y"]
-    ordered = tasks.select(*by, "node", "component", "is_in", "n", "sketch").repartition(*by).sortWithinPartitions(*by)
+    dealt = rows.select("key", "node", "component", is_in.alias("is_in"), F.explode(tasks).alias("t"))
+    dealt = dealt.select("key", "t.*", "node", "component", "is_in").join(texts, "node")
+    ordered = dealt.select(*by, "node", "component", "is_in", "bands", "sketch", "words")
+    ordered = ordered.repartition(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, against, _, _), n, rows in _runs(batches):
-            node, component, inside, sketch = rows
-            if against:
-                left, right = np.flatnonzero(inside), np.flatnonzero(~inside)
-            else:
-                left = right = np.arange(len(node))
-            a, b = [], []
-            for i in right:
-                agree = (sketch[left] == sketch[i]).sum(1) >= LEAST_AGREEING
-                other = component[left] != component[i]
-                if not against:
-                    other &= node[left] < node[i]
-                hits = left[agree & other]
-                a += node[hits].tolist()
-                b += [int(node[i])] * len(hits)
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
-                "n": pa.array([n] * len(a), pa.int64()),
-            })
-
-    found = ordered.mapInArrow(run, "a bigint, b bigint, n bigint")
-    return found.groupBy("a", "b").agg(F.max("n").alias("n"))
-
-
-def _runs(batches: Iterable[pa.RecordBatch]):
+        for (key, against, _, _), block in _runs(batches):
+            a, b = _links_of_block(key, against, block)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _links_of_block(key: int, against: bool, block: pa.Table) -> tuple[list[int], list[int]]:
+    """Links of one block: of its main component with others, or of others among themselves."""
+    node, inside = (block.column(c).to_numpy() for c in ("node", "is_in"))
+    component = block.column("component").to_numpy().copy()
+    sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    words = block.column("words")
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def weighted(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in sets:
+            sets[i] = _weighted(words[i].as_py())
+        return sets[i]
+
+    a, b = [], []
+    left = np.flatnonzero(inside) if against else np.arange(len(node))
+    for i in np.flatnonzero(~inside).tolist():
+        other = left if against else left[:i]
+        agreeing = (sketch[other] == sketch[i]).sum(1)
+        shared = bands[other] == bands[i]
+        first_here = bands[i][shared.argmax(1)] == key
+        likely = np.flatnonzero((agreeing >= LEAST_AGREEING) & shared.any(1) & first_here)
+        for at in likely[np.argsort(-agreeing[likely], kind="stable")].tolist():
+            j = int(other[at])
+            if component[i] != component[j] and similarity(weighted(i), weighted(j)) >= SIMILARITY:
+                a.append(int(node[j]))
+                b.append(int(node[i]))
+                component[component == component[i]] = component[j]
+    return a, b
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal first four columns, of batches sorted by them."""
     held: list[pa.RecordBatch] = []
     now = None
-
-    def made():
-        t = pa.Table.from_batches(held)
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        columns = [t.column(c).to_numpy() for c in ("node", "component", "is_in")]
-        return now, t.column("n")[0].as_py(), [*columns, sketch]
-
     for batch in batches:
         keys = list(zip(*[batch.column(i).to_pylist() for i in range(4)]))
         start = 0
@@ -321,11 +335,11 @@ def _runs(batches: Iterable[pa.RecordBatch]):
                 if i > start:
                     held.append(batch.slice(start, i - start))
                 if held:
-                    yield made()
+                    yield now, pa.Table.from_batches(held)
                 held, now, start = [], key, i
         held.append(batch.slice(start))
     if held:
-        yield made()
+        yield now, pa.Table.from_batches(held)
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -334,8 +348,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     Two texts are linked if the weighted Jaccard similarity of their runs of five words (case
     and punctuation aside; a shorter text is one run) is 0.8 or more; a class is what links
     connect. `class_id` is the class's smallest id (null first) and `kept` marks one row that
-    has it. `n_links` counts the verified links of the row's words to others; words that are
-    the same need none. A text without words is a class of its own.
+    has it. `n_links` counts the links found for the row's words that hold the class together;
+    words that are the same need none. A text without words is a class of its own.
 
     `df` is read several times and must hold the same rows each time.
     """
@@ -393,11 +407,7 @@ def _classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     named = shared.select("key", "node").join(first, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    rest = unresolved_pairs(named, n_nodes, nodes)
-    rest = pin(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti").join(
-        pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"
-    ), "more-pairs")
-    more = pin(verified(df, nodes, rest, id_column, text_column), "more-links")
+    more = pin(unresolved_links(df, named, n_nodes, nodes, id_column, text_column), "more-links")
     every = links.unionByName(more)
     joined = pin(components(every), "components")
     degrees = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
