@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +24,8 @@ from opinara.llm.common import id_and_text, in_parts, pack_rows, unpack_rows
 
 # A block is closed at so many characters; a longer text is a block of its own.
 BLOCK_CHARACTERS = 32 << 20
+# Encoded words that a task holds before it sends them to their blocks.
+ANSWER_ROWS = 1 << 20
 
 
 class _Places(dict):
@@ -115,26 +118,51 @@ def blocks(df: DataFrame, pattern: str, id_column: str, text_column: str) -> Dat
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows (block, place, word) to rows (block, place, ids); equal words are encoded once.
+    """Rows (block, place, word) to rows (block, answers); equal words are encoded once.
 
-    Words are shuffled by word and sorted, so that equal ones follow each other.
+    Words are shuffled by word and sorted, so that equal ones follow each other. A task packs
+    the ids that it has for one block, with their places, into few compressed rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path, pattern).encode_ordinary
-        last, ids = None, b""
+        last, ids, n = None, b"", 0
+        held: dict[int, tuple[list[int], list[bytes]]] = {}
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
+            for block, place, word in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 if word != last:
                     last, ids = word, np.array(encode(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "place", "ids"]
-            )
+                own = held.get(block) or held.setdefault(block, ([], []))
+                own[0].append(place)
+                own[1].append(ids)
+            n += batch.num_rows
+            if n > ANSWER_ROWS:
+                yield _answers(held)
+                held, n = {}, 0
+        if held:
+            yield _answers(held)
 
     ordered = words.select("block", "place", "word").repartition("word").sortWithinPartitions("word")
-    return ordered.mapInArrow(run, "block bigint, place int, ids binary")
+    return ordered.mapInArrow(run, "block bigint, answers binary")
+
+
+def _answers(held: dict[int, tuple[list[int], list[bytes]]]) -> pa.RecordBatch:
+    """One row per block: its places in rising order with their ids."""
+    packed = []
+    for places, ids in held.values():
+        order = np.argsort(places)
+        steps = np.diff(np.array(places, np.int64)[order], prepend=0).astype(np.uint32)
+        in_order = [ids[i] for i in order]
+        packed.append(pack_rows(pa.table({
+            "step": steps,
+            "ids": pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *[len(x) // 4 for x in in_order]]), pa.int32()),
+                pa.array(np.frombuffer(b"".join(in_order), "<u4")),
+            ),
+        })))
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array(list(held), pa.int64()), "answers": pa.array(packed, pa.binary())
+    })
 
 
 def encode_and_decode(
@@ -157,11 +185,13 @@ def encode_and_decode(
 
     def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
         table = token_table(path)
-        place = words.column("place").to_numpy()
-        ids = words.column("ids").combine_chunks()
-        of_place: list[bytes] = [b""] * len(place)
-        for at, own in zip(place.tolist(), ids.to_pylist()):
-            of_place[at] = own
+        of_place: dict[int, bytes] = {}
+        for packed in words.column("answers").to_pylist():
+            own = unpack_rows(packed)
+            ids = own.column("ids").combine_chunks()
+            data, ends = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+            for place, start, end in zip(np.cumsum(own.column("step").to_numpy(), dtype=np.int64).tolist(), ends, ends[1:]):
+                of_place[place] = data[start:end]
         rows = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         if not docs.num_rows:
             raise RuntimeError("the documents changed between two reads")
@@ -194,8 +224,6 @@ def encode_and_decode(
 
 def decode(df: DataFrame, path: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
     """Add the bytes of a column of ids (little-endian unsigned 32-bit); null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def decoded(ids: pd.Series) -> pd.Series:
         table = token_table(path)
