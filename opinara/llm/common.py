@@ -57,9 +57,12 @@ class WordIds:
         if self._characters > CACHED_CHARACTERS:
             known.clear()
             self._characters, new = 0, list(words)
-        for word, got in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-            self._characters += len(word) + 8
+        # Few at a time, as the library's results are far larger than the ids.
+        for start in range(0, len(new), 4096):
+            part = new[start:start + 4096]
+            for word, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[word] = np.array(got.ids, "<u4").tobytes()
+                self._characters += len(word) + 8
         return [b"".join(map(known.__getitem__, own)) + end for own in split]
 
 

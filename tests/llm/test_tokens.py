@@ -124,7 +124,7 @@ def test_packing(odd, encoded, none, limits):
 def test_packing_of_instructions(spark):
     given = spark.createDataFrame(
         [(i, "say " * (i % 7), "word " * (1 + i % 11)) for i in range(300)], "doc_id long, prompt string, text string"
-    )
+    ).coalesce(1)
     limits = packing.Limits(tokens=40, segments=4, loss=25)
     rows = packing.pack_texts(given, WORD_FILE, 2, limits, prompt_column="prompt", cut=False).collect()
     sequences = defaultdict(list)
@@ -134,7 +134,7 @@ def test_packing_of_instructions(spark):
         assert r.loss_tokens == 2 + r.doc_id % 11
     for own in sequences.values():
         assert sum(r.length for r in own) <= 40 and len(own) <= 4 and sum(r.loss_tokens for r in own) <= 25
-    assert len(rows) == 300 and len(sequences) <= 1.1 * max(
+    assert len(rows) == 300 and len(sequences) <= 1.15 * max(
         sum(r.length for r in rows) / 40, 300 / 4, sum(r.loss_tokens for r in rows) / 25
     )
 
