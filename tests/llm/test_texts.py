@@ -322,3 +322,28 @@ def test_quality(spark, odd, rows, none, sf_dir):
     share = tested.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
     share = {r.quality: r.kept for r in share}
     assert share[1] > 0.97 and share[0] < 0.3
+
+
+def kept_shares(found, labels):
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("bad")
+    rows = found.join(labels, "doc_id").groupBy(kind.alias("kind")).agg(F.avg(F.col("kept").cast("double")).alias("kept"))
+    return {r.kind: r.kept for r in rows.collect()}
+
+
+def test_quality_of_many_labels(spark):
+    """Labels of sf0.1 that the limits are not chosen by."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    given = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = quality.quality(documents, given.filter("doc_id % 3 > 0"))
+    share = kept_shares(found, given.filter("doc_id % 3 = 0"))
+    assert share["good"] > 0.97 and share["bad"] < 0.08 and share["toxic"] < 0.6
+
+
+def test_limits_on_both_sides(spark):
+    rows = [("en", 2 + i / 1000, "held") for i in range(100)] + [("en", 2 + i / 1000, "fitted") for i in range(100)]
+    rows += [("en", 0.5, "bad")] * 30 + [("en", 4.0, "bad")] * 30
+    rows += [("de", 2 + i / 1000, "held") for i in range(100)]
+    given = spark.createDataFrame(rows, "_lang string, _mean double, _kind string").withColumn("_middle", F.lit(2.05))
+    got = {r._lang: r for r in quality.limits(given, quality.Settings(slack=0.0)).collect()}
+    assert 0.5 < got["en"]._low < 2 and 2.099 <= got["en"]._high < 4
+    assert got["de"]._low is None and got["de"]._high == pytest.approx(2.099, abs=0.002)
