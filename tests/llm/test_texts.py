@@ -347,3 +347,25 @@ def test_limits_on_both_sides(spark):
     got = {r._lang: r for r in quality.limits(given, quality.Settings(slack=0.0)).collect()}
     assert 0.5 < got["en"]._low < 2 and 2.099 <= got["en"]._high < 4
     assert got["de"]._low is None and got["de"]._high == pytest.approx(2.099, abs=0.002)
+
+
+def test_small_languages_keep_their_rows(spark):
+    assert quality.largest_share([5, 1000, 3000], 1005) == 500
+    assert quality.largest_share([5, 6], 11) == float("inf")
+    rows = [(i, "en" if i >= 40 else "de") for i in range(4000)]
+    given = spark.createDataFrame(rows, "_trusted long, _lang string")
+    got = {r._trusted for r in quality.fitted_ids(given, quality.Settings(trusted_limit=540)).collect()}
+    assert set(range(40)) <= got and 440 < len(got) < 640
+
+
+def test_language_without_held_out_rows(spark):
+    held = {r.id for r in spark.range(400).filter(
+        F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(100)) < quality.Settings().held_out).collect()}
+    rare = next(i for i in range(400) if i not in held)
+    rows = [(i, prose(i, 60), "it" if i == rare else "en") for i in range(400)]
+    rows += [(1000, "#@~ ]]{ " * 40, "it"), (1001, prose(rare, 60), "it"), (1002, "#@~ ]]{ " * 40, "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path := new_path(spark, "rare"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality(spark.read.parquet(path), labels).collect()}
+    assert not got[1000].kept and got[1000].threshold is not None
+    assert got[1001].kept and got[1002].kept and got[1002].perplexity is None
