@@ -39,6 +39,49 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 
+# Words of each notice that tell it from its siblings: all their pairs must be in a span.
+REQUIRED = (
+    ("apache license", "version 2 0"), ("the mit",), ("person obtaining",), ("by nc 4 0",),
+    ("creative commons attribution 4 0",), ("gnu general public license version 3",),
+    ("gnu general public license",), (), ("mozilla public license v 2 0",), ("unencumbered software",),
+)
+
+
+def _siblings() -> list[tuple[str, str, tuple[str, ...]]]:
+    """Notices of licenses that read much like NOTICES, with their labels and required words."""
+    out = []
+    for number in ("1 0", "1 1"):
+        out.append((f"licensed under the apache license version {number}", f"apache-{number.replace(' ', '.')}",
+                    ("apache license", f"version {number}")))
+    long = {"nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
+    for version, scope in (("3 0", "unported"), ("4 0", "international")):
+        for more in ("", "nc", "sa", "nd", "nc sa", "nc nd"):
+            label = "-".join(["cc-by", *more.split(), version.replace(" ", ".")])
+            own = " ".join(["by", *more.split(), version])
+            if label != "cc-by-nc-4.0":
+                out.append((f"licensed under cc {own}", label, (own,)))
+            own = " ".join(["creative commons attribution", *[long[m] for m in more.split()], version])
+            if label != "cc-by-4.0":
+                out.append((f"licensed under a {own} {scope} license", label, (own,)))
+    for name, label, version in (
+        ("general", "gpl-2.0", "2"), ("lesser general", "lgpl-2.1", "2 1"), ("lesser general", "lgpl-3.0", "3"),
+        ("affero general", "agpl-3.0", "3"),
+    ):
+        own = f"gnu {name} public license version {version}"
+        out.append((f"this work is licensed under the {own}", label, (own,)))
+    for name, label in (("lesser", "lgpl"), ("affero", "agpl")):
+        own = f"gnu {name} general public license"
+        phrase = next(p for p, old in NOTICES if old == "gpl")
+        out.append((phrase.replace("gnu general public license", own), label, (own,)))
+    own = "mozilla public license version 1 1"
+    out.append((f"the contents of this file are subject to the {own}", "mpl-1.1", (own,)))
+    out.append(("permission is hereby granted free of charge to any person or organization obtaining a copy of the "
+                "software and accompanying documentation", "bsl-1.0", ("organization obtaining",)))
+    return out
+
+
+SIBLINGS = _siblings()
+
 # Words that may be put in or left out between two diagonals of one span.
 GAP = 2
 # Share of a notice's word pairs that a span must hold.
@@ -50,14 +93,20 @@ def template_pairs(spark: SparkSession) -> DataFrame:
 
     One more row, template -1, has the hash 0 and no words; a document's own row meets it.
     """
-    rows = [(-1, 0, "", 1, "", False)]
-    for number, (phrase, label) in enumerate((*BASE, *NOTICES)):
+    rows = [(-1, 0, "", 1, "", False, False, 0)]
+    given = [(*b, ()) for b in BASE] + [(*n, r) for n, r in zip(NOTICES, REQUIRED, strict=True)] + SIBLINGS
+    for number, (phrase, label, required) in enumerate(given):
         words = phrase.split(" ")
+        needed = set()
+        for own in required:
+            first = phrase[:f" {phrase} ".index(f" {own} ")].count(" ")
+            needed |= set(range(first, first + own.count(" ")))
         rows += [
-            (number, at, f"{words[at]} {words[at + 1]}", len(words) - 1, label, number < len(BASE))
+            (number, at, f"{words[at]} {words[at + 1]}", len(words) - 1, label, number < len(BASE), at in needed,
+             len(needed))
             for at in range(len(words) - 1)
         ]
-    names = ("template", "at", "pair", "pairs", "label", "base")
+    names = ("template", "at", "pair", "pairs", "label", "base", "required", "needed")
     given = local_table(spark, **dict(zip(names, map(list, zip(*rows)))))
     own = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.xxhash64("pair"))
     return given.withColumn("hash", own)
@@ -81,24 +130,25 @@ def votes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     found = found.filter((F.col("template") < 0) | (F.col("line") == F.col("pair")))
     n_words = F.when(F.col("line") == " ", F.lit(0)).otherwise(F.col("i"))
     place = F.when(F.col("template") < 0, n_words).otherwise(F.col("i") - 1)
-    return found.select("row", "id", place.alias("place"), "template", "at", "pairs", "label", "base")
+    return found.select("row", "id", place.alias("place"), "template", "at", "pairs", "label", "base", "required", "needed")
 
 
 def spans(voted: DataFrame) -> DataFrame:
     """Merged diagonals (row, id, template, label, base, first, last, share), verified.
 
     A base phrase needs all its pairs on one diagonal. A notice needs SHARE of its pairs, in
-    order, on diagonals that lie at most GAP apart.
+    order, on diagonals that lie at most GAP apart, and among them all required ones.
     """
     # One shuffle by document; all that follows is grouped within it.
     diagonals = (
         voted.repartition("row")
         .withColumn("diagonal", F.col("place") - F.col("at"))
-        .groupBy("row", "id", "template", "pairs", "label", "base", "diagonal")
+        .groupBy("row", "id", "template", "pairs", "label", "base", "needed", "diagonal")
         .agg(
             F.min("place").alias("first"), F.max("place").alias("last"),
             F.min("at").alias("from"), F.max("at").alias("to"),
             F.collect_set("at").alias("held"),
+            F.collect_set(F.when(F.col("required"), F.col("at"))).alias("told"),
         )
     )
     by_place = Window.partitionBy("row", "template").orderBy("first", "diagonal")
@@ -113,8 +163,12 @@ def spans(voted: DataFrame) -> DataFrame:
     return (
         diagonals.withColumn("new", F.when(joins, 0).otherwise(1))
         .withColumn("span", F.sum("new").over(by_place))
-        .groupBy("row", "id", "template", "pairs", "label", "base", "span")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), share.alias("share"))
+        .groupBy("row", "id", "template", "pairs", "label", "base", "needed", "span")
+        .agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), share.alias("share"),
+            F.sum(F.size("told")).alias("told"),
+        )
+        .filter(F.col("told") >= F.col("needed"))
         .filter((F.col("template") < 0) | (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(SHARE)))
         .select("row", "id", "template", "label", "base", "first", "last", "share")
     )

@@ -369,3 +369,30 @@ def test_language_without_held_out_rows(spark):
     got = {r.doc_id: r for r in quality.quality(spark.read.parquet(path), labels).collect()}
     assert not got[1000].kept and got[1000].threshold is not None
     assert got[1001].kept and got[1002].kept and got[1002].perplexity is None
+
+
+NEAR_MISSES = [
+    ("Licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+    ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+    ("Licensed under CC BY-ND 4.0", "cc-by,cc-by-nd-4.0"),
+    ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+    ("Licensed under CC BY-NC 3.0", "cc-by,cc-by-nc-3.0"),
+    ("Licensed under CC BY-NC 2.5", "cc-by"),
+    ("Licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc-4.0"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+     "cc-by-nc-nd-4.0"),
+    ("This work is licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2", "gpl,gpl-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3", "gpl,lgpl-3.0"),
+    ("Licensed under the Apache License, Version 1.1", "apache-1.1"),
+    ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+    ("Licensed under the Apache License, Version 3.0", ""),
+]
+
+
+def test_near_misses(spark):
+    """Labels by hand; `gpl` and `cc-by` are the fixed base phrases."""
+    given = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NEAR_MISSES)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.licenses(given).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(NEAR_MISSES)] == NEAR_MISSES
