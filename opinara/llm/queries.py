@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from opinara.llm import (
-    byte_pairs, exact_duplicates, licenses, near_duplicates, neighbours, packing, personal_data, quality,
-    token_counts, token_files,
+    byte_pairs, exact_duplicates, hard_negatives, licenses, merkle, near_duplicates, neighbours, packing,
+    personal_data, quality, simhash, token_counts, token_files,
 )
 from opinara.llm.common import table
 from opinara.session import new_path
@@ -101,3 +101,28 @@ k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DE
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""")
 def op10(spark, sf):
     return exact_duplicates.exact_duplicates(table(spark, sf, "documents"))
+
+
+@query("op11_simhash")
+def op11(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op12_manifest", merkle.manifest_sql(
+    "documents", ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", "text",
+    f"translate(text, '{_UPPER}', '{_LOWER}')", 5,
+))
+def op12(spark, sf):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(tampered, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents")
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], {"text": text})
+
+
+@query("op13_hard_negatives")
+def op13(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label)

@@ -13,7 +13,7 @@ from tests.llm.conftest import as_documents
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries())
 
 
