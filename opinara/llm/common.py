@@ -30,14 +30,68 @@ def id_and_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(F.col(id_column).cast("bigint").alias("id"), whole_text(text_column).alias("text"))
 
 
+def cut_texts(texts: pa.StringArray, cuts: np.ndarray, next_to: np.ndarray | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Texts in chunks: the chunks in order, as a dictionary of the distinct ones, and how many each text has.
+
+    A chunk begins at each byte that `cuts`, a table over all bytes, marks, and whose next byte of
+    the same text `next_to` marks, if that is given. The chunks of a text join to the text; an
+    empty text has none. Nothing is copied before the distinct chunks.
+    """
+    if not len(texts):
+        return pa.array([], pa.string()).dictionary_encode(), np.zeros(0, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    base = offsets[0]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[base:offsets[-1]]
+    bounds = offsets - base
+    begins = cuts[data]
+    written = bounds[1:] > bounds[:-1]
+    if next_to is not None:
+        begins[:-1] &= next_to[data[1:]]
+        # The last byte of a text has no next one.
+        begins[bounds[1:][written] - 1] = False
+    begins[bounds[:-1][written]] = True
+    places = np.flatnonzero(begins).astype(np.int32)
+    per = np.diff(np.searchsorted(places, bounds))
+    if not len(places):
+        return pa.array([], pa.string()).dictionary_encode(), per
+    ends = np.append(places, bounds[-1]).astype(np.int32) + base
+    chunks = pa.StringArray.from_buffers(len(places), pa.py_buffer(ends), texts.buffers()[2])
+    return chunks.dictionary_encode(), per
+
+
+def byte_table(*marked: int | range) -> np.ndarray:
+    """A table over all bytes that is true for the marked ones."""
+    table = np.zeros(256, bool)
+    for own in marked:
+        table[list(own) if isinstance(own, range) else own] = True
+    return table
+
+
+class Ragged:
+    """Rows of unequal length in one array."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths = values, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        """The chosen rows, one after the other."""
+        lengths = self.lengths[rows]
+        shift = np.repeat(self.starts[rows] - (np.cumsum(lengths) - lengths), lengths)
+        return self.values[shift + np.arange(len(shift))]
+
+
 class WordIds:
     """Token ids of texts, each distinct word encoded once per worker.
 
     Blanks and line feeds always part tokens in the vocabularies used here and are dropped by
-    them, so a text is the sum of its words. The memory for known words is bounded; when it
-    is used up, words are simply encoded again.
+    them, so a text is the sum of its words, each with the blank before it. Only the distinct words
+    of a batch meet Python. The memory for known words is bounded; when it is used up, words are
+    simply encoded again.
     """
 
+    _CUTS = byte_table(ord(" "), ord("\n"))
+
     def __init__(self, path: str):
         import os
 
@@ -45,25 +99,39 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
         self._known: dict[str, bytes] = {}
         self._characters = 0
 
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers, then `end`."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        words = set().union(*split)
+    def _learn(self, words: list[str]) -> None:
+        if self._characters > CACHED_CHARACTERS:
+            self._forget()
         known = self._known
         new = [w for w in words if w not in known]
-        if self._characters > CACHED_CHARACTERS:
-            known.clear()
-            self._characters, new = 0, list(words)
         # Few at a time, as the library's results are far larger than the ids.
         for start in range(0, len(new), 4096):
             part = new[start:start + 4096]
             for word, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = np.array(got.ids, "<u4").tobytes()
                 self._characters += len(word) + 8
-        return [b"".join(map(known.__getitem__, own)) + end for own in split]
+
+    def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each with `end` behind it, and how many each has."""
+        words, per = cut_texts(texts, self._CUTS)
+        distinct = words.dictionary.to_pylist()
+        self._learn(distinct)
+        own = list(map(self._known.__getitem__, distinct))
+        # The last row is the end mark.
+        mark = np.array([] if end is None else [end], "<u4")
+        flat = np.concatenate([np.frombuffer(b"".join(own), "<u4"), mark])
+        ids = Ragged(flat, np.array([*[len(x) // 4 for x in own], len(mark)], np.int64))
+        ends = np.cumsum(per) + np.arange(len(per))
+        rows = np.full(len(words) + len(per), len(own))
+        rows[np.delete(np.arange(len(rows)), ends)] = words.indices.to_numpy()
+        lengths = np.append(0, np.cumsum(ids.lengths[rows]))
+        return ids.take(rows), np.diff(lengths[np.append(0, ends + 1)])
 
 
 @cache
@@ -89,7 +157,7 @@ def pack_rows(rows: pa.Table) -> bytes:
     out = io.BytesIO()
     with pa.ipc.new_stream(out, rows.schema) as writer:
         writer.write_table(rows)
-    return zstandard.compress(out.getvalue(), 3)
+    return zstandard.compress(out.getbuffer(), 3)
 
 
 def unpack_rows(data: bytes) -> pa.Table:

@@ -7,6 +7,9 @@ is new is appended. Built-in functions only.
 
 from __future__ import annotations
 
+import hashlib
+import posixpath
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinara.llm.common import join_groups, whole_text
@@ -18,21 +21,38 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256))
 
 
+def _normal(path: str) -> str:
+    """A path in one form: with its scheme, without empty, `.` and `..` steps."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon:
+        scheme, rest = "file", path
+    host = ""
+    if colon and rest.startswith("/") and not rest.startswith("//"):
+        host, _, rest = rest[1:].partition("/")
+    return f"{scheme}://{host}{posixpath.normpath('/' + rest.lstrip('/'))}"
+
+
 class DigestIndex:
     """Digests seen so far with the row that stays, in a bucketed and sorted table.
 
     `path` keeps the files; a later session opens them again by the same path and number of
-    buckets. Choose `buckets` so that a bucket's digests fit a task.
+    buckets. The table is named by a hash of the whole path, and one of that name that lies
+    elsewhere is refused, so that no two indexes share a table. Choose `buckets` so that a
+    bucket's digests fit a task.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark = spark
-        self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path[-48:]).lower()
+        path = _normal(path)
+        self.name = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:32]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS `{self.name}` (digest BINARY, keep_id BIGINT, batch STRING)"
             f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
             f" LOCATION '{path}'"
         )
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED `{self.name}`").filter("col_name = 'Location'").collect()
+        if _normal(rows[0]["data_type"]) != path:
+            raise ValueError(f"the table {self.name} lies at {rows[0]['data_type']}, not at {path}")
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -85,7 +105,8 @@ def exact_duplicates(
     Texts are equal if they are without blanks and the characters 9 to 13; null is empty and
     empty texts are equal to each other. The longest original stays, then the smallest id
     (null first); of rows alike in all that, exactly one. Against an index with earlier
-    batches, the row of the first batch stays. Without an index, a new one is made.
+    batches, the row of the first batch stays. Without an index, a new one is made. An empty table
+    gives no rows; a very long text is hashed where it is read. Other columns are not read.
     """
     spark = df.sparkSession
     index = index or DigestIndex(spark, new_path(spark, "digest-index"))
@@ -112,11 +133,14 @@ def keep_one_each(
     """The rows of `df`, all columns, that `exact_duplicates` keeps.
 
     Rows are found again by digest, length and id. Only where several rows of the best kind
-    are alike in all three is one of them picked by a shuffle of their own.
+    are alike in all three is one of them picked by a shuffle of their own. Columns of `df` may
+    have any names; an empty table gives no rows.
     """
     spark = df.sparkSession
     index = index or DigestIndex(spark, new_path(spark, "digest-index"))
-    alike = digests(df, id_column, text_column).groupBy("digest", "id", "characters").agg(
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    name = dict(zip(df.columns, plain.columns))
+    alike = digests(plain, name[id_column], name[text_column]).groupBy("digest", "id", "characters").agg(
         F.count(F.lit(1)).alias("n")
     )
     order = F.struct((-F.col("characters")).alias("less"), "id", "n")
@@ -124,27 +148,27 @@ def keep_one_each(
     found = index.add(groups, batch).filter(F.col("first_batch") == batch)
     kept = pin(
         found.select(
-            F.col("digest").alias("_kept_digest"),
-            F.col("best.id").alias("_kept_id"),
-            (-F.col("best.less")).alias("_kept_characters"),
-            F.col("best.n").alias("_kept_n"),
+            F.col("digest").alias("kept_digest"),
+            F.col("best.id").alias("kept_id"),
+            (-F.col("best.less")).alias("kept_characters"),
+            F.col("best.n").alias("kept_n"),
         ),
         "digest-kept",
     )
-    text = whole_text(text_column)
-    rows = df.withColumns({
-        "_own_digest": text_digest(text),
-        "_own_id": F.col(id_column).cast("bigint"),
-        "_own_characters": F.length(text).cast("bigint"),
+    text = whole_text(name[text_column])
+    rows = plain.withColumns({
+        "own_digest": text_digest(text),
+        "own_id": F.col(name[id_column]).cast("bigint"),
+        "own_characters": F.length(text).cast("bigint"),
     })
     same = (
-        (F.col("_own_digest") == F.col("_kept_digest"))
-        & F.col("_own_id").eqNullSafe(F.col("_kept_id"))
-        & (F.col("_own_characters") == F.col("_kept_characters"))
+        (F.col("own_digest") == F.col("kept_digest"))
+        & F.col("own_id").eqNullSafe(F.col("kept_id"))
+        & (F.col("own_characters") == F.col("kept_characters"))
     )
-    out = rows.join(kept.filter("_kept_n = 1"), same, "left_semi")
-    several = kept.filter("_kept_n > 1")
+    out = rows.join(kept.filter("kept_n = 1"), same, "left_semi")
+    several = kept.filter("kept_n > 1")
     if not several.isEmpty():
-        own = ["_own_digest", "_own_id", "_own_characters"]
+        own = ["own_digest", "own_id", "own_characters"]
         out = out.unionByName(rows.join(several, same, "left_semi").dropDuplicates(own))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.select(*plain.columns).toDF(*df.columns)

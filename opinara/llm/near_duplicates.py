@@ -343,40 +343,45 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: `doc_id`, `class_id`, `class_size`, `n_links`, `kept`.
+    """Per row: `doc_id`, `class_id`, `class_size`, `spanning_links`, `kept`.
 
     Two texts are linked if the weighted Jaccard similarity of their runs of five words (case
     and punctuation aside; a shorter text is one run) is 0.8 or more; a class is what links
     connect. `class_id` is the class's smallest id (null first) and `kept` marks one row that
-    has it. `n_links` counts the links found for the row's words that hold the class together;
-    words that are the same need none. A text without words is a class of its own.
+    has it. `spanning_links` counts the links of the row's words that were needed to hold the
+    class together, not all of the pairs that are similar; words that are the same need none. A
+    null text and one without words are classes of their own. Repeated rows give a row each, an
+    empty table none. A text of any length is one set, made by one task; ties between smallest ids
+    go by the order of the rows read.
 
-    `df` is read several times and must hold the same rows each time.
+    `df` is read several times and must hold the same rows each time. Other columns are not read.
     """
-    return _classes(df, id_column, text_column).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return _classes(df, id_column, text_column).select("doc_id", "class_id", "class_size", "spanning_links", "kept")
 
 
 def keep_one_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `df`, all columns, that `near_duplicates` keeps: one of each class.
 
     Rows are found again by id and a hash of the text. Only where several rows are alike in
-    both is one of them picked by a shuffle of their own.
+    both is one of them picked by a shuffle of their own. Columns of `df` may have any names.
     """
-    found = _classes(df, id_column, text_column)
-    alike = found.groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(
-        F.count(F.lit(1)).alias("_kept_n"), F.max("kept").alias("_kept")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    name = dict(zip(df.columns, plain.columns))
+    found = _classes(plain, name[id_column], name[text_column])
+    alike = found.groupBy(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).agg(
+        F.count(F.lit(1)).alias("kept_n"), F.max("kept").alias("kept")
     )
-    kept = pin(alike.filter("_kept"), "near-kept")
-    rows = df.withColumns(
-        {"_own_id": F.col(id_column).cast("bigint"), "_own_digest": F.xxhash64(whole_text(text_column))}
-    )
-    same = F.col("_own_id").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_kept_digest"))
-    out = rows.join(kept.filter("_kept_n = 1"), same, "left_semi")
-    several = kept.filter("_kept_n > 1")
+    kept = pin(alike.filter("kept"), "near-kept")
+    rows = plain.withColumns({
+        "own_id": F.col(name[id_column]).cast("bigint"), "own_digest": F.xxhash64(whole_text(name[text_column]))
+    })
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest"))
+    out = rows.join(kept.filter("kept_n = 1"), same, "left_semi")
+    several = kept.filter("kept_n > 1")
     if not several.isEmpty():
-        picked = rows.join(several, same, "left_semi").dropDuplicates(["_own_id", "_own_digest"])
+        picked = rows.join(several, same, "left_semi").dropDuplicates(["own_id", "own_digest"])
         out = out.unionByName(picked)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.select(*plain.columns).toDF(*df.columns)
 
 
 def _classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -411,7 +416,7 @@ def _classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     every = links.unionByName(more)
     joined = pin(components(every), "components")
     degrees = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_links")
+        F.count(F.lit(1)).alias("spanning_links")
     )
     known = pin(
         nodes.select("content", "node", "id", "copies").join(joined, "node", "left").join(degrees, "node", "left")
@@ -424,16 +429,16 @@ def _classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     classes = pin(classes, "classes")
     contents = join_groups(known, classes, "component", "n", n_nodes).select(
         "content", "copies", "class_size", F.col("least.id").alias("class_id"), F.col("least.node").alias("kept_row"),
-        F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+        F.coalesce("spanning_links", F.lit(0).cast("bigint")).alias("spanning_links"),
     )
     contents = pin(contents, "class-contents")
     placed = join_groups(worded.select("id", "row", "digest", "content"), contents, "content", "copies", rows.count())
     placed = placed.select(
-        F.col("id").alias("doc_id"), "digest", "class_id", "class_size", "n_links",
+        F.col("id").alias("doc_id"), "digest", "class_id", "class_size", "spanning_links",
         (F.col("row") == F.col("kept_row")).alias("kept"),
     )
     alone = rows.filter("content IS NULL").select(
         F.col("id").alias("doc_id"), "digest", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"),
-        F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"),
+        F.lit(0).cast("bigint").alias("spanning_links"), F.lit(True).alias("kept"),
     )
     return placed.unionByName(alone)

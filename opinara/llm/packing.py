@@ -30,6 +30,10 @@ class Limits:
     window_tokens: int = 1 << 21
     window_examples: int = 1 << 14
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError("a sequence must hold at least one token, segment and loss-bearing token")
+
 
 @dataclass
 class Piece:
@@ -168,15 +172,13 @@ def pack_texts(
     A task packs its own rows in windows of bounded size, so nothing is shuffled. Run it on
     stored rows: a task that runs again then sees the same rows and makes the same sequences.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         sequence = task_number() << 32
         doc_ids, encoded, plain, size = [], [], [], 0
         for batch in in_parts(batches):
-            prompts = encoder.encode(batch.column(1).to_pylist())
-            texts = encoder.encode(batch.column(2).to_pylist(), end)
+            prompts = _rows(*encoder.encode(batch.column(1)))
+            texts = _rows(*encoder.encode(batch.column(2), end_id))
             for doc_id, before, after in zip(batch.column(0).to_pylist(), prompts, texts):
                 doc_ids.append(doc_id)
                 encoded.append(before + after)
@@ -197,6 +199,14 @@ def pack_texts(
     )
 
 
+def _rows(ids: np.ndarray, lengths: np.ndarray) -> Iterator[bytes]:
+    """The ids of each text as bytes."""
+    data, done = ids.astype("<u4", copy=False).tobytes(), 0
+    for n in (4 * lengths).tolist():
+        yield data[done:done + n]
+        done += n
+
+
 def _packed(doc_ids, encoded, plain, sequence: int, limits: Limits, cut: bool):
     """Rows of one window; returns the next free sequence number."""
     sizes = [(len(ids) // 4, p) for ids, p in zip(encoded, plain)]

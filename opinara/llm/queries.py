@@ -72,7 +72,8 @@ def op7(spark, sf):
 @query("op8_byte_pairs")
 def op8(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_pairs.encode_and_decode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+    docs = table(spark, sf, "documents")
+    return byte_pairs.encode_and_decode(docs, path, public_tokenizers.PATTERN, at_blanks=True)
 
 
 @query("op9_personal_data")

@@ -172,22 +172,22 @@ def write_token_files(
     Returns the list of files, as stored beside them: `task`, `part`, `file`, `n_docs`,
     `n_ids`; files follow each other by (task, part). Rows are range-partitioned by id, so the
     files of one task go on where the task before ended; a text that is null counts as empty,
-    null ids come first, rows with one id are ordered by a hash of their text. A task that runs
-    again writes the same files, each under a name of its own first and then moved in place.
+    null ids come first, rows with one id are ordered by a hash of their text. An empty table
+    gives an empty list of files. A text of any length is one document, so a file may pass
+    FILE_IDS by its last one. A task that runs again writes the same files, each under a name of
+    its own first and then moved in place.
     """
     spark = df.sparkSession
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(path)
         fs.create_dir(folder, recursive=True)
         task = task_number()
         encoder = word_ids(tokenizer)
-        part, doc_ids, encoded, size = 0, [], [], 0
+        part, doc_ids, encoded, sizes, size = 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(encoded), "<u4")
-            lengths = np.array([len(x) // 4 for x in encoded], np.int64)
+            ids, lengths = np.concatenate(encoded), np.array(sizes, np.int64)
             name = f"{task:08d}-{part:05d}.pfor"
             own = f"{folder}/_{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(own) as out:
@@ -200,13 +200,17 @@ def write_token_files(
             })
 
         for batch in in_parts(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist(), end)):
-                if size and size + len(ids) > 4 * FILE_IDS:
+            ids, lengths = encoder.encode(batch.column(1), end_id)
+            begin = done = 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), lengths.tolist()):
+                if size and size + n > FILE_IDS:
+                    encoded.append(ids[begin:done])
                     yield flush()
-                    part, doc_ids, encoded, size = part + 1, [], [], 0
+                    part, doc_ids, encoded, sizes, size, begin = part + 1, [], [], [], 0, done
                 doc_ids.append(doc_id)
-                encoded.append(ids)
-                size += len(ids)
+                sizes.append(n)
+                size, done = size + n, done + n
+            encoded.append(ids[begin:])
         if doc_ids:
             yield flush()
 

@@ -58,7 +58,8 @@ def as_documents(spark, rows):
         "lang": pa.array(languages, pa.string()), "source": pa.array([None] * n, pa.string()),
         "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64()),
         **{name: pa.array([f"own {name}"] * n, pa.string()) for name in (
-            "id", "row", "kept", "n", "digest", "component", "block", "words", "_lang", "_text", "c1", "hash", "spans",
+            "id", "row", "kept", "n", "digest", "component", "block", "words", "_lang", "_text", "c1", "hash", "spans", "_kept_id", "_kept", "own_id", "_own_id", "_own_digest", "own_digest",
+            "_own_characters", "_slot", "_part", "_row", "_key", "_size", "digest_of", "kept_n", "point", "key",
         )},
     })
     return spark.createDataFrame(table)

@@ -396,3 +396,15 @@ def test_near_misses(spark):
     given = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NEAR_MISSES)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.licenses(given).collect()}
     assert [(t, got[i]) for i, (t, _) in enumerate(NEAR_MISSES)] == NEAR_MISSES
+
+
+def test_two_indexes_with_one_tail(spark, tmp_path):
+    tail = "a-folder-name-that-is-longer-than-forty-eight-characters/index"
+    docs = as_documents(spark, [(5, "the same text", "en")])
+    kept = []
+    for place in ("one", "two"):
+        index = exact_duplicates.DigestIndex(spark, f"{tmp_path}/{place}/{tail}")
+        kept.append(exact_duplicates.exact_duplicates(docs, index).first())
+    assert all(r.kept and r.keep_id == 5 for r in kept)
+    again = exact_duplicates.DigestIndex(spark, f"{tmp_path}/one/./{tail}/")
+    assert again.table().count() == 1

@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from opinara.llm import byte_pairs, packing, token_counts, token_files
+from opinara.llm import byte_pairs, common, packing, token_counts, token_files
 from opinara.session import new_path
 
 WORD_FILE = P.path("word_bpe_49k.json")
@@ -168,10 +169,54 @@ def test_byte_pairs(odd, rows, none, monkeypatch):
         ids = library.encode_ordinary(text or "")
         digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         want[(doc_id, len(ids), digest, hashlib.sha256((text or "").encode()).hexdigest())] += 1
-    for block in (byte_pairs.BLOCK_CHARACTERS, 1000):
-        monkeypatch.setattr(byte_pairs, "BLOCK_CHARACTERS", block)
-        got = byte_pairs.encode_and_decode(odd, RANK_FILE, P.PATTERN, with_ids=True)
+    for block, at_blanks in ((byte_pairs.BLOCK_BYTES, False), (byte_pairs.BLOCK_BYTES, True), (1000, True)):
+        monkeypatch.setattr(byte_pairs, "BLOCK_BYTES", block)
+        got = byte_pairs.encode_and_decode(odd, RANK_FILE, P.PATTERN, with_ids=True, at_blanks=at_blanks)
         assert Counter(tuple(r)[:4] for r in got.collect()) == want
     decoded = byte_pairs.decode(got, RANK_FILE).select("decoded_sha256", F.sha2("decoded", 256).alias("own"))
     assert decoded.filter("decoded_sha256 <> own").count() == 0
     assert byte_pairs.encode_and_decode(none, RANK_FILE, P.PATTERN).count() == 0
+
+
+def random_texts(seed, n):
+    rng = random.Random(seed)
+    parts = ["a", "The", " ", " ", "  ", "\n", "\t", "'s", "é", "\u0085", "\xa0", "\u2003", "\u3000", "中", "😀", "\x1c", "\x7f", "12", "!", "", "\r\n", "Ω", "က"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_chunks_do_not_change_pre_tokens():
+    texts = random_texts(5, 4000)
+    split = byte_pairs._splitter(P.PATTERN).findall
+    column = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    places = byte_pairs._Places()
+    found, per = byte_pairs._split(column, split, places, True)
+    words, ends = list(places), np.cumsum(per)
+    for text, begin, end in zip(texts, ends - per, ends):
+        assert [words[i] for i in found[begin:end]] == split(text)
+
+
+def test_chunks_join_to_the_texts():
+    texts = random_texts(6, 300)
+    for column in (pa.array(texts), pa.array(["x y", *texts]).slice(1), pa.array([], pa.string()), pa.array([""])):
+        chunks, per = common.cut_texts(column, common.byte_table(ord(" ")))
+        own, ends = chunks.to_pylist(), np.cumsum(per)
+        assert ["".join(own[a:b]) for a, b in zip(ends - per, ends)] == column.to_pylist()
+
+
+def test_word_ids():
+    texts = random_texts(7, 3000)
+    tokenizer = Tokenizer.from_file(WORD_FILE)
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    encoder = common.WordIds(WORD_FILE)
+    for end in (2, None):
+        ids, lengths = encoder.encode(pa.array(texts), end)
+        ends = np.cumsum(lengths)
+        got = [ids[a:b].tolist() for a, b in zip(ends - lengths, ends)]
+        assert got == [w if end else w[:-1] for w in want]
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()), 2)] == [0, 0]
+
+
+def test_limits_are_refused():
+    for wrong in ({"tokens": 0}, {"loss": 0}, {"segments": 0}):
+        with pytest.raises(ValueError):
+            packing.Limits(**wrong)
