@@ -91,6 +91,8 @@ class WordIds:
     """
 
     _CUTS = byte_table(ord(" "), ord("\n"))
+    # Words that are given to the library as one text, parted by a special token, and such texts at a time.
+    _JOINED, _TEXTS = 256, 64
 
     def __init__(self, path: str):
         import os
@@ -99,39 +101,59 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special]
+        self._mark_id, self._mark = max(special, default=(None, None))
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, bytes] = {}
+        self._number: dict[str, int] = {}
+        self._ids = Ragged(np.zeros(0, "<u4"), np.zeros(0, np.int64))
         self._characters = 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str], joined: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words, one after the other, and how many each has."""
+        for start in range(0, len(words), joined * self._TEXTS):
+            part = words[start:start + joined * self._TEXTS]
+            mark = self._mark if joined > 1 else ""
+            texts = [mark.join(part[i:i + joined]) for i in range(0, len(part), joined)]
+            got = [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            if joined == 1:
+                yield np.array([i for own in got for i in own], "<u4"), np.array(list(map(len, got)), np.int64)
+                continue
+            ids = np.array([i for own in got for i in (*own, self._mark_id)], "<u4")
+            ends = np.flatnonzero(ids == self._mark_id)
+            yield np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Rows of `_ids` of the words, which are encoded if they are new."""
         if self._characters > CACHED_CHARACTERS:
             self._forget()
-        known = self._known
+        known = self._number
         new = [w for w in words if w not in known]
-        # Few at a time, as the library's results are far larger than the ids.
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            for word, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-                self._characters += len(word) + 8
+        if new:
+            alone = [w for w in new if self._mark is None or self._mark in w]
+            plain = [w for w in new if not (self._mark is None or self._mark in w)]
+            parts = [(self._ids.values, self._ids.lengths), *self._encoded(plain, self._JOINED), *self._encoded(alone, 1)]
+            self._ids = Ragged(*map(np.concatenate, zip(*parts)))
+            known.update(zip([*plain, *alone], range(len(known), len(known) + len(new))))
+            self._characters += sum(map(len, new)) + 8 * len(new)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, each with `end` behind it, and how many each has."""
         words, per = cut_texts(texts, self._CUTS)
-        distinct = words.dictionary.to_pylist()
-        self._learn(distinct)
-        own = list(map(self._known.__getitem__, distinct))
-        # The last row is the end mark.
-        mark = np.array([] if end is None else [end], "<u4")
-        flat = np.concatenate([np.frombuffer(b"".join(own), "<u4"), mark])
-        ids = Ragged(flat, np.array([*[len(x) // 4 for x in own], len(mark)], np.int64))
-        ends = np.cumsum(per) + np.arange(len(per))
-        rows = np.full(len(words) + len(per), len(own))
-        rows[np.delete(np.arange(len(rows)), ends)] = words.indices.to_numpy()
-        lengths = np.append(0, np.cumsum(ids.lengths[rows]))
-        return ids.take(rows), np.diff(lengths[np.append(0, ends + 1)])
+        own = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        upto = np.append(0, np.cumsum(self._ids.lengths[own]))
+        lengths = np.diff(upto[np.append(0, np.cumsum(per))])
+        ids = self._ids.take(own)
+        if end is None:
+            return ids, lengths
+        ends = np.cumsum(lengths + 1) - 1
+        out = np.full(len(ids) + len(ends), end, "<u4")
+        inside = np.ones(len(out), bool)
+        inside[ends] = False
+        out[inside] = ids
+        return out, lengths + 1
 
 
 @cache
