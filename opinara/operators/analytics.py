@@ -28,18 +28,19 @@ def _count(weight: str | None) -> Column:
 
 
 def sentiment_cube(df: DataFrame, date: str | None = "date") -> DataFrame:
-    """Reviews counted by month end and predicted class, as `n`.
+    """Reviews counted by month end and, where they have one, predicted class, as `n`.
 
     Where the reviews have them, also the sums behind the key figures: `confidence_sum`,
     `confidence_n`, `mixed`.
     """
     month = F.last_day(date) if date else F.lit(None).cast("date")
+    classes = [c for c in df.columns if c == "predicted_sentiment"]
     sums = [F.count(F.lit(1)).alias("n")]
     if "confidence" in df.columns:
         sums += [F.sum("confidence").alias("confidence_sum"), F.count("confidence").alias("confidence_n")]
     if "is_mixed" in df.columns:
         sums.append(F.sum(F.col("is_mixed").cast("int")).alias("mixed"))
-    return df.groupBy(month.alias("month"), "predicted_sentiment").agg(*sums)
+    return df.groupBy(month.alias("month"), *classes).agg(*sums)
 
 
 def theme_cube(exploded: DataFrame, date: str | None = "date") -> DataFrame:
@@ -135,19 +136,22 @@ def _summary_quartiles(rows: DataFrame) -> DataFrame:
 
 def _exact_quartiles(rows: DataFrame) -> DataFrame:
     """Quartiles per class: the ranks around each come from `order_statistics`."""
-    sizes = rows.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"))
     at = F.greatest(F.least(F.col("n") * F.col("q") / 4 - 0.5, F.col("n") - 1.0), F.lit(0.0))
     low = F.floor("at")
-    around = pin(
-        sizes.withColumn("q", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-        .withColumn("at", at)
-        .select(
-            "sentiment", "q", low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"),
-            (F.col("at") - low).alias("part"),
-        ),
-        "quartile-ranks",
-    )
-    wanted = around.select("sentiment", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    around = None
+
+    def wanted(sizes: DataFrame) -> DataFrame:
+        nonlocal around
+        around = (
+            sizes.withColumn("q", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+            .withColumn("at", at)
+            .select(
+                "sentiment", "q", low.alias("low"), F.least(low + 1, F.col("n") - 1).alias("high"),
+                (F.col("at") - low).alias("part"),
+            )
+        )
+        return around.select("sentiment", F.explode(F.array("low", "high")).alias("rank")).distinct()
+
     key = F.floor(F.col("confidence") * float(1 << 62)).cast("bigint")
     found = order_statistics(rows, "sentiment", F.col("confidence"), key, wanted)
     low_value = found.withColumnsRenamed({"rank": "low", "value": "low_value"})

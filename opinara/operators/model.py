@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -10,12 +9,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara.functions.mixed import is_mixed
 from opinara.operators import features as f
 from opinara.operators.prepare import training_rows
-from opinara.operators.ranking import order_statistics, seeded_key, with_row_index
+from opinara.operators.ranking import order_statistics, seeded_key, unused, with_row_index
 from opinara.session import pin, spread
 
 # Split and solver settings.
@@ -39,16 +38,19 @@ class Trained(NamedTuple):
 def test_sizes(sizes: DataFrame, label: str = "sentiment", share: float = TEST_SHARE) -> DataFrame:
     """Test rows per class of (label, n): `share` of all rows rounded up, by largest remainder.
 
-    Gives (label, `test_rows`). The number of classes is not bounded.
+    Gives (label, `test_rows`). The windows are over one row per class, enough for millions of them.
     """
-    whole = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    total = math.ceil(share * whole)
-    exact = F.col("n") * float(total) / max(whole, 1)
-    parts = pin(sizes.select(label, F.floor(exact).alias("_least"), (F.floor(exact) - exact).alias("_rest")), "test-shares")
-    left = total - (parts.agg(F.sum("_least").alias("n")).first()["n"] or 0)
-    ranked = with_row_index(parts, "_place", ["_rest", label])
-    one_more = (F.col("_place") < left).cast("bigint")
-    return ranked.select(label, (F.col("_least") + one_more).alias("test_rows"))
+    every = Window.partitionBy()
+    whole = F.sum("n").over(every)
+    total = F.ceil(F.lit(share) * whole)
+    exact = F.col("n") * total.cast("double") / whole
+    parts = sizes.select(
+        F.col(label).alias("label"), F.floor(exact).alias("least"), (F.floor(exact) - exact).alias("rest"),
+        total.alias("total"),
+    )
+    place = F.row_number().over(Window.orderBy("rest", "label"))
+    one_more = (place <= F.col("total") - F.sum("least").over(every)).cast("bigint")
+    return parts.select(F.col("label").alias(label), (F.col("least") + one_more).alias("test_rows"))
 
 
 def stratified_split(
@@ -65,17 +67,19 @@ def stratified_split(
     ids may repeat, give a column of row positions. Rows without a label are in neither part
     and get null.
     """
-    keyed = df.withColumn("_key", seeded_key(F.col(id_column), seed))
-    sizes = pin(
-        keyed.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")), "class-sizes"
-    )
-    tests = test_sizes(sizes, label, share).filter("test_rows > 0")
-    last = tests.select(label, (F.col("test_rows") - 1).alias("rank"))
-    limits = order_statistics(keyed, label, F.col("_key"), F.col("_key"), last).select(
-        label, F.col("value").alias("_limit")
-    )
+    own, limit = unused(df, "_key"), unused(df, "_limit")
+    keyed = df.withColumn(own, seeded_key(F.col(id_column), seed))
+    # Keys are made of text; two scans read the numbers that are written here.
+    keys = keyed.select(F.col(label).alias("label"), F.col(own).alias("key")).filter("label IS NOT NULL")
+
+    def last(sizes: DataFrame) -> DataFrame:
+        tests = test_sizes(sizes, "label", share).filter("test_rows > 0")
+        return tests.select("label", (F.col("test_rows") - 1).alias("rank"))
+
+    limits = order_statistics(pin(keys, "split-keys"), "label", F.col("key"), F.col("key"), last)
     # Limits are written, so Spark knows their size; a class without test rows has none.
-    inside = F.coalesce(F.col("_key") <= F.col("_limit"), F.lit(False))
+    limits = limits.select(F.col("label").alias(label), F.col("value").alias(limit))
+    inside = F.coalesce(F.col(own) <= F.col(limit), F.lit(False))
     split = keyed.join(limits, label, "left").withColumn("is_test", F.when(F.col(label).isNotNull(), inside))
     return split.select(*[F.col(f"`{c}`") for c in df.columns], "is_test")
 
@@ -118,7 +122,7 @@ def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> T
     text = F.coalesce("clean_text", F.lit("")).alias("clean_text")
     given = training_rows(df).select(text, "sentiment")
     # The index writes the rows, which split and fit read many times.
-    rows = with_row_index(spread(given), "row")
+    rows = with_row_index(spread(given), "row", stored=False)
     rows = stratified_split(rows, id_column="row")
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))

@@ -346,6 +346,59 @@ def test_order_statistics(spark):
     assert len(got) == 12
 
 
+def test_order_statistics_seek_again_and_narrow(spark, monkeypatch):
+    rng = random.Random(5)
+    groups = {"a": [rng.randrange(1 << 60) for _ in range(5000)], "b": [7] * 3000, "c": list(range(2000))}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v long")
+    ranks = [(g, r) for g, vs in groups.items() for r in {0, 1, len(vs) // 2, len(vs) - 1}]
+
+    def wanted(sizes):
+        assert {r["g"]: r["n"] for r in sizes.collect()} == {g: len(vs) for g, vs in groups.items()}
+        return spark.createDataFrame(ranks + [("a", 5000), ("a", -1), ("z", 0)], "g string, rank long")
+
+    want = {(g, r): sorted(groups[g])[r] for g, r in ranks}
+    # Sketches too small for the margin, and brackets that are all narrowed.
+    for sketch, margin, counted in ((8, 0.0001, 1 << 22), (64, 0.05, 100), (2048, 0.008, 10)):
+        monkeypatch.setattr(ranking, "_SKETCH", sketch)
+        monkeypatch.setattr(ranking, "_COUNTED", counted)
+        got = ranking.order_statistics(df, "g", F.col("v"), F.col("v"), wanted, margin).collect()
+        assert {(r["g"], r["rank"]): r["value"] for r in got} == want and len(got) == len(want)
+
+
+def test_samples_where_one_id_holds_most_rows(spark):
+    df = spark.range(0, 9000, 1, 6).select(
+        F.when(F.col("id") % 10 < 7, "same").otherwise(F.col("id").cast("string")).alias("review_id"),
+        F.col("id").alias("own"), (F.col("id") % 2).cast("string").alias("g"),
+    )
+    for seed in range(4):
+        got = ranking.sample_per_group(df, ["g"], 40, seed, row="own").collect()
+        assert len(got) == len({(r["g"], r["own"]) for r in got}) == 80
+        assert sorted(r["position"] for r in got) == sorted([*range(40)] * 2)
+
+
+def test_stored_positions(spark, tmp_path):
+    df = spark.range(0, 50_000, 1, 3).select("id", F.repeat(F.lit("x"), 40).alias("_file"), F.lit(1).alias("_slot"))
+    df.write.parquet(str(tmp_path / "rows"), compression="none")
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    seen = set()
+    for size in ("128m", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            indexed = ranking.with_row_index(spark.read.parquet(str(tmp_path / "rows")), "i")
+            assert indexed.columns == ["id", "_file", "_slot", "i"] and indexed.filter("i <> id").count() == 0
+            seen.add(indexed.rdd.getNumPartitions())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(seen) == 2
+    assert ranking.with_row_index(stored.select("id"), "i").filter("i <> id").count() == 0
+    # Rows that were filtered or repeated have no stored place; the copy numbers them.
+    for other in (stored.filter("id % 3 = 0"), stored.filter("id <> 0"), stored.unionByName(stored)):
+        assert ranking.stored_row_index(other) is None
+        places = [r["i"] for r in ranking.with_row_index(other.select("id"), "i").select("i").collect()]
+        assert sorted(places) == list(range(len(places))) and len(places) == other.count()
+    assert ranking.with_row_index(stored.filter("id < 0"), "i").count() == 0
+
+
 def test_confidence_boxes(spark):
     rng = random.Random(4)
     groups = {"positive": [round(rng.uniform(0.34, 1), 3) for _ in range(301)] + [0.01, 0.02],
