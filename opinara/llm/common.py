@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Words of this many characters in the cache of one Python worker, before it starts anew.
-CACHED_CHARACTERS = 16 << 20
+CACHED_CHARACTERS = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,7 @@ class WordIds:
 
     _CUTS = byte_table(ord(" "), ord("\n"))
     # Words that are given to the library as one text, parted by a special token, and such texts at a time.
-    _JOINED, _TEXTS = 256, 64
+    _JOINED, _TEXTS = 256, 8
 
     def __init__(self, path: str):
         import os

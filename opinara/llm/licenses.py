@@ -82,20 +82,37 @@ def _siblings() -> list[tuple[str, str, tuple[str, ...]]]:
 
 SIBLINGS = _siblings()
 
+
+def _everyday() -> list[tuple[str, str, tuple[str, ...]]]:
+    """Short names as people write them, all of whose words are required."""
+    # License identifiers, in words, and their labels.
+    identifiers = {
+        "mit": "mit", "isc": "isc", "unlicense": "unlicense", "apache 2 0": "apache-2.0", "mpl 2 0": "mpl-2.0",
+        "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0",
+        "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3.0", "agpl 3 0": "agpl-3.0", "bsl 1 0": "bsl-1.0",
+    }
+    names = {f"spdx license identifier {words}": label for words, label in identifiers.items()}
+    names |= {
+        "mit license": "mit", "apache license 2 0": "apache-2.0", "licensed under the gpl": "gpl",
+        "released under the gpl": "gpl", "isc license": "isc", "mozilla public license 2 0": "mpl-2.0",
+        "permission to use copy modify and or distribute this software for any purpose": "isc",
+    }
+    return [(phrase, label, (phrase,)) for phrase, label in names.items()]
+
+
+EVERYDAY = _everyday()
+
 # Words that may be put in or left out between two diagonals of one span.
 GAP = 2
 # Share of a notice's word pairs that a span must hold.
 SHARE = 0.6
 
 
-def template_pairs(spark: SparkSession) -> DataFrame:
-    """Word pairs of all templates: fixed, a few hundred rows.
-
-    One more row, template -1, has the hash 0 and no words; a document's own row meets it.
-    """
-    rows = [(-1, 0, "", 1, "", False, False, 0)]
-    given = [(*b, ()) for b in BASE] + [(*n, r) for n, r in zip(NOTICES, REQUIRED, strict=True)] + SIBLINGS
-    for number, (phrase, label, required) in enumerate(given):
+def _pair_rows() -> list[tuple]:
+    """(template, at, pair, pairs, label, base, required, needed) of each word pair of each template."""
+    rows = []
+    given = [(*b, ()) for b in BASE] + [(*n, r) for n, r in zip(NOTICES, REQUIRED, strict=True)]
+    for number, (phrase, label, required) in enumerate([*given, *SIBLINGS, *EVERYDAY]):
         words = phrase.split(" ")
         needed = set()
         for own in required:
@@ -106,6 +123,15 @@ def template_pairs(spark: SparkSession) -> DataFrame:
              len(needed))
             for at in range(len(words) - 1)
         ]
+    return rows
+
+
+def template_pairs(spark: SparkSession) -> DataFrame:
+    """Word pairs of all templates: fixed, a few hundred rows.
+
+    One more row, template -1, has the hash 0 and no words; a document's own row meets it.
+    """
+    rows = [(-1, 0, "", 1, "", False, False, 0), *_pair_rows()]
     names = ("template", "at", "pair", "pairs", "label", "base", "required", "needed")
     given = local_table(spark, **dict(zip(names, map(list, zip(*rows)))))
     own = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.xxhash64("pair"))
@@ -120,7 +146,10 @@ def votes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     """
     # Each word w becomes "w<line feed>w ", so that the lines are: the first word, all rolling
     # pairs, and the last word with a blank. A line number is the place of a pair's second word.
-    lines = F.split(F.regexp_replace(F.lower("text"), _AROUND_WORD, "$1\n$1 "), "\n")
+    # Of all other letters only the Kelvin sign and the dotted I have a lower case with A-Z in it;
+    # with these replaced, lower-casing all letters matches what lower-casing A-Z does.
+    text = F.replace(F.replace(F.col("text"), F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
+    lines = F.split(F.regexp_replace(F.lower(text), _AROUND_WORD, "$1\n$1 "), "\n")
     rows = id_and_text(df, id_column, text_column).withColumn("row", F.monotonically_increasing_id())
     each = rows.select("row", "id", F.posexplode(lines).alias("i", "line"))
     last = F.col("line").isin("", " ") | F.col("line").endswith(" ")
@@ -212,30 +241,29 @@ def licenses(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def _sql_templates() -> str:
     rows = []
-    for number, (phrase, label) in enumerate((*BASE, *NOTICES)):
-        words = phrase.split(" ")
-        rows += [
-            f"({number}, {at}, '{words[at]}', '{words[at + 1]}', {len(words) - 1}, '{label}', {number < len(BASE)})"
-            for at in range(len(words) - 1)
-        ]
+    for number, at, pair, pairs, label, base, required, needed in _pair_rows():
+        first, second = pair.split(" ")
+        rows.append(f"({number}, {at}, '{first}', '{second}', {pairs}, '{label}', {base}, {required}, {needed})")
     return ", ".join(rows)
 
 
 LICENSES_SQL = f"""
-WITH t(template, tat, l, r, pairs, label, base) AS (VALUES {_sql_templates()}),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS words FROM documents),
+WITH t(template, tat, l, r, pairs, label, base, required, needed) AS (VALUES {_sql_templates()}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
 e AS (SELECT doc_id, words, unnest(range(len(words) - 1)) AS place FROM d),
 v AS (SELECT doc_id, place, t.* FROM e JOIN t ON words[place + 1] = l AND words[place + 2] = r),
-g AS (SELECT doc_id, template, pairs, label, base, place - tat AS diagonal, min(place) AS first,
- max(place) AS last, min(tat) AS from_at, max(tat) AS to_at, count(DISTINCT tat) AS held
- FROM v GROUP BY ALL),
+g AS (SELECT doc_id, template, pairs, label, base, needed, place - tat AS diagonal, min(place) AS first,
+ max(place) AS last, min(tat) AS from_at, max(tat) AS to_at, count(DISTINCT tat) AS held,
+ count(DISTINCT tat) FILTER (required) AS told FROM v GROUP BY ALL),
 x AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER w) <= {GAP} AND first > lag(last) OVER w
  AND from_at > lag(to_at) OVER w THEN 0 ELSE 1 END AS fresh FROM g WHERE NOT base
  WINDOW w AS (PARTITION BY doc_id, template ORDER BY first, diagonal)),
 y AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY first, diagonal) AS span FROM x),
 s AS (SELECT doc_id, label, base, first, 1.0E0 AS share FROM g WHERE base AND held = pairs
  UNION ALL SELECT doc_id, label, base, min(first), sum(held) * 1.0E0 / max(pairs) FROM y
- GROUP BY doc_id, label, base, template, span HAVING sum(held) * 1.0E0 / max(pairs) >= {SHARE})
+ GROUP BY doc_id, label, base, template, span HAVING sum(held) * 1.0E0 / max(pairs) >= {SHARE}
+ AND sum(told) >= max(needed))
 SELECT d.doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words,
  count(*) FILTER (base) AS n_base,
  CAST(min(first) FILTER (base) AS BIGINT) AS first_word, CAST(max(first) FILTER (base) AS BIGINT) AS last_word,
