@@ -32,6 +32,8 @@ PARALLEL_CALLS = 2
 
 # Calls that are lost at most with a task.
 CALLS_PER_TASK = 500
+# Fixed value: seconds that a model call may take.
+CALL_SECONDS = 180.0
 
 _LOG = logging.getLogger(__name__)
 
@@ -81,24 +83,36 @@ def ask_model(
     ask: Callable[[str], str],
     parallel_calls: int = PARALLEL_CALLS,
     calls_per_task: int = CALLS_PER_TASK,
+    seconds: float | None = CALL_SECONDS,
 ) -> DataFrame:
     """Add `raw`, the reply of `ask(prompt)`, and `error`, what it raised in its place.
 
     One job, whose tasks make about `calls_per_task` calls each, `parallel_calls` of them at a
-    time; how many tasks run at a time is the cluster's matter. Replies are not repeatable:
-    write the result before using it twice.
+    time; how many tasks run at a time is the cluster's matter. A call that takes longer than
+    `seconds` is left alone and has an error, so that none holds its task for ever. Replies are
+    not repeatable: write the result before using it twice.
     """
     columns = prompts.columns
     tasks = max(1, math.ceil(prompts.count() / calls_per_task))
 
     def call(frames):
         from concurrent.futures import ThreadPoolExecutor
+        from threading import Thread
 
         def reply(prompt):
-            try:
-                return ask(prompt), None
-            except Exception as error:
-                return None, f"{type(error).__name__}: {error}"
+            found = []
+
+            def run():
+                try:
+                    found.append((ask(prompt), None))
+                except Exception as error:
+                    found.append((None, f"{type(error).__name__}: {error}"))
+
+            # A thread of its own, that does not keep the process alive if the call hangs.
+            thread = Thread(target=run, daemon=True)
+            thread.start()
+            thread.join(seconds)
+            return found[0] if found else (None, f"TimeoutError: no reply in {seconds:g} s")
 
         with ThreadPoolExecutor(parallel_calls) as pool:
             for frame in frames:
@@ -120,12 +134,14 @@ def written_replies(
     ask: Callable[[str], str],
     parallel_calls: int = PARALLEL_CALLS,
     calls_per_task: int = CALLS_PER_TASK,
+    seconds: float | None = CALL_SECONDS,
 ) -> DataFrame:
     """Ask for every prompt and write the replies, each task its own part once.
 
-    A lost executor costs the calls of its running tasks, no more. Failed calls are logged.
+    A lost executor costs the calls of its running tasks, no more. Failed calls are logged. With a
+    `reply_store.ReplyStore` in place of this, a job that is run again pays nothing twice.
     """
-    replies = pin(ask_model(prompts, ask, parallel_calls, calls_per_task), "replies")
+    replies = pin(ask_model(prompts, ask, parallel_calls, calls_per_task, seconds), "replies")
     found = _failures(replies)
     if found["failed"]:
         _LOG.warning("%d of %d model calls failed, such as %s", found["failed"], found["calls"], found["error"])
@@ -225,9 +241,12 @@ def extract_themes(
     strict: bool = False,
     keep_failed: bool = False,
     order_by: Sequence[str] | None = None,
+    store=None,
 ) -> DataFrame:
     """Assign themes through `ask` and drop the reviews whose batch failed every attempt.
 
+    With a `ReplyStore` as `store`, prompts that it has replies for are not asked again.
+
     Each attempt asks again only for the batches that failed so far. Its replies are written
     before they are read, so a lost executor never repeats a finished attempt. How many reviews
     failed is logged, and if no call ever answers, this raises; `failed_count` tells it of a result with `keep_failed`. `order_by` makes
@@ -240,7 +259,10 @@ def extract_themes(
     for attempt in range(attempts):
         if attempt:
             time.sleep(pause)
-        replies = written_replies(pending, ask, parallel_calls)
+        if store is None:
+            replies = written_replies(pending, ask, parallel_calls)
+        else:
+            replies = store.replies(pending, ask, parallel_calls, attempt)
         parsed = pin(parsed_replies(replies, themes, strict).drop("raw", "prompt", "error"), "parsed")
         good = parsed.filter("ok")
         done = good if done is None else done.unionByName(good)
