@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,18 @@ def id_and_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(F.col(id_column).cast("bigint").alias("id"), whole_text(text_column).alias("text"))
 
 
-def cut_texts(texts: pa.StringArray, cuts: np.ndarray, next_to: np.ndarray | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
+def cut_texts(
+    texts: pa.StringArray,
+    cuts: np.ndarray,
+    next_to: np.ndarray | None = None,
+    between: tuple[np.ndarray, np.ndarray] | None = None,
+) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Texts in chunks: the chunks in order, as a dictionary of the distinct ones, and how many each text has.
 
     A chunk begins at each byte that `cuts`, a table over all bytes, marks, and whose next byte of
-    the same text `next_to` marks, if that is given. The chunks of a text join to the text; an
-    empty text has none. Nothing is copied before the distinct chunks.
+    the same text `next_to` marks, if that is given. One begins also between two bytes of which
+    the tables `between` mark the first and the second. The chunks of a text join to the text;
+    an empty text has none. Nothing is copied before the distinct chunks.
     """
     if not len(texts):
         return pa.array([], pa.string()).dictionary_encode(), np.zeros(0, np.int64)
@@ -49,6 +56,8 @@ def cut_texts(texts: pa.StringArray, cuts: np.ndarray, next_to: np.ndarray | Non
         begins[:-1] &= next_to[data[1:]]
         # The last byte of a text has no next one.
         begins[bounds[1:][written] - 1] = False
+    if between is not None:
+        begins[1:] |= between[0][data[:-1]] & between[1][data[1:]]
     begins[bounds[:-1][written]] = True
     places = np.flatnonzero(begins).astype(np.int32)
     per = np.diff(np.searchsorted(places, bounds))
@@ -85,14 +94,17 @@ class WordIds:
     """Token ids of texts, each distinct word encoded once per worker.
 
     Blanks and line feeds always part tokens in the vocabularies used here and are dropped by
-    them, so a text is the sum of its words, each with the blank before it. Only the distinct words
-    of a batch meet Python. The memory for known words is bounded; when it is used up, words are
+    them, and a stop after a letter is parted from it, so a text is the sum of its words, each with
+    the blank before it, and of what follows them. Only the distinct words of a batch meet Python. The memory for known words is bounded; when it is used up, words are
     simply encoded again.
     """
 
     _CUTS = byte_table(ord(" "), ord("\n"))
-    # Words that are given to the library as one text, parted by a special token, and such texts at a time.
+    _LETTERS = byte_table(range(ord("A"), ord("Z") + 1), range(ord("a"), ord("z") + 1))
+    _STOPS = byte_table(*b".,;:!?)")
+    # Words given to the library as one text, with a sign between them that none of them holds, and such texts at a time.
     _JOINED, _TEXTS = 256, 8
+    _SIGN = "~"
 
     def __init__(self, path: str):
         import os
@@ -101,59 +113,65 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        special = [(i, t.content) for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special]
-        self._mark_id, self._mark = max(special, default=(None, None))
+        alone = self._tokenizer.encode(f" {self._SIGN} ", add_special_tokens=False).ids
+        # No word without the sign has its id, if the sign is one token by itself.
+        self._sign_id = alone[0] if len(alone) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
-        self._ids = Ragged(np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        # The first row is the end of a text.
+        self._ids = Ragged(np.zeros(1, "<u4"), np.ones(1, np.int64))
         self._characters = 0
 
     def _encoded(self, words: list[str], joined: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of words, one after the other, and how many each has."""
+        sign = f" {self._SIGN} " if joined > 1 else ""
         for start in range(0, len(words), joined * self._TEXTS):
             part = words[start:start + joined * self._TEXTS]
-            mark = self._mark if joined > 1 else ""
-            texts = [mark.join(part[i:i + joined]) for i in range(0, len(part), joined)]
+            texts = [sign.join(part[i:i + joined]) + sign for i in range(0, len(part), joined)]
             got = [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(got), "<u4")
             if joined == 1:
-                yield np.array([i for own in got for i in own], "<u4"), np.array(list(map(len, got)), np.int64)
+                yield ids, np.array(list(map(len, got)), np.int64)
                 continue
-            ids = np.array([i for own in got for i in (*own, self._mark_id)], "<u4")
-            ends = np.flatnonzero(ids == self._mark_id)
-            yield np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+            signs = ids == self._sign_id
+            yield ids[~signs], np.diff(np.flatnonzero(signs), prepend=-1) - 1
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Rows of `_ids` of the words, which are encoded if they are new."""
         if self._characters > CACHED_CHARACTERS:
             self._forget()
         known = self._number
-        new = [w for w in words if w not in known]
-        if new:
-            alone = [w for w in new if self._mark is None or self._mark in w]
-            plain = [w for w in new if not (self._mark is None or self._mark in w)]
-            parts = [(self._ids.values, self._ids.lengths), *self._encoded(plain, self._JOINED), *self._encoded(alone, 1)]
+        rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            plain = np.array([self._sign_id is not None and self._SIGN not in w for w in new])
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            new, missing, n_plain = [new[i] for i in order.tolist()], missing[order], plain.sum()
+            parts = [
+                (self._ids.values, self._ids.lengths),
+                *self._encoded(new[:n_plain], self._JOINED), *self._encoded(new[n_plain:], 1),
+            ]
+            first = len(self._ids.lengths)
             self._ids = Ragged(*map(np.concatenate, zip(*parts)))
-            known.update(zip([*plain, *alone], range(len(known), len(known) + len(new))))
+            known.update(zip(new, range(first, first + len(new))))
+            rows[missing] = np.arange(first, first + len(new))
             self._characters += sum(map(len, new)) + 8 * len(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return rows
 
     def encode(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, each with `end` behind it, and how many each has."""
-        words, per = cut_texts(texts, self._CUTS)
-        own = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        words, per = cut_texts(texts, self._CUTS, between=(self._LETTERS, self._STOPS))
+        rows = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        own = rows[words.indices.to_numpy()]
+        if end is not None:
+            own = np.insert(own, np.cumsum(per), 0)
+            per = per + 1
+            self._ids.values[0] = end
         upto = np.append(0, np.cumsum(self._ids.lengths[own]))
-        lengths = np.diff(upto[np.append(0, np.cumsum(per))])
-        ids = self._ids.take(own)
-        if end is None:
-            return ids, lengths
-        ends = np.cumsum(lengths + 1) - 1
-        out = np.full(len(ids) + len(ends), end, "<u4")
-        inside = np.ones(len(out), bool)
-        inside[ends] = False
-        out[inside] = ids
-        return out, lengths + 1
+        return self._ids.take(own), np.diff(upto[np.append(0, np.cumsum(per))])
 
 
 @cache
