@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from opinara.llm.common import Ragged, byte_table, cut_texts, id_and_text, in_parts, pack_rows, unpack_rows
+from opinara.llm.common import Ragged, byte_table, cut_texts, id_and_text, in_parts, pack_rows, task_number, unpack_rows
 
 # A block is closed at so many bytes of text; a longer text is a block of its own.
 BLOCK_BYTES = 32 << 20
@@ -129,12 +129,14 @@ def _split(texts: pa.StringArray, split, places: _Places, at_blanks: bool) -> tu
 def blocks(df: DataFrame, pattern: str, id_column: str, text_column: str, at_blanks: bool = False) -> DataFrame:
     """Rows (block, words, docs): each block's distinct pre-tokens and its documents.
 
-    A block is named by a hash of what it holds. If the rows are dealt to tasks differently when
-    they are read again, the names differ, too, and `encode_and_decode` ends with an error.
+    A block is named by a hash of its place, task and number, and of what it holds, so blocks of
+    equal texts stay apart. If the rows are dealt to tasks differently when they are read again,
+    the names differ, too, and `encode_and_decode` ends with an error.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(pattern).findall
+        task, number = task_number(), 0
         places, ids, own, lengths = _Places(), [], [], []
         for part, closed in _closed_at(in_parts(batches), BLOCK_BYTES):
             found, per = _split(part.column(1), split, places, at_blanks)
@@ -142,15 +144,18 @@ def blocks(df: DataFrame, pattern: str, id_column: str, text_column: str, at_bla
             own.append(found)
             lengths.append(per)
             if closed:
-                yield _block(places, pa.chunked_array(ids), np.concatenate(own), np.concatenate(lengths))
+                name = np.array([task, number], np.int64).tobytes()
+                yield _block(name, places, pa.chunked_array(ids), np.concatenate(own), np.concatenate(lengths))
+                number += 1
                 places, ids, own, lengths = _Places(), [], [], []
 
     rows = id_and_text(df, id_column, text_column)
     return rows.mapInArrow(run, "block bigint, words array<string>, docs binary")
 
 
-def _block(places: _Places, ids: pa.ChunkedArray, own: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    block = xxhash.xxh64("\0".join(places))
+def _block(place: bytes, places: _Places, ids: pa.ChunkedArray, own: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    block = xxhash.xxh64(place)
+    block.update("\0".join(places))
     block.update(own.tobytes())
     block.update(lengths.tobytes())
     docs = pa.table({

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -178,6 +179,15 @@ def test_byte_pairs(odd, rows, none, monkeypatch):
     assert byte_pairs.encode_and_decode(none, RANK_FILE, P.PATTERN).count() == 0
 
 
+def test_blocks_of_equal_texts(spark, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "BLOCK_BYTES", 50)
+    text = "the same words again and again, the same again " * 2
+    docs = spark.createDataFrame([(i % 7, text) for i in range(40)], "doc_id bigint, text string").repartition(3)
+    docs.write.parquet(path := new_path(spark, "equal-texts"))
+    got = byte_pairs.encode_and_decode(spark.read.parquet(path), RANK_FILE, P.PATTERN).collect()
+    assert len(got) == 40 and {r.decoded_sha256 for r in got} == {hashlib.sha256(text.encode()).hexdigest()}
+
+
 def random_texts(seed, n):
     rng = random.Random(seed)
     parts = ["a", "The", " ", " ", "  ", "\n", "\t", "'s", "é", "\u0085", "\xa0", "\u2003", "\u3000", "中", "😀", "\x1c", "\x7f", "12", "!", "", "\r\n", "Ω", "က"]
@@ -203,8 +213,21 @@ def test_chunks_join_to_the_texts():
         assert ["".join(own[a:b]) for a, b in zip(ends - per, ends)] == column.to_pylist()
 
 
+def test_long_texts_without_blanks():
+    rng = random.Random(11)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_FILE)
+    counter = token_counts.PieceCounter(PIECE_FILE)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choices(own, k=400_000)) for own in (signs, signs[:16], "的一是不了人", "~中a")] + ["=" * 400_001]
+    began = time.process_time()
+    counts = counter.count(texts)
+    # Linear in the text: some 0.2 seconds each; 20 seconds for the first if all were one row.
+    assert time.process_time() - began < 10
+    assert counts == [len(library.encode(t)) for t in texts]
+
+
 def test_word_ids():
-    texts = random_texts(7, 3000)
+    texts = random_texts(7, 3000) + ["~", " ~ ", "a~b ~~", "end.~", "Stop.,;:!?).'s't", "a.b!c?(d)e:f", "é.x H\u0331.", "<|endoftext|>.a<|endoftext|>"]
     tokenizer = Tokenizer.from_file(WORD_FILE)
     want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     encoder = common.WordIds(WORD_FILE)
