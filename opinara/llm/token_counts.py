@@ -57,6 +57,10 @@ class PieceMerger:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = (by_score[score], symbol[piece])
         self._keys = np.array(sorted(pairs), np.int64)
+        # Neighbouring characters of some piece; between any others no merge can ever take place.
+        self._near = np.array(
+            sorted({ord(a) << 32 | ord(b) for piece, _ in pieces for a, b in zip(piece, piece[1:])}), np.int64
+        )
         self._ranks = np.array([pairs[k][0] for k in self._keys.tolist()], np.int32)
         self._merged = np.array([pairs[k][1] for k in self._keys.tolist()], np.int32)
 
@@ -68,19 +72,32 @@ class PieceMerger:
         return np.where(found, self._ranks[at], _NONE), self._merged[at]
 
     def count(self, pre_tokens: Sequence[str]) -> np.ndarray:
-        """Surviving symbols of each pre-token; a character outside the vocabulary counts its bytes."""
+        """Surviving symbols of each pre-token; a character outside the vocabulary counts its bytes.
+
+        Pre-tokens are cut where no piece holds the two characters side by side, so the rows of
+        the ragged array are short, however long the pre-tokens, and steps are few.
+        """
         lengths = np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens))
         points = np.frombuffer("".join(pre_tokens).encode("utf-32-le"), "<u4")
-        owner = np.repeat(np.arange(len(pre_tokens)), lengths)
+        if not len(points):
+            return np.zeros(len(pre_tokens), np.int64)
+        of = np.repeat(np.arange(len(pre_tokens)), lengths)
+        first = np.append(True, (of[1:] != of[:-1]) | ~self._side_by_side(points[:-1], points[1:]))
+        owner, of_row = np.cumsum(first) - 1, of[first]
+        counts = self._count(points, owner, len(of_row))
+        return np.bincount(of_row, counts, len(pre_tokens)).astype(np.int64)
+
+    def _side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.minimum(np.searchsorted(self._near, keys), len(self._near) - 1)
+        return self._near[at] == keys
+
+    def _count(self, points: np.ndarray, owner: np.ndarray, n_rows: int) -> np.ndarray:
+        """Surviving symbols of each row of the ragged array."""
         symbols = self.of_character[points]
         unknown = symbols < 0
         size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        counts = np.bincount(owner[unknown], size[unknown], len(pre_tokens)).astype(np.int64)
-        if len(symbols) < 2:
-            known = ~unknown
-            return counts + np.bincount(
-                owner[known], self.width[symbols[known]], len(pre_tokens)
-            ).astype(np.int64)
+        counts = np.bincount(owner[unknown], size[unknown], n_rows).astype(np.int64)
         rank, merged = self._pairs(symbols, owner)
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -90,9 +107,7 @@ class PieceMerger:
             ended = own_best == _NONE
             if ended.any():
                 last = ended & (symbols >= 0)
-                counts += np.bincount(
-                    owner[last], self.width[symbols[last]], len(pre_tokens)
-                ).astype(np.int64)
+                counts += np.bincount(owner[last], self.width[symbols[last]], n_rows).astype(np.int64)
                 on = ~ended
                 symbols, owner, rank, merged, own_best = (
                     x[on] for x in (symbols, owner, rank, merged, own_best)
@@ -191,7 +206,8 @@ def token_counts(
 
     Counts are those of the library for the vocabulary file `path`, without begin and end.
     A null text counts as empty (0 tokens); repeated rows and null ids give a row each; an
-    empty table gives none. Texts never leave their partition.
+    empty table gives none. Texts of any length are read whole, also without any blank, and
+    never leave their partition.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
