@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick automaton finds the anchors: at-signs, schemes, account cues, plus signs and
-digits. Small deterministic parsers grow an anchor to both sides and validate what they found.
+One Aho-Corasick automaton finds the anchors: at-signs, schemes, account cues, names of secrets,
+plus signs and digits. Small deterministic parsers grow an anchor to both sides and validate what they found.
 Every parser yields spans from left to right that do not overlap within their kind; a span that
 fails its check is dropped and not tried again in parts.
 """
@@ -20,12 +20,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opinara.llm.common import id_and_text, in_parts
 
 # Kinds in the order in which spans with one start are listed. The first four are the base.
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE_KINDS = KINDS[:4]
 
 # Anchors of the automaton.
 SCHEMES = ("http://", "https://", "ftp://", "HTTP://", "HTTPS://", "FTP://")
 ACCOUNT_CUES = ("IBAN", "iban", "Iban", "SSN", "ssn", "account", "Account", "ACCOUNT")
+SECRET_CUES = tuple(
+    form for name in ("token", "secret", "api_key", "apikey", "access_key", "private_key", "password", "passwd")
+    for form in (name, name.capitalize(), name.upper())
+)
 # Two digits with at most one sign between them: every address, card and telephone number has some.
 _DIGITS = "0123456789"
 _PAIRS = tuple(a + sign + b for a in _DIGITS for sign in ("", " ", "-", ".") for b in _DIGITS)
@@ -46,7 +50,8 @@ def _automaton():
 
     found = ahocorasick.Automaton()
     for kind, words in (
-        ("at", ("@",)), ("plus", ("+",)), ("scheme", SCHEMES), ("cue", ACCOUNT_CUES), ("digits", _PAIRS),
+        ("at", ("@",)), ("plus", ("+",)), ("scheme", SCHEMES), ("cue", ACCOUNT_CUES),
+        ("secret", SECRET_CUES), ("digits", _PAIRS),
     ):
         for word in words:
             found.add_word(word, (kind, len(word)))
@@ -206,9 +211,39 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def secrets(text: str, cues: list[Span]) -> Iterator[Span]:
+    """Grow the value that is given to a name such as token, api_key or password.
+
+    Name and value are joined by an equals sign or a colon. The value has at least 16 characters of
+    the usual codes, letters and digits among them; a password in quotes may be any 6 to 64, but
+    not a kind in brackets, as `redact` writes it.
+    """
+    least = 0
+    for start, end in cues:
+        if start < least or start and text[start - 1] in _WORD and text[start].islower():
+            continue
+        found = _AFTER_NAME.match(text, end)
+        if found:
+            first, last = found.span("code")
+            value = text[first:last]
+            good = last - first >= 16 and not (value.isalpha() or value.isdigit())
+        if not found or not good:
+            found = text[start:end].lower().startswith("passw") and _AFTER_PASSWORD.match(text, end)
+            if not found:
+                continue
+            first, last = found.span("any")
+        yield first, last
+        least = last
+
+
+_GIVEN = r"[A-Za-z_]{0,16}[\"']?[ \t]{0,4}[:=][ \t]{0,4}"
+_AFTER_NAME = re.compile(_GIVEN + r"[\"']?(?P<code>[A-Za-z0-9_+/.-]+(?<![.])={0,2})")
+_AFTER_PASSWORD = re.compile(_GIVEN + r"(?P<quote>[\"'])(?P<any>(?!\[[A-Z]+\])[^\s\"']{6,64})(?P=quote)")
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by start and then kind; ends are exclusive code points."""
-    places: dict[str, list[Span]] = {"at": [], "plus": [], "scheme": [], "cue": [], "digits": []}
+    places: dict[str, list[Span]] = {"at": [], "plus": [], "scheme": [], "cue": [], "secret": [], "digits": []}
     for last, (kind, length) in _automaton().iter(text):
         places[kind].append((last - length + 1, last + 1))
     if not any(places.values()):
@@ -221,6 +256,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         phones(text, [s for s, _ in places["plus"]]),
         urls(text, sorted(places["scheme"])),
         accounts(text, sorted(places["cue"])),
+        secrets(text, sorted(places["secret"])),
     )
     spans = [(kind, *span) for kind, own in zip(KINDS, found) for span in own]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))

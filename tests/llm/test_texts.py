@@ -53,6 +53,23 @@ def test_more_spans():
     assert personal_data.redact_text(text).startswith("IBAN: [ACCOUNT]. see [URL]). account no [ACCOUNT],")
 
 
+@pytest.mark.parametrize("text, value", [
+    ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###', "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"),
+    ("access_token=ya29.A0ARrdaM9x8Y7z6W5v4. Then", "ya29.A0ARrdaM9x8Y7z6W5v4"),
+    ("'API_KEY': 'sk-abc123def456ghi789jkl',", "sk-abc123def456ghi789jkl"),
+    ('password="hunter!"', "hunter!"),
+    ("TOKEN: " + "a1" * 5000, "a1" * 5000),
+    ("the token is here: no", None),
+    ("tokens: many things happen", None),
+    ("mytoken=abcdef0123456789abcdef", None),
+    ("token: internationalization", None),
+    ('password="[SECRET]"', None),
+])
+def test_secrets(text, value):
+    assert [text[a:b] for kind, a, b in find_spans(text) if kind == "secret"] == ([value] if value else [])
+    assert not find_spans(personal_data.redact_text(text))
+
+
 def test_personal_data(odd, rows, none):
     got = personal_data.personal_data(odd).collect()
     want = Counter((d, tuple(find_spans(t or ""))) for d, t, _ in rows)
