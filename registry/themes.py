@@ -120,13 +120,12 @@ def thm_4(spark, sf):
 
 
 @query("thm_5_merge_objects", _with("replies", """
-SELECT batch_id, CASE WHEN batch_id % 12 = 9 THEN '2' ELSE '1,2' END AS keys
-FROM replies WHERE batch_id % 12 <> 11"""))
+SELECT batch_id, CASE batch_id % 12 WHEN 9 THEN '2' WHEN 11 THEN NULL ELSE '1,2' END AS keys
+FROM replies"""))
 def thm_5(spark, sf):
     entries = reply_entries(F.col("objects"))
     keys = F.array_join(F.transform(entries, lambda e: e["key"]), ",")
-    readable = pin(_objects(replies(spark, sf)), "objects").filter(F.col("objects").isNotNull())
-    return readable.select("batch_id", keys.alias("keys"))
+    return pin(_objects(replies(spark, sf)), "objects").select("batch_id", keys.alias("keys"))
 
 
 @query("thm_6_names_of_key", _with("replies", """
@@ -372,12 +371,17 @@ def udf_1(spark, sf):
 
 @query("udf_2_literal_replies", _with("replies", """
 SELECT batch_id, CASE batch_id % 12 WHEN 2 THEN concat('1: [" ', lower(t1), ' "]|2: ', upper(t2))
- WHEN 5 THEN concat('1: ["', t1, '"]|2: ["', t2, '"]') ELSE concat('1: ["', t1, '"]|2: ["', t2, '"]') END AS entries
-FROM replies WHERE batch_id % 12 IN (2, 5, 10)"""))
+ WHEN 6 THEN concat('1: ["', t1, '","', t1, '"]|2: [{"theme":"', t2, '"}]')
+ WHEN 7 THEN concat('1: ["', t1, '","Parking"]|2: ["', t2, '"]')
+ WHEN 8 THEN concat('1: ["Parking"]|2: ["', t2, '"]')
+ WHEN 9 THEN concat('2: ["', t2, '"]')
+ WHEN 11 THEN NULL
+ ELSE concat('1: ["', t1, '"]|2: ["', t2, '"]') END AS entries
+FROM replies"""))
 def udf_2(spark, sf):
-    """Replies written as Python literals, as key and value of the first object."""
-    rows = replies(spark, sf).filter("batch_id % 12 IN (2, 5, 10)")
-    found = F.from_json(literal_objects(json_span(F.col("raw"))), "array<map<string,string>>")[0]
+    """All replies, read as literals: keys and values of their objects, null where there is no object."""
+    rows = replies(spark, sf)
+    found = F.from_json(literal_objects(json_span(F.col("raw"))), "array<map<string,string>>")
     # Entries in the order of their keys; lists stay JSON text.
-    pairs = F.transform(F.map_entries(found), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    pairs = F.transform(reply_entries(found), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return rows.select("batch_id", F.array_join(F.array_sort(pairs), "|").alias("entries"))
