@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opinara.sources.csv_ranges import RANGE_BYTES, Ranges, can_split
 from opinara.vocab import NA_TOKENS
 
 # Fixed value: the training file taken first.
@@ -25,13 +26,35 @@ def _csv(spark: SparkSession, path, multi_line: bool, **options) -> DataFrame:
     return read.csv(path)
 
 
-def read_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def _by_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame | None:
+    """Records cut out of ranges of the files, parsed by Spark; None if no file has a header."""
+    ranges = Ranges(spark, path, range_bytes)
+    parts = []
+    # One row per different header.
+    for head in ranges.heads().orderBy("path").collect():
+        names = _csv(spark, head["path"], True).columns
+        schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+        row = F.from_csv("record", schema, {"escape": '"'})
+        parts.append(marked_missing(ranges.records(head["head"]).select(row.alias("row")).select("row.*")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+
+def read_reviews(
+    spark: SparkSession, path: str, multi_line: bool = True, split_bytes: int | None = RANGE_BYTES
+) -> DataFrame:
     """Reviews from CSV with a header; every column is a string, missing marks are null.
 
     Columns go by the header of each file: files of one header are read together, and columns
-    that a file lacks are null. Quoted line breaks need `multi_line`, which reads each file in
-    one task; convert such files once with `to_table`, and read the table from then on.
+    that a file lacks are null. With `multi_line`, cells may hold quoted line breaks; large files
+    are still read by many tasks, in ranges of `split_bytes`. Packed files, files in a store that
+    only Spark reaches, and all files if `split_bytes` is None are read by one task each; convert
+    such files once with `to_table`, and read the table from then on. Files whose lines end
+    in a carriage return alone need `split_bytes=None`, too.
     """
+    if multi_line and split_bytes and can_split(spark, path):
+        found = _by_ranges(spark, path, split_bytes)
+        if found is not None:
+            return found
     # The listing alone, without content.
     if spark.read.format("binaryFile").load(path).select("path").limit(2).count() < 2:
         return marked_missing(_csv(spark, path, multi_line))

@@ -39,6 +39,19 @@ def src_1(spark, sf):
     return read_reviews(spark, _write_csv(df, scratch(spark, "csv")))
 
 
+@query("src_1_split_file", f"""
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn,
+ CASE WHEN text NOT IN ({_NA}) THEN text END AS text
+FROM (SELECT conv_id, turn, '"' || text || '",' || chr(10) || chr(10) || text AS text
+ FROM conversations) c""")
+def src_1_split(spark, sf):
+    """Turns with quotes and line breaks through CSV, each file read by tasks of 64 KB."""
+    text = F.format_string('"%s",\n\n%s', "text", "text")
+    df = table(spark, sf, "conversations")
+    df = df.select("conv_id", "turn", F.when(F.col("text").isNotNull(), text).alias("text"))
+    return read_reviews(spark, _write_csv(df, scratch(spark, "csv")), split_bytes=1 << 16)
+
+
 @query("src_1_missing_marks", with_views("reviews", """
 SELECT review_id, CASE WHEN stars = 'nan' THEN NULL ELSE stars END AS stars, text FROM reviews"""))
 def src_1_missing(spark, sf):
