@@ -145,12 +145,6 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"record": pa.array(held, pa.string())})
 
 
-def _in_tasks(ranges: DataFrame, tasks: int) -> DataFrame:
-    """Ranges in the order of the files, about one per task."""
-    by = ("path", ranges.columns[2])
-    return ranges.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
-
-
 def first_records(scanned: DataFrame) -> DataFrame:
     """Per range the place of its first record, from the outcomes of both cases.
 
@@ -168,47 +162,44 @@ def first_records(scanned: DataFrame) -> DataFrame:
     last = F.last(set_, ignorenulls=True).over(before)
     turned = F.coalesce(F.last("_turns").over(before), F.lit(0)) - F.coalesce(last["turns"], F.lit(0))
     state = (F.coalesce(last["state"], F.lit(0)) + turned) % 2
-    cut = scanned.withColumn("from", F.when(state == 1, F.col("first_inside")).otherwise(F.col("first")))
-    cut = cut.filter("`from` IS NOT NULL")
+    whole = Window.partitionBy("path")
+    begun = F.when(state == 1, F.col("first_inside")).otherwise(F.col("first"))
+    cut = scanned.withColumns({
+        "from": begun, "head": F.max("head").over(whole), "crlf": F.coalesce(F.max("crlf").over(whole), F.lit(False)),
+    }).filter("`from` IS NOT NULL")
     to = F.coalesce(F.first("from").over(after), F.col("length"))
-    return cut.select("path", "length", "from", to.alias("to"), (F.col("begin") == 0).alias("with_head"))
+    return cut.select("path", "from", to.alias("to"), (F.col("begin") == 0).alias("with_head"), "head", "crlf")
 
 
 class Ranges:
     """CSV files cut at the starts of records.
 
     The scan of quotes is done once, when this is made; its outcome is one small row per range.
-    `heads` are the headers with the files that have them.
+    `possible` tells whether all files are plain and in a store that tasks can open by
+    themselves; without that, and without any bytes, nothing is scanned.
     """
 
     def __init__(self, spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES):
         if range_bytes < 1:
             raise ValueError("range_bytes must be positive")
         listed = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
-        ranges = listed.select(
-            "path", "length",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes))).alias("begin"),
-        )
-        self.tasks = max(1, ranges.count())
-        found = _in_tasks(ranges, self.tasks).mapInArrow(_scan(range_bytes), _SCANNED)
-        scanned = pin(found, "csv-ranges")
-        files = scanned.filter("begin = 0").select("path", "head", F.coalesce("crlf", F.lit(False)).alias("crlf"))
-        self.files = files
-        self.cuts = pin(first_records(scanned).join(files, "path"), "csv-cuts")
+        size = F.ceil(F.col("length") / range_bytes)
+        other = F.col("path").rlike(_PACKED) | ~F.col("path").rlike(_REACHED)
+        total = listed.agg(F.sum(size).alias("ranges"), F.count_if(other).alias("others")).first()
+        self.tasks, self.possible = total["ranges"] or 0, total["others"] == 0
+        if not (self.tasks and self.possible):
+            return
+        begins = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes))
+        ranges = listed.select("path", "length", F.explode(begins).alias("begin"))
+        scanned = ranges.repartition(self.tasks).mapInArrow(_scan(range_bytes), _SCANNED)
+        self.cuts = pin(first_records(scanned), "csv-cuts")
 
     def heads(self) -> DataFrame:
         """Each header and the first file that has it."""
-        return self.files.filter("head IS NOT NULL").groupBy("head").agg(F.min("path").alias("path"))
+        return self.cuts.filter("head IS NOT NULL").groupBy("head").agg(F.min("path").alias("path"))
 
     def records(self, head: str) -> DataFrame:
         """The records, one text each, of the files with this header, in the files' order."""
-        cuts = self.cuts.filter(F.col("head") == head)
-        cuts = cuts.select("path", "length", "from", "to", "with_head", "crlf")
-        return _in_tasks(cuts, self.tasks).mapInArrow(_records, "record string")
-
-
-def can_split(spark: SparkSession, path: str) -> bool:
-    """Whether all files are plain and in a store that tasks can open by themselves."""
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    other = listed.filter(F.col("path").rlike(_PACKED) | ~F.col("path").rlike(_REACHED))
-    return other.isEmpty()
+        cuts = self.cuts.filter(F.col("head") == head).select("path", "from", "to", "with_head", "crlf")
+        ordered = cuts.repartitionByRange(self.tasks, "path", "from").sortWithinPartitions("path", "from")
+        return ordered.mapInArrow(_records, "record string")

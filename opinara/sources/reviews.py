@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinara.sources.csv_ranges import RANGE_BYTES, Ranges, can_split
+from opinara.sources.csv_ranges import RANGE_BYTES, Ranges
 from opinara.vocab import NA_TOKENS
 
 # Fixed value: the training file taken first.
@@ -27,8 +27,10 @@ def _csv(spark: SparkSession, path, multi_line: bool, **options) -> DataFrame:
 
 
 def _by_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame | None:
-    """Records cut out of ranges of the files, parsed by Spark; None if no file has a header."""
+    """Records cut out of ranges of the files, parsed by Spark; None if that cannot be."""
     ranges = Ranges(spark, path, range_bytes)
+    if not (ranges.tasks and ranges.possible):
+        return None
     parts = []
     # One row per different header.
     for head in ranges.heads().orderBy("path").collect():
@@ -51,7 +53,7 @@ def read_reviews(
     such files once with `to_table`, and read the table from then on. Files whose lines end
     in a carriage return alone need `split_bytes=None`, too.
     """
-    if multi_line and split_bytes and can_split(spark, path):
+    if multi_line and split_bytes is not None:
         found = _by_ranges(spark, path, split_bytes)
         if found is not None:
             return found
