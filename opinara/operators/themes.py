@@ -199,8 +199,12 @@ def review_themes(parsed: DataFrame) -> DataFrame:
 
 
 def attach_themes(reviews: DataFrame, themes: DataFrame, on: list[str]) -> DataFrame:
-    """Give every review its themes; one without a result counts as failed."""
-    joined = reviews.drop("themes").join(themes.select(*on, "themes"), on, "left")
+    """Give every review its themes; one without a result counts as failed.
+
+    Both sides have a row per review, and files of equal replies are far smaller than their rows. So
+    the join is a sort-merge join, which Spark would not choose by the size of the files.
+    """
+    joined = reviews.drop("themes").join(themes.select(*on, "themes").hint("merge"), on, "left")
     return joined.withColumn("themes", F.coalesce("themes", F.lit(FAILED)))
 
 
@@ -263,10 +267,12 @@ def extract_themes(
             replies = written_replies(pending, ask, parallel_calls)
         else:
             replies = store.replies(pending, ask, parallel_calls, attempt)
-        parsed = pin(parsed_replies(replies, themes, strict).drop("raw", "prompt", "error"), "parsed")
-        good = parsed.filter("ok")
+        parsed = parsed_replies(replies, themes, strict).drop("raw", "error")
+        # A failed batch keeps its prompt, so that the next attempt needs no join.
+        parsed = pin(parsed.withColumn("prompt", F.when(~F.col("ok"), F.col("prompt"))), "parsed")
+        good = parsed.filter("ok").drop("prompt")
         done = good if done is None else done.unionByName(good)
-        pending = prompts.join(done, "batch_id", "left_anti")
+        pending = parsed.filter("NOT ok").select(*prompts.columns)
         if pending.isEmpty():
             break
     keys = ["batch_id", "position"]

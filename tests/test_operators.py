@@ -240,6 +240,15 @@ def test_replies_in_bounded_tasks(spark):
     assert sorted((r["batch_id"], r["raw"]) for r in out.collect()) == [(i, f"re {i}") for i in range(100)]
 
 
+def test_themes_of_reviews_are_not_broadcast(spark):
+    """Equal themes make small files, whatever the number of reviews."""
+    keyed = pin(spark.range(0, 1000, 1, 2).selectExpr("id AS batch_id", "1 AS position"), "keyed")
+    themes = pin(keyed.filter("batch_id > 0").withColumn("themes", F.lit("a")), "themes")
+    out = th.attach_themes(keyed, themes, ["batch_id", "position"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["themes"]: r["count"] for r in out.groupBy("themes").count().collect()} == {"a": 999, "FAILED": 1}
+
+
 def test_failed_calls(spark):
     prompts = spark.range(0, 60, 1, 3).select(F.col("id").cast("string").alias("prompt"))
 
