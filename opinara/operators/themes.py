@@ -30,8 +30,11 @@ ATTEMPTS = 5
 PAUSE = 2.0
 PARALLEL_CALLS = 2
 
-# Calls that are lost at most with a task.
+# Calls of a task, which are lost with it, and tasks of a job. Of more calls than these make, each task
+# takes more, as a task and its file cost as much as thousands of quick calls; a lost one never holds
+# over one call in MOST_TASKS.
 CALLS_PER_TASK = 500
+MOST_TASKS = 2000
 # Fixed value: seconds that a model call may take.
 CALL_SECONDS = 180.0
 
@@ -78,6 +81,68 @@ def batch_prompts(
     return grouped.select("batch_id", "size", prompt.alias("prompt"))
 
 
+def _replies(
+    prompts: list, ask: Callable[[str], str], parallel_calls: int, seconds: float | None
+) -> list[tuple[str | None, str | None]]:
+    """Reply and error of each prompt, asked by `parallel_calls` threads that take one after the other.
+
+    A thread of its own for each call costs more than a quick call. So only a thread whose call takes
+    longer than `seconds` is left alone, and a new one goes on in its place.
+    """
+    from collections import deque
+    from threading import Condition, Thread
+    from time import monotonic
+
+    late = (None, f"TimeoutError: no reply in {seconds:g} s") if seconds is not None else (None, None)
+    out = [late] * len(prompts)
+    todo = deque(range(len(prompts)))
+    # The call that each thread is busy with, and when it began.
+    busy = {}
+    state = Condition()
+
+    def work(own):
+        while True:
+            with state:
+                if own not in busy:
+                    return
+                if not todo:
+                    del busy[own]
+                    state.notify_all()
+                    return
+                i = todo.popleft()
+                busy[own] = i, monotonic()
+            try:
+                found = (ask(prompts[i]), None)
+            except Exception as error:
+                found = (None, f"{type(error).__name__}: {error}")
+            except BaseException:
+                found = late
+            with state:
+                if own in busy:
+                    out[i] = found
+
+    def start():
+        own = object()
+        busy[own] = None, monotonic()
+        # It does not keep the process alive if a call hangs.
+        Thread(target=work, args=(own,), daemon=True).start()
+
+    with state:
+        for _ in range(min(parallel_calls, len(prompts))):
+            start()
+        while busy:
+            now = monotonic()
+            if seconds is not None:
+                for own in [o for o, (i, since) in busy.items() if i is not None and now - since >= seconds]:
+                    del busy[own]
+                    if todo:
+                        start()
+            if busy:
+                first = min(since for _, since in busy.values())
+                state.wait(None if seconds is None else max(0.001, first + seconds - now))
+    return out
+
+
 def ask_model(
     prompts: DataFrame,
     ask: Callable[[str], str],
@@ -87,38 +152,20 @@ def ask_model(
 ) -> DataFrame:
     """Add `raw`, the reply of `ask(prompt)`, and `error`, what it raised in its place.
 
-    One job, whose tasks make about `calls_per_task` calls each, `parallel_calls` of them at a
-    time; how many tasks run at a time is the cluster's matter. A call that takes longer than
+    One job, whose tasks make about `calls_per_task` calls each (more, if that would be over
+    MOST_TASKS tasks), `parallel_calls` of them at a time; how many tasks run at a time is the
+    cluster's matter. A call that takes longer than
     `seconds` is left alone and has an error, so that none holds its task for ever. Replies are
     not repeatable: write the result before using it twice.
     """
     columns = prompts.columns
-    tasks = max(1, math.ceil(prompts.count() / calls_per_task))
+    tasks = max(1, min(MOST_TASKS, math.ceil(prompts.count() / calls_per_task)))
 
     def call(frames):
-        from concurrent.futures import ThreadPoolExecutor
-        from threading import Thread
-
-        def reply(prompt):
-            found = []
-
-            def run():
-                try:
-                    found.append((ask(prompt), None))
-                except Exception as error:
-                    found.append((None, f"{type(error).__name__}: {error}"))
-
-            # A thread of its own, that does not keep the process alive if the call hangs.
-            thread = Thread(target=run, daemon=True)
-            thread.start()
-            thread.join(seconds)
-            return found[0] if found else (None, f"TimeoutError: no reply in {seconds:g} s")
-
-        with ThreadPoolExecutor(parallel_calls) as pool:
-            for frame in frames:
-                replies = list(pool.map(reply, frame["prompt"]))
-                frame = frame.assign(raw=[r for r, _ in replies], error=[e for _, e in replies])
-                yield frame[[*columns, "raw", "error"]]
+        for frame in frames:
+            replies = _replies(frame["prompt"].tolist(), ask, parallel_calls, seconds)
+            frame = frame.assign(raw=[r for r, _ in replies], error=[e for _, e in replies])
+            yield frame[[*columns, "raw", "error"]]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", raw string, error string"
     return prompts.repartition(tasks).mapInPandas(call, schema)

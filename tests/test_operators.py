@@ -249,6 +249,21 @@ def test_themes_of_reviews_are_not_broadcast(spark):
     assert {r["themes"]: r["count"] for r in out.groupBy("themes").count().collect()} == {"a": 999, "FAILED": 1}
 
 
+def test_tasks_and_threads_of_many_calls(spark, monkeypatch):
+    def ask(prompt):
+        import threading
+
+        return threading.current_thread().name
+
+    prompts = spark.range(0, 90, 1, 4).select(F.col("id").cast("string").alias("prompt"))
+    monkeypatch.setattr(th, "MOST_TASKS", 3)
+    out = th.written_replies(prompts, ask, parallel_calls=2, calls_per_task=5)
+    assert out.count() == 90 and out.filter("raw IS NULL").isEmpty()
+    assert len(out.inputFiles()) <= 3
+    alone = th.written_replies(prompts, ask, parallel_calls=2, calls_per_task=90)
+    assert alone.count() == 90 and alone.select("raw").distinct().count() <= 2
+
+
 def test_failed_calls(spark):
     prompts = spark.range(0, 60, 1, 3).select(F.col("id").cast("string").alias("prompt"))
 
