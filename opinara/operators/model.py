@@ -123,7 +123,8 @@ def train(df: DataFrame, stop_words: Sequence[str] | None = None, **limits) -> T
     given = training_rows(df).select(text, "sentiment")
     # The index writes the rows, which split and fit read many times.
     rows = with_row_index(spread(given), "row", stored=False)
-    rows = stratified_split(rows, id_column="row")
+    # Written, as every pass of the fit would make the keys and look up the limits again.
+    rows = pin(stratified_split(rows, id_column="row"), "split")
     model = fit_classifier(rows.filter(~F.col("is_test")), stop_words, **limits)
     tested = model.transform(rows.filter("is_test"))
     return Trained(model, accuracy(tested).first()["accuracy"])

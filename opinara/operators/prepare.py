@@ -83,7 +83,8 @@ def parse_dates(
     """Turn a text date column into a time stamp without zone.
 
     ISO texts are read, or texts in one of `formats`: the first way that reads all texts of the
-    column is taken, found in one pass. If none does, the column stays text, with a warning,
+    column is taken. ISO has a pass of its own, as every other way is slow on texts that it cannot
+    read; the others share one pass. If none does, the column stays text, with a warning,
     and `has_dates` keeps reports from using it as a date; all rows stay. With
     `on_invalid="null"` each text is read in the first way that can, and the rest become null.
     """
@@ -100,7 +101,9 @@ def parse_dates(
     if on_invalid == "null":
         return df.withColumn(column, F.coalesce(*tries))
     unread = [F.count_if(F.col(column).isNotNull() & t.isNull()).alias(f"u{i}") for i, t in enumerate(tries)]
-    left = df.select(column).agg(*unread).first()
+    left = df.select(column).agg(unread[0]).first()
+    if left[0] and formats:
+        left = (*left, *df.select(column).agg(*unread[1:]).first())
     way = next((t for t, n in zip(tries, left) if n == 0), None)
     if way is None:
         warnings.warn(f"{min(left)} texts of {column} are no dates, so it stays text", stacklevel=2)

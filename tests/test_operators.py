@@ -455,3 +455,10 @@ def test_raw_view(spark):
     )
     view = prepare.raw_view(df)
     assert view.columns == ["confidence", "clean_text"] and view.count() == 50
+
+
+def test_iso_dates_try_no_other_form(spark):
+    df = frame(spark, [("2024-01-31",), (None,), ("2024-02-01T10:00:00",)], "date string")
+    # A form that cannot be read shows that none is tried.
+    out = prepare.parse_dates(df, formats=("'",))
+    assert [r["date"] for r in out.collect()] == [dt.datetime(2024, 1, 31), None, dt.datetime(2024, 2, 1, 10)]
