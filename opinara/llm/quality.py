@@ -22,6 +22,8 @@ from opinara.session import local_table, pin
 
 # A block of documents is closed at so many bytes of text; a longer text is a block of its own.
 BLOCK_BYTES = 32 << 20
+# Ids of fitted rows that are broadcast at most; of more, documents and ids meet by id.
+BROADCAST_IDS = 4_000_000
 # Width of the steps in which limits are sought, in nats a character.
 STEP = 0.001
 
@@ -30,8 +32,9 @@ STEP = 0.001
 class Settings:
     """Parameters of the model and of the decision.
 
-    `trusted_limit` bounds the trusted rows that the model is fitted on; of more, a sample by
-    hash of the id is taken, about that large, in which small languages keep all their rows.
+    The model counts all trusted rows that are not held out. Only if a `trusted_limit` is given is
+    it fitted on a sample of about that many, by hash of the id, in which small languages keep all
+    their rows.
     `held_out` of 100 trusted rows, of all of them, are not counted but give the limits; a language
     of which none is held out has those over all languages. A text's mean is drawn to the language's median as if it had
     `prior` more characters of that, since short texts vary. The limits of a language are those
@@ -43,7 +46,7 @@ class Settings:
     """
 
     order: int = 4
-    trusted_limit: int = 1_000_000
+    trusted_limit: int | None = None
     held_out: int = 20
     prior: int = 64
     quantile: float = 0.99
@@ -268,8 +271,10 @@ def perplexities(
         *kept,
     )
     order = settings.order
-    # `labels` is bounded by Settings.trusted_limit.
-    trusted = rows.join(F.broadcast(labels.select(F.col("_trusted").alias("_id"))), "_id", "left_semi")
+    ids = labels.select(F.col("_trusted").alias("_id"))
+    # Files tell too little of how many ids they hold.
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    trusted = rows.join(ids, "_id", "left_semi")
     counted = block_grams(trusted, order).groupBy("lang", "gram").agg(F.sum("n").alias("c"))
     counts = pin(counted, "gram-counts")
     asked = pin(block_grams(rows, order).select("block", "lang", "gram"), "block-grams")
@@ -357,10 +362,12 @@ def largest_share(sizes: list[int], limit: int) -> float:
 
 
 def fitted_ids(given: DataFrame, settings: Settings) -> DataFrame:
-    """Ids `_trusted` of the rows the model is fitted on, at most about `trusted_limit`.
+    """Ids `_trusted` of the rows the model is fitted on: all, or about `trusted_limit` if that is set.
 
     `given`: (_trusted, _lang). A language with fewer rows than its share keeps them all.
     """
+    if settings.trusted_limit is None:
+        return given.select("_trusted").distinct()
     # One row per language of the labelled rows.
     sizes = {r["_lang"]: r["count"] for r in given.groupBy("_lang").count().collect()}
     share = largest_share(list(sizes.values()), settings.trusted_limit)

@@ -425,3 +425,8 @@ def test_two_indexes_with_one_tail(spark, tmp_path):
     assert all(r.kept and r.keep_id == 5 for r in kept)
     again = exact_duplicates.DigestIndex(spark, f"{tmp_path}/one/./{tail}/")
     assert again.table().count() == 1
+
+
+def test_quality_counts_all_trusted_rows(spark):
+    given = spark.range(1_100_000).selectExpr("id AS _trusted", "'en' AS _lang")
+    assert quality.fitted_ids(given, quality.Settings()).count() == 1_100_000
