@@ -31,12 +31,17 @@ PAUSE = 2.0
 PARALLEL_CALLS = 2
 
 # Calls of a task, which are lost with it, and tasks of a job. Of more calls than these make, each task
-# takes more, as a task and its file cost as much as thousands of quick calls; a lost one never holds
-# over one call in MOST_TASKS.
+# takes more, as a task and its file cost as much as thousands of quick calls. A core has TASKS_PER_CORE
+# of them, so that a lost one is a small part of its work, but a job has up to MANY_TASKS whatever
+# cores there are as it begins, and never over MOST_TASKS.
 CALLS_PER_TASK = 500
+TASKS_PER_CORE = 16
+MANY_TASKS = 256
 MOST_TASKS = 2000
 # Fixed value: seconds that a model call may take.
 CALL_SECONDS = 180.0
+# Seconds after which a call is taken to wait for its reply, so that another thread is of use.
+WAITING_SECONDS = 0.005
 
 _LOG = logging.getLogger(__name__)
 
@@ -84,10 +89,11 @@ def batch_prompts(
 def _replies(
     prompts: list, ask: Callable[[str], str], parallel_calls: int, seconds: float | None
 ) -> list[tuple[str | None, str | None]]:
-    """Reply and error of each prompt, asked by `parallel_calls` threads that take one after the other.
+    """Reply and error of each prompt, asked by up to `parallel_calls` threads that take one after the other.
 
     A thread of its own for each call costs more than a quick call. So only a thread whose call takes
-    longer than `seconds` is left alone, and a new one goes on in its place.
+    longer than `seconds` is left alone, and a new one goes on in its place. Threads that do not wait
+    get in each other's way, so another one starts only as all calls under way wait for their replies.
     """
     from collections import deque
     from threading import Condition, Thread
@@ -128,7 +134,7 @@ def _replies(
         Thread(target=work, args=(own,), daemon=True).start()
 
     with state:
-        for _ in range(min(parallel_calls, len(prompts))):
+        if todo and parallel_calls > 0:
             start()
         while busy:
             now = monotonic()
@@ -137,9 +143,15 @@ def _replies(
                     del busy[own]
                     if todo:
                         start()
+            pause = None
+            if busy and seconds is not None:
+                pause = max(0.001, min(since for _, since in busy.values()) + seconds - now)
+            if busy and todo and len(busy) < parallel_calls:
+                if all(i is not None and now - since >= WAITING_SECONDS for i, since in busy.values()):
+                    start()
+                pause = WAITING_SECONDS
             if busy:
-                first = min(since for _, since in busy.values())
-                state.wait(None if seconds is None else max(0.001, first + seconds - now))
+                state.wait(pause)
     return out
 
 
@@ -153,13 +165,15 @@ def ask_model(
     """Add `raw`, the reply of `ask(prompt)`, and `error`, what it raised in its place.
 
     One job, whose tasks make about `calls_per_task` calls each (more, if that would be over
-    MOST_TASKS tasks), `parallel_calls` of them at a time; how many tasks run at a time is the
-    cluster's matter. A call that takes longer than
+    TASKS_PER_CORE tasks for each core, or MOST_TASKS), up to `parallel_calls` of them at a time; how
+    many tasks run at a time is the cluster's matter. A call that takes longer than
     `seconds` is left alone and has an error, so that none holds its task for ever. Replies are
     not repeatable: write the result before using it twice.
     """
     columns = prompts.columns
-    tasks = max(1, min(MOST_TASKS, math.ceil(prompts.count() / calls_per_task)))
+    cores = prompts.sparkSession.sparkContext.defaultParallelism
+    most = min(MOST_TASKS, max(MANY_TASKS, TASKS_PER_CORE * cores))
+    tasks = max(1, min(most, math.ceil(prompts.count() / calls_per_task)))
 
     def call(frames):
         for frame in frames:

@@ -264,6 +264,37 @@ def test_tasks_and_threads_of_many_calls(spark, monkeypatch):
     assert alone.count() == 90 and alone.select("raw").distinct().count() <= 2
 
 
+def test_tasks_of_calls_by_cores(spark, monkeypatch):
+    """Few cores get no more tasks than keep them busy; each task costs as much as many quick calls."""
+    prompts = spark.range(0, 900, 1, 4).select(F.col("id").cast("string").alias("prompt"))
+    monkeypatch.setattr(th, "MANY_TASKS", 4)
+    monkeypatch.setattr(th, "TASKS_PER_CORE", 1)
+    out = th.written_replies(prompts, str, parallel_calls=2, calls_per_task=5)
+    assert sorted(int(r["raw"]) for r in out.collect()) == [*range(900)]
+    assert len(out.inputFiles()) <= max(4, spark.sparkContext.defaultParallelism)
+
+
+def test_threads_start_as_calls_wait():
+    import threading
+
+    def name(prompt):
+        return threading.current_thread().name
+
+    # Calls that do not wait leave a thread or two; eight made each of them take several times as long.
+    quick = th._replies(["x"] * 20000, name, 8, 180.0)
+    assert len(quick) == 20000 and all(raw and error is None for raw, error in quick)
+    assert len({raw for raw, _ in quick}) <= 4
+
+    together = threading.Barrier(6)
+
+    def wait(prompt):
+        return f"{prompt} {together.wait(30) >= 0}"
+
+    for seconds in (60.0, None):
+        assert th._replies([*"abcdef"], wait, 6, seconds) == [(f"{p} True", None) for p in "abcdef"]
+    assert th._replies([], name, 6, 60.0) == []
+
+
 def test_failed_calls(spark):
     prompts = spark.range(0, 60, 1, 3).select(F.col("id").cast("string").alias("prompt"))
 
