@@ -219,3 +219,20 @@ def test_streamed_files_are_scored_once(spark, sf_dir, trained, tmp_path):
     got = spark.read.parquet(target).select("review_id", "predicted_sentiment")
     want = m.predict(with_clean_text(df), trained.model).select("review_id", "predicted_sentiment")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_terms_like_the_stages_of_spark_ml(spark):
+    """Stop words and pairs are SQL; only the tokens are a Scala function."""
+    from pyspark.ml.feature import NGram, StopWordsRemover
+
+    texts = ["a it's the o'neil Über don't", "", "x", "word", "The big the Big dog", None]
+    rows = spark.createDataFrame([(t or "",) for t in texts], "clean_text string")
+    for stop_words in (["The", "o'", "NEIL", "a\\b", "it"], ["über"], [], None):
+        found = features.text_terms(rows, features.term_stages(stop_words))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("UDF(") == 1
+        words = features.default_stop_words() if stop_words is None else stop_words
+        removed = StopWordsRemover(inputCol=features.TOKENS, outputCol="w", stopWords=words).transform(found)
+        paired = NGram(n=2, inputCol="w", outputCol="p").transform(removed).collect()
+        assert [(r["w"], r["p"], r["w"] + r["p"]) for r in paired] == [
+            (r[features.WORDS], r[features.PAIRS], r[features.TERMS]) for r in paired
+        ]
