@@ -20,7 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from opinara.llm.common import CACHED_CHARACTERS, id_and_text, in_parts, join_groups, whole_text
+from opinara.llm.common import CACHED_CHARACTERS, giving_back, id_and_text, in_parts, join_groups, whole_text
 from opinara.llm.components import components
 from opinara.session import pin
 
@@ -31,6 +31,8 @@ BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 # Pairs of one bucket that agree in fewer coordinates are not verified: five deviations below 0.8.
 LEAST_AGREEING = int(SIMILARITY * COORDINATES - 5 * (SIMILARITY * (1 - SIMILARITY) * COORDINATES) ** 0.5)
+# Bytes of text whose darts are thrown at a time; the arrays made of them take some 50 times that.
+SIGNED_BYTES = 1 << 18
 # Members of a bucket that are compared with each other at a time.
 BLOCK = 512
 
@@ -53,7 +55,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHED_CHARACTERS // 32:
+        if len(self) > CACHED_CHARACTERS // 128:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -151,41 +153,44 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (a[1].sum() + b[1].sum() - shared)
 
 
+@giving_back
+def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in in_parts(batches, SIGNED_BYTES):
+        content, sets = [], []
+        for text in batch.column(1).to_pylist():
+            hashes = shingle_hashes(words_of(text))
+            content.append(xxhash.xxh3_128_digest(hashes) if len(hashes) else None)
+            if len(hashes):
+                sets.append(np.unique(hashes, return_counts=True))
+        signature = signatures(sets) if sets else np.zeros((0, COORDINATES), np.uint64)
+        bands = iter(band_keys(signature))
+        sketch = iter(signature.astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({
+            "id": batch.column(0), "row": batch.column(2), "digest": batch.column(3),
+            "content": pa.array(content, pa.binary()),
+            "bands": pa.array([None if c is None else next(bands) for c in content], pa.list_(pa.int64())),
+            "sketch": pa.array([None if c is None else next(sketch).tobytes() for c in content], pa.binary()),
+        })
+
+
 def signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Rows (id, row, digest, content, bands, sketch); `content` is equal for texts of the same words.
 
     A text without words has nulls for the last three. The sketch is one byte per coordinate.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches, 1 << 20):
-            content, sets = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(words_of(text))
-                content.append(xxhash.xxh3_128_digest(hashes) if len(hashes) else None)
-                if len(hashes):
-                    sets.append(np.unique(hashes, return_counts=True))
-            signature = signatures(sets) if sets else np.zeros((0, COORDINATES), np.uint64)
-            bands = iter(band_keys(signature))
-            sketch = iter(signature.astype(np.uint8))
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column(0), "row": batch.column(2), "digest": batch.column(3),
-                "content": pa.array(content, pa.binary()),
-                "bands": pa.array([None if c is None else next(bands) for c in content], pa.list_(pa.int64())),
-                "sketch": pa.array([None if c is None else next(sketch).tobytes() for c in content], pa.binary()),
-            })
-
     rows = id_and_text(df, id_column, text_column).withColumns(
         {"row": F.monotonically_increasing_id(), "digest": F.xxhash64("text")}
     )
     return rows.mapInArrow(
-        run, "id bigint, row bigint, digest bigint, content binary, bands array<bigint>, sketch binary"
+        _signed, "id bigint, row bigint, digest bigint, content binary, bands array<bigint>, sketch binary"
     )
 
 
 def _texts(df: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(content, words) of the rows with these ids: the words, compressed."""
 
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             words = [words_of(t) for t in batch.column(1).to_pylist()]
@@ -224,6 +229,7 @@ def verified(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_column: str,
     left = salted.join(texts.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a")
     both = left.join(right, ["b", "salt"]).select("a", "b", "a_words", "b_words")
 
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
         for batch in in_parts(batches):
@@ -284,6 +290,7 @@ def unresolved_links(
     ordered = dealt.select(*by, "node", "component", "is_in", "bands", "sketch", "words")
     ordered = ordered.repartition(*by).sortWithinPartitions(*by)
 
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, against, _, _), block in _runs(batches):
             a, b = _links_of_block(key, against, block)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opinara.llm.common import in_parts, task_number, whole_text, word_ids
+from opinara.llm.common import giving_back, in_parts, task_number, whole_text, word_ids
 
 
 @dataclass(frozen=True)
@@ -172,11 +172,12 @@ def pack_texts(
     A task packs its own rows in windows of bounded size, so nothing is shuffled. Run it on
     stored rows: a task that runs again then sees the same rows and makes the same sequences.
     """
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         sequence = task_number() << 32
         doc_ids, encoded, plain, size = [], [], [], 0
-        for batch in in_parts(batches):
+        for batch in in_parts(batches, 1 << 20):
             prompts = _rows(*encoder.encode(batch.column(1)))
             texts = _rows(*encoder.encode(batch.column(2), end_id))
             for doc_id, before, after in zip(batch.column(0).to_pylist(), prompts, texts):

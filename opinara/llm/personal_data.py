@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opinara.llm.common import id_and_text, in_parts
+from opinara.llm.common import give_back, id_and_text, in_parts
 
 # Kinds in the order in which spans with one start are listed. The first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -308,7 +308,9 @@ def redact(df: DataFrame, text_column: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series) -> pd.Series:
-        return texts.map(redact_text, na_action="ignore")
+        found = texts.map(redact_text, na_action="ignore")
+        give_back()
+        return found
 
     return df.withColumn(text_column, redacted(F.col(text_column)))
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinara.llm.common import pack_rows, unpack_rows, whole_text
+from opinara.llm.common import give_back, giving_back, pack_rows, unpack_rows, whole_text
 from opinara.session import local_table, pin
 
 # A block of documents is closed at so many bytes of text; a longer text is a block of its own.
@@ -174,6 +174,7 @@ def _by_language(rows: pa.Table, language: str, text: str) -> Iterator[tuple[str
 def block_grams(rows: DataFrame, order: int) -> DataFrame:
     """Rows (block, lang, gram, n): the n-grams of each block and how often they are there."""
 
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, docs in _blocks(batches, 1):
             for name, _, texts in _by_language(docs, "_lang", "_text"):
@@ -284,6 +285,7 @@ def perplexities(
     # The distinct languages of the model: as many as the labelled rows have, not the corpus.
     modelled = {r["lang"] for r in counts.select("lang").distinct().collect()}
 
+    @giving_back
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, docs in _blocks(batches, 1):
             yield pa.RecordBatch.from_pydict(
@@ -311,10 +313,15 @@ def perplexities(
             ))
         return pa.concat_tables(out)
 
+    def scored_block(docs: pa.Table, grams: pa.Table) -> pa.Table:
+        found = score(docs, grams)
+        give_back()
+        return found
+
     schema = rows.select(*[f"_c{i}" for i in range(len(columns))], "_lang").schema
     schema = schema.add("_n", "long").add("_nats", "double")
     blocks = rows.drop("_id").mapInArrow(packed, "block bigint, docs binary")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored_block, schema)
     return scored.toDF(*columns, "_lang", "_n", "_nats")
 
 
