@@ -23,8 +23,8 @@ from opinara.operators.ranking import BATCH_SIZE, with_batches
 from opinara.session import pin
 from opinara.vocab import FAILED, THEMES
 
-# Characters of a review shown to the model, attempts, seconds between them,
-# calls at a time.
+# Characters of an excerpt of a review (extraction shows all of it), attempts, seconds
+# between them, calls at a time.
 REVIEW_CHARS = 250
 ATTEMPTS = 5
 PAUSE = 2.0
@@ -55,20 +55,23 @@ strings, its values are lists of themes, for example {"1": ["{example}"]}.
 """
 
 
-def review_excerpt(text: Column, chars: int = REVIEW_CHARS) -> Column:
-    """What the model sees of a review: its first characters, never null."""
-    return F.substring(F.coalesce(text, F.lit("")), 1, chars)
+def review_excerpt(text: Column, chars: int | None = REVIEW_CHARS) -> Column:
+    """What the model sees of a review: its first characters, or with None all of it, never null."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole if chars is None else F.substring(whole, 1, chars)
 
 
 def batch_prompts(
-    batches: DataFrame, themes: Sequence[str] = THEMES, template: str = THEME_INSTRUCTIONS
+    batches: DataFrame, themes: Sequence[str] = THEMES, template: str = THEME_INSTRUCTIONS,
+    chars: int | None = REVIEW_CHARS,
 ) -> DataFrame:
     """One prompt per batch: (batch_id, size, prompt).
 
     A batch holds at most the batch size, so the collected list is short. The template names
-    {themes}, {size}, {example} and {reviews}.
+    {themes}, {size}, {example} and {reviews}. Of each review it shows the first `chars`
+    characters, with None all of them.
     """
-    entry = F.struct("position", review_excerpt(F.col("clean_text")).alias("text"))
+    entry = F.struct("position", review_excerpt(F.col("clean_text"), chars).alias("text"))
     grouped = batches.groupBy("batch_id").agg(
         F.count(F.lit(1)).cast("int").alias("size"), F.collect_list(entry).alias("entries")
     )
@@ -310,6 +313,7 @@ def extract_themes(
 ) -> DataFrame:
     """Assign themes through `ask` and drop the reviews whose batch failed every attempt.
 
+    The prompts hold the whole text of every review.
     With a `ReplyStore` as `store`, prompts that it has replies for are not asked again.
 
     Each attempt asks again only for the batches that failed so far. Its replies are written
@@ -318,7 +322,7 @@ def extract_themes(
     batches of consecutive rows; without it, of the rows as they are read.
     """
     batches = with_batches(reviews, batch_size, order_by)
-    prompts = pin(batch_prompts(batches, themes), "prompts")
+    prompts = pin(batch_prompts(batches, themes, chars=None), "prompts")
     done = None
     pending = prompts
     for attempt in range(attempts):

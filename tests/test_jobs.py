@@ -120,6 +120,20 @@ def test_prompt(spark):
     assert own.filter("batch_id = 1").first()["prompt"] == "2 of x: Review 1:\ntext 10\nReview 2:\ntext 11"
 
 
+@pytest.mark.parametrize("before", [0, 245, 250, 5000])
+def test_extraction_uses_whole_texts(spark, before):
+    """What decides a theme, or makes a call fail, may stand anywhere in a text."""
+    from registry.themes import _model
+
+    word = F.when(F.col("id") % 3 == 0, "slow").when(F.col("id") == 13, "dirty").otherwise("fine")
+    df = extraction_input(spark).withColumn("clean_text", F.concat(F.repeat(F.lit("é"), before), F.lit(" "), word))
+    df = df.withColumn("clean_text", F.when(F.col("id") != 5, F.col("clean_text")))
+    out = th.extract_themes(df, _model("dirty"), attempts=1, keep_failed=True, order_by=["id"])
+    assert {r["id"]: r["themes"] for r in out.collect()} == {
+        i: "FAILED" if 10 <= i < 20 else "Product Quality" if i % 3 else "Speed of Service" for i in range(47)
+    }
+
+
 def test_insights(spark, sf_dir):
     def ask(prompt):
         return "INSIGHTS:\n- **queue**\nRELEVANT_IDS:\n[2, 0, 2]"
